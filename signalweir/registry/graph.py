@@ -31,8 +31,9 @@ def _plausible(e: str) -> str:
 
 
 # RE2 has no lookbehind, but its \b is the ASCII word edge the names are defined by
-_NAMED = f"""list_distinct(list_concat(list_filter(['{"', '".join(C.SEED_COMPONENTS)}'], lambda s: list_contains(regexp_extract_all(lower({{t}}), '\\b({_SEEDS})\\b', 1), s)),
-  list_transform(regexp_extract_all(lower({{t}}), '\\b([a-z][a-z0-9]*(?:[-_][a-z0-9]+)*?[-_](?:{_SUFFIX}))\\b', 1), lambda m: {_norm('m')})))"""
+_NAMED_ALL = f"""list_concat(list_filter(['{"', '".join(C.SEED_COMPONENTS)}'], lambda s: list_contains(regexp_extract_all(lower({{t}}), '\\b({_SEEDS})\\b', 1), s)),
+  list_transform(regexp_extract_all(lower({{t}}), '\\b([a-z][a-z0-9]*(?:[-_][a-z0-9]+)*?[-_](?:{_SUFFIX}))\\b', 1), lambda m: {_norm('m')}))"""
+_NAMED = f"list_distinct({_NAMED_ALL})"
 
 _CASCADE = f"""base AS (SELECT *, {_norm('primary_component')} AS primary_name FROM v_findings),
 named AS (SELECT report_id, unnest(list_distinct(list_concat([{_norm('hypothesis_component')}], {_NAMED.replace('{t}', 'reasoning')}))) AS n FROM base),
@@ -88,8 +89,8 @@ def _texts(spark, sf_dir):
 
 
 _TEXTS = f"""txt AS (SELECT report_id AS text_id, tenant_id, concat_ws(' ', primary_component, reasoning, evidence_text) AS text FROM v_findings),
-found AS (SELECT text_id, tenant_id, text, unnest({_NAMED.replace('{t}', 'text')}) AS component,
-  generate_subscripts({_NAMED.replace('{t}', 'text')}, 1) AS pos FROM txt)"""
+named_all AS (SELECT *, {_NAMED_ALL.replace('{t}', 'text')} AS spoken FROM txt),
+found AS (SELECT text_id, tenant_id, text, component, list_position(spoken, component) AS pos FROM (SELECT *, unnest(list_distinct(spoken)) AS component FROM named_all))"""
 
 
 @query("g5_components_in_text", with_views(["v_findings"], _TEXTS + " SELECT text_id, component FROM found"))

@@ -70,6 +70,14 @@ FROM orders JOIN customer ON c_custkey = o_custkey""",
         None,
         [],
     ),
+    "v_incidents": (
+        """SELECT c_custkey AS incident_id, concat('t', CAST(c_nationkey % 3 AS STRING)) AS tenant_id, c_name AS title,
+  CASE WHEN c_custkey % 4 = 0 THEN 'resolved' WHEN c_custkey % 7 = 0 THEN 'pending' ELSE 'open' END AS status,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat('f', CAST(c_custkey AS STRING)) END AS fingerprint,
+  CAST(CAST('2024-01-01' AS DATE) AS TIMESTAMP) AS created_at FROM customer""",
+        None,
+        [],
+    ),
     "v_edges": (
         """SELECT concat('t', CAST(l_suppkey % 2 AS STRING)) AS tenant_id, CAST(l_partkey AS BIGINT) AS from_node,
   CAST((l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS BIGINT) AS to_node, count(*) AS occurrence_count,
@@ -80,6 +88,25 @@ FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2, 3""",
     ),
     "v_beliefs": (
         """SELECT l_suppkey AS incident_id, l_linestatus AS voter, l_returnflag AS hypothesis_id, sum(l_quantity) AS prior
+FROM lineitem GROUP BY 1, 2, 3""",
+        None,
+        [],
+    ),
+    # seven raw hypotheses per incident: two restate others, some incidents lack a prior
+    "v_raw_hypotheses": (
+        """SELECT concat('i', CAST(l_suppkey AS STRING)) AS incident_id, concat('t', CAST(l_suppkey % 3 AS STRING)) AS tenant_id,
+  CAST(l_linenumber AS BIGINT) AS position,
+  concat(CASE WHEN l_linenumber > 5 THEN 'Cause  no-' ELSE 'cause no ' END, CAST((l_linenumber * 3) % 5 AS STRING)) AS hypothesis,
+  CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 2 THEN NULL ELSE CAST(sum(l_quantity) AS DOUBLE) END AS prior,
+  CASE l_linenumber WHEN 1 THEN 'Auth-Service' WHEN 2 THEN 'payment' WHEN 3 THEN 'checkout-api (pool)' WHEN 4 THEN 'redis' END AS component
+FROM lineitem GROUP BY l_suppkey, l_linenumber""",
+        None,
+        [],
+    ),
+    # four voters per incident
+    "v_ballots": (
+        """SELECT concat('i', CAST(l_suppkey AS STRING)) AS incident_id, concat(l_linestatus, CAST(l_linenumber % 2 AS STRING)) AS voter,
+  l_returnflag AS hypothesis_id, CAST(sum(CASE WHEN l_quantity > 25 THEN l_quantity ELSE 0 END) AS DOUBLE) AS prior
 FROM lineitem GROUP BY 1, 2, 3""",
         None,
         [],
