@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from signalweir.functions import logs as L
 from signalweir.functions.text import strip_ws
-from signalweir.scale import OrderedSlices
+from signalweir.scale import OrderedSlices, fits, top_per_key
 
 MAX_RETAINED_BYTES = 4 * 1024 * 1024
 MAX_RETAINED_LINES = 200_000
@@ -245,3 +245,81 @@ def line_chunks(placed: DataFrame, max_chars: int = CHUNK_CHARS, max_chunks: int
 
 def evidence_counts(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("incident_id").agg(F.count("*").alias("evidence_rows"))
+
+
+# "[s] no-timestamp | x": no fused line is shorter than this
+_SHORTEST_FUSED = 20
+_QUESTIONS_PER_PASS = 4096
+
+
+def keyword_excerpt(placed: DataFrame, questions: DataFrame, max_chars: int = 2500) -> DataFrame:
+    """question_id, excerpt: the lines of the incident that mention a term of the question.
+
+    Falls back to the head of the timeline when none does.  `placed` comes from `positions`;
+    `questions`: question_id, incident_id, terms (array).  Each batch of lines keeps only what
+    could still fit a question's excerpt, so matches are never paired up in bulk.
+    """
+    asked = questions.select("question_id", "incident_id", F.filter("terms", lambda t: F.length(t) > 1).alias("terms"))
+    asked = asked.withColumn("terms", F.array_distinct(F.transform("terms", F.lower)))
+    hits = _matching_lines(placed, asked.where(F.size("terms") > 0), max_chars)
+    most = max_chars // (_SHORTEST_FUSED + 1) + 2
+    first = top_per_key(hits, ["question_id"], [F.col("line_index").asc()], most, "_n")
+    w = Window.partitionBy("question_id").orderBy("line_index").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("line") + 1).over(w) - 1, F.lit(0))
+    fitting = first.withColumn("_before", before).where(F.col("_before") <= max_chars)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_index", "line"))), lambda e: e["line"])
+    matched = fitting.groupBy("question_id").agg(F.substring(F.array_join(lines, "\n"), 1, max_chars).alias("_found"))
+    return (
+        questions.select("question_id", "incident_id")
+        .join(matched, "question_id", "left")
+        .join(fused_head(placed, max_chars), "incident_id", "left")
+        .select("question_id", "incident_id", F.coalesce("_found", "head", F.lit("")).alias("excerpt"))
+    )
+
+
+def _matching_lines(placed: DataFrame, asked: DataFrame, max_chars: int) -> DataFrame:
+    lines = placed.select("incident_id", "line_index", "line")
+    qid = asked.schema["question_id"].dataType.simpleString()
+    passes = 1 if fits(asked, _QUESTIONS_PER_PASS) else -(-asked.count() // (_QUESTIONS_PER_PASS // 2))
+    found = None
+    for number in range(passes):
+        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(passes)) == number)
+        one = lines.mapInPandas(
+            _line_scan(part, max_chars), f"question_id {qid}, line_index long, line string"
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _line_scan(asked: DataFrame, max_chars: int):
+    by_incident: dict = {}
+    for question, incident, terms in asked.toPandas().itertuples(index=False):
+        for term in terms:
+            by_incident.setdefault(incident, {}).setdefault(term, []).append(question)
+    shared = asked.sparkSession.sparkContext.broadcast(by_incident)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automata: dict = {}
+        for batch in batches:
+            used: dict = {}
+            rows = []
+            for incident, index, line in batch.sort_values("line_index").itertuples(index=False):
+                terms = shared.value.get(incident)
+                if not terms:
+                    continue
+                auto = automata.get(incident)
+                if auto is None:
+                    auto = automata[incident] = ahocorasick.Automaton()
+                    for term in terms:
+                        auto.add_word(term, term)
+                    auto.make_automaton()
+                askers = {q for _, t in auto.iter(line.lower()) for q in terms[t]}
+                for question in askers:
+                    if used.get(question, 0) - 1 <= max_chars:
+                        used[question] = used.get(question, 0) + len(line) + 1
+                        rows.append((question, index, line))
+            yield pd.DataFrame(rows, columns=["question_id", "line_index", "line"])
+
+    return scan

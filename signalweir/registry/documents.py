@@ -367,13 +367,13 @@ def similar_incidents(spark, sf_dir):
 
 @query(
     "m2_latest_embeddings",
-    """SELECT label AS incident_id, max(vec_id) AS report_id, count(*) FILTER (WHERE false) AS lost FROM embeddings GROUP BY label""",
+    "SELECT label AS incident_id, max(vec_id) AS report_id FROM embeddings GROUP BY label",
 )
 def latest_embeddings(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("label").alias("incident_id"), F.col("vec_id").alias("report_id"), F.col("vec_id").alias("created_at"), "embedding"
     )
-    return retrieval.latest_embeddings(rows).select("incident_id", "report_id", F.lit(0).cast("bigint").alias("lost"))
+    return retrieval.latest_embeddings(rows).select("incident_id", "report_id")
 
 
 @query(
