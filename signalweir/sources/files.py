@@ -68,7 +68,7 @@ def binary_files(lines: DataFrame) -> DataFrame:
     room = F.lit(SNIFF_BYTES) - F.col("_before")
     piece = F.substring(F.col("raw").cast("binary"), 1, SNIFF_BYTES)
     seen = head.withColumn("_before", before).where(F.col("_before") < SNIFF_BYTES)
-    cut = F.decode(F.substr(piece, F.lit(1), room.cast("int")), F.lit("iso-8859-1"))
+    cut = F.decode(F.substr(piece, F.lit(1), room.cast("int")), "ISO-8859-1")
     control = F.call_function("regexp_count", cut, F.lit(r"[\x01-\x08\x0e-\x1f]"))
     size = F.least(F.octet_length("raw") + 1, room)
     return (
