@@ -47,7 +47,11 @@ def normalize_component(c: Column) -> Column:
 
 def is_plausible(c: Column) -> Column:
     """A name rather than a description: tested on its first and last word only."""
-    name = normalize_component(c)
+    return plausible_name(normalize_component(c))
+
+
+def plausible_name(name: Column) -> Column:
+    """`is_plausible` for a name that is normalised already."""
     head = F.substring_index(name, "-", 1)
     tail = F.substring_index(name, "-", -1)
     compound = F.contains(name, F.lit("-"))

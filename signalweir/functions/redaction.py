@@ -28,6 +28,7 @@ class Detector:
     after: str = ""
     ignore_case: bool = False
     card: bool = False
+    needs: str = ""  # text every match contains: a cheap test before the pattern
 
     @property
     def pattern(self) -> str:
@@ -40,29 +41,29 @@ _KEY_WORDS = "password|passwd|pwd|secret|token|key|credential|passphrase"
 
 # The detectors in the order they run.
 DETECTORS = [
-    Detector("PRIVATE_KEY", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
-    Detector("JWT", r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}"),
+    Detector("PRIVATE_KEY", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", needs="-----BEGIN "),
+    Detector("JWT", r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}", needs="eyJ"),
     Detector("AWS_KEY", r"(?:AKIA|ASIA)[0-9A-Z]{16}"),
-    Detector("GITHUB_TOKEN", r"gh[pousr]_[A-Za-z0-9]{20,}"),
-    Detector("STRIPE_KEY", r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}", EDGE_L),
-    Detector("SLACK_TOKEN", r"xox[abeprs]-[A-Za-z0-9-]{10,}", EDGE_L),
-    Detector("SLACK_WEBHOOK", r"https://hooks\.slack\.com/services/[A-Za-z0-9_/+-]{20,}"),
-    Detector("GOOGLE_API_KEY", r"AIza[0-9A-Za-z_-]{35}", EDGE_L, r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<=-)(?=[A-Za-z0-9_]))"),
-    Detector("LLM_API_KEY", r"sk-(?:ant-|proj-|svcacct-)?[A-Za-z0-9_-]{20,}", EDGE_L),
-    Detector("GITLAB_TOKEN", r"glpat-[A-Za-z0-9_-]{20,}", EDGE_L),
-    Detector("NPM_TOKEN", r"npm_[A-Za-z0-9]{36}", EDGE_L, EDGE_R),
-    Detector("SENDGRID_KEY", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", EDGE_L),
-    Detector("RESEND_KEY", r"re_[A-Za-z0-9_]{16,}", EDGE_L, EDGE_R),
-    Detector("BEARER", r"[A-Za-z0-9\-._~+/]{10,}=*", rf"[Bb]earer{WS}+"),
-    Detector("PASSWORD", rf"[^@{_NOT_WS}/]+", rf"://[^:/@{_NOT_WS}]+:", "@"),
+    Detector("GITHUB_TOKEN", r"gh[pousr]_[A-Za-z0-9]{20,}", needs="gh"),
+    Detector("STRIPE_KEY", r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}", EDGE_L, needs="k_"),
+    Detector("SLACK_TOKEN", r"xox[abeprs]-[A-Za-z0-9-]{10,}", EDGE_L, needs="xox"),
+    Detector("SLACK_WEBHOOK", r"https://hooks\.slack\.com/services/[A-Za-z0-9_/+-]{20,}", needs="https://hooks.slack.com/"),
+    Detector("GOOGLE_API_KEY", r"AIza[0-9A-Za-z_-]{35}", EDGE_L, r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<=-)(?=[A-Za-z0-9_]))", needs="AIza"),
+    Detector("LLM_API_KEY", r"sk-(?:ant-|proj-|svcacct-)?[A-Za-z0-9_-]{20,}", EDGE_L, needs="sk-"),
+    Detector("GITLAB_TOKEN", r"glpat-[A-Za-z0-9_-]{20,}", EDGE_L, needs="glpat-"),
+    Detector("NPM_TOKEN", r"npm_[A-Za-z0-9]{36}", EDGE_L, EDGE_R, needs="npm_"),
+    Detector("SENDGRID_KEY", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", EDGE_L, needs="SG."),
+    Detector("RESEND_KEY", r"re_[A-Za-z0-9_]{16,}", EDGE_L, EDGE_R, needs="re_"),
+    Detector("BEARER", r"[A-Za-z0-9\-._~+/]{10,}=*", rf"[Bb]earer{WS}+", needs="earer"),
+    Detector("PASSWORD", rf"[^@{_NOT_WS}/]+", rf"://[^:/@{_NOT_WS}]+:", "@", needs="://"),
     Detector(
         "SECRET",
         r"[A-Za-z0-9\-_./+=]{8,}",
         rf"{EDGE_L}(?:(?:[A-Za-z0-9]++[_-])*+(?:{_KEY_WORDS})|apikey|auth(?:orization)?)[\"']?{WS}*[:=]{WS}*[\"']?",
         ignore_case=True,
     ),
-    Detector("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    Detector("SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", EDGE_L, EDGE_R),
+    Detector("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", needs="@"),
+    Detector("SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", EDGE_L, EDGE_R, needs="-"),
     Detector(
         "CARD",
         r"(?:[0-9][ -]?){13,19}",
@@ -70,7 +71,7 @@ DETECTORS = [
         r"(?:(?<=[0-9])(?![A-Za-z0-9_])|(?<=[ -])(?=[A-Za-z0-9_]))",
         card=True,
     ),
-    Detector("IP", rf"(?:{_OCTET}\.){{3}}{_OCTET}", EDGE_L, EDGE_R),
+    Detector("IP", rf"(?:{_OCTET}\.){{3}}{_OCTET}", EDGE_L, EDGE_R, needs="."),
 ]
 
 
@@ -116,7 +117,10 @@ def _run(detector: Detector, number: int, state: Column) -> Column:
     pieces = F.split(text, detector.pattern, -1)
     rebuilt = F.array_join(F.zip_with(pieces, whole, lambda p, w: F.concat(p, F.coalesce(w, F.lit("")))), "")
     changed = F.struct(rebuilt.alias("text"), F.concat(hits, found).alias("hits"))
-    return F.when(text.rlike(detector.pattern), changed).otherwise(state)
+    hit = text.rlike(detector.pattern)
+    if detector.needs:
+        hit = F.contains(text, F.lit(detector.needs)) & hit
+    return F.when(hit, changed).otherwise(state)
 
 
 def with_scan(texts: DataFrame, text: str, out: str) -> DataFrame:

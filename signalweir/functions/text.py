@@ -44,8 +44,9 @@ def tokens(c: Column) -> Column:
 
 
 def query_terms(c: Column) -> Column:
-    """Distinct search terms of a question."""
-    return F.array_distinct(tokens(c))
+    """Distinct terms of a text, stop words removed by hash."""
+    parts = F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9_.\-]+")
+    return F.filter(F.array_except(parts, F.array(*[F.lit(w) for w in STOP_WORDS])), lambda t: F.length(t) > 1)
 
 
 def lexical_overlap(query_tokens: Column, text_tokens: Column) -> Column:
@@ -57,7 +58,11 @@ def lexical_overlap(query_tokens: Column, text_tokens: Column) -> Column:
 
 def token_set_similarity(a: Column, b: Column) -> Column:
     """Common terms over the geometric mean of both distinct term counts."""
-    left, right = F.array_distinct(a), F.array_distinct(b)
+    return term_set_similarity(F.array_distinct(a), F.array_distinct(b))
+
+
+def term_set_similarity(left: Column, right: Column) -> Column:
+    """The same for term arrays known to be distinct."""
     both = F.size(F.array_intersect(left, right))
     norm = F.sqrt(F.size(left).cast("double") * F.size(right))
     return F.when(norm > 0, both / norm).otherwise(F.lit(0.0))

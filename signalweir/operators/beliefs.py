@@ -99,7 +99,7 @@ def graph_vote(hypotheses: DataFrame, nodes: DataFrame) -> DataFrame:
     `nodes`: tenant_id, component, incident_count.  Incidents that name no component, whose
     tenant has no history, or whose scores do not differ, abstain (no rows).
     """
-    low = hypotheses.withColumn("_c", F.lower("component"))
+    low = settle(hypotheses.withColumn("_c", F.lower("component")))
     asked = low.where("_c <> ''").select("tenant_id", F.col("_c").alias("name")).distinct()
     history = (
         nodes.select("tenant_id", F.lower("component").alias("name"), F.col("incident_count").cast("bigint").alias("n"))
@@ -107,15 +107,11 @@ def graph_vote(hypotheses: DataFrame, nodes: DataFrame) -> DataFrame:
         .agg(F.max("n").alias("n"))
     )
     inside = names_in_texts(asked.withColumnRenamed("name", "key"), history, ["tenant_id", "key"], "key")
-    around = names_in_texts(history.withColumnRenamed("name", "node"), asked, ["tenant_id", "node"], "node")
-    pairs = inside.select("tenant_id", "key", F.col("name").alias("node")).unionByName(
-        around.select("tenant_id", F.col("name").alias("key"), "node")
-    )
-    best = (
-        pairs.join(history.withColumnRenamed("name", "node"), ["tenant_id", "node"])
-        .groupBy("tenant_id", F.col("key").alias("_c"))
-        .agg(F.max("n").alias("_best"))
-    )
+    inside = inside.join(history, ["tenant_id", "name"]).select("tenant_id", F.col("key").alias("_c"), "n")
+    around = names_in_texts(
+        history.withColumnRenamed("name", "node"), asked, ["tenant_id", "n"], "node", largest="n"
+    ).select("tenant_id", F.col("name").alias("_c"), "n")
+    best = inside.unionByName(around).groupBy("tenant_id", "_c").agg(F.max("n").alias("_best"))
     known = history.select("tenant_id").distinct()
     scored = (
         low.join(known, "tenant_id", "left_semi")

@@ -29,8 +29,10 @@ def document_changes(incoming: DataFrame, current: DataFrame | None = None) -> D
     document of its collection holds the same content at that moment.
     """
     rows = incoming.withColumn("content_hash", content_hash(F.col("content")))
-    named, anonymous = rows.where("source_uri IS NOT NULL"), rows.where("source_uri IS NULL")
     path = [*_PLACE, "source_uri"]
+    # the scans order hashes only; contents join the verdicts at the end
+    heads = rows.select(*path, "arrival", "content_hash")
+    named, anonymous = heads.where("source_uri IS NOT NULL"), heads.where("source_uri IS NULL")
 
     if current is None:
         known = named.withColumn("_hash0", F.lit(None).cast("string")).withColumn("_version0", F.lit(0).cast("bigint"))
@@ -75,9 +77,10 @@ def document_changes(incoming: DataFrame, current: DataFrame | None = None) -> D
         F.when(F.col("_free") & (F.col("_nth_free") == 1), F.lit("created")).otherwise(F.lit("unchanged")).alias("action"),
         one.alias("version"),
     )
-    loose = anonymous.join(verdicts, [*spot, "arrival"])
-    out = [c for c in rows.columns] + ["action", "version"]
-    return paths.select(*out).unionByName(loose.select(*out))
+    out = [*rows.columns, "action", "version"]
+    known_paths = rows.join(paths.select(*path, "arrival", "action", "version"), [*path, "arrival"])
+    loose = rows.where("source_uri IS NULL").join(verdicts, [*spot, "arrival"])
+    return known_paths.select(*out).unionByName(loose.select(*out))
 
 
 def apply_changes(current: DataFrame, changes: DataFrame) -> DataFrame:

@@ -64,18 +64,18 @@ def cascades(findings: DataFrame, learned: DataFrame | None = None) -> DataFrame
         heard = names_in_texts(joined, known, ["text_id"], "_low").groupBy("text_id").agg(F.collect_set("name").alias("_heard"))
         rows = rows.join(heard.withColumnRenamed("text_id", "report_id"), "report_id", "left")
         named = F.concat(named, F.coalesce("_heard", F.array().cast("array<string>")))
-    rows = rows.withColumn("_named", F.array_distinct(F.transform(named, C.normalize_component)))
+    once = F.array_distinct(F.transform(named, C.normalize_component))
+    pairs = F.transform(once, lambda n: F.struct(n.alias("name"), C.normalize_component(n).alias("again")))
+    rows = rows.withColumn("_named", pairs)
     rows = rows.withColumn("_haystack", C.evidence_key(F.col("evidence_text")))
     silent = F.col("evidence_text").isNull() | (F.col("evidence_text") == "")
 
-    def counts(n: Column) -> Column:
-        again = C.normalize_component(n)
-        grounded = silent | ((again != "") & F.contains(F.col("_haystack"), again))
-        return (n != "") & (n != F.col("primary")) & C.is_plausible(n) & grounded
+    def counts(e: Column) -> Column:
+        grounded = silent | ((e["again"] != "") & F.contains(F.col("_haystack"), e["again"]))
+        return (e["name"] != "") & (e["name"] != F.col("primary")) & C.plausible_name(e["again"]) & grounded
 
-    return rows.select(
-        "report_id", "tenant_id", "primary", F.filter("_named", counts).alias("downstream"), "created_at"
-    )
+    downstream = F.transform(F.filter("_named", counts), lambda e: e["name"])
+    return rows.select("report_id", "tenant_id", "primary", downstream.alias("downstream"), "created_at")
 
 
 def build_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:

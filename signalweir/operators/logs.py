@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signalweir.functions import logs as L
 from signalweir.functions.text import strip_ws
 from signalweir.scale import OrderedSlices, fits, top_per_key
+from signalweir.session import settle
 
 MAX_RETAINED_BYTES = 4 * 1024 * 1024
 MAX_RETAINED_LINES = 200_000
@@ -76,7 +77,9 @@ def retain_lines(
     severe_bytes = max_bytes - early_bytes
     sev = F.col("severity") > 0
     size = F.col("bytes") + 1
-    sizes = prepared.groupBy(*FILE).agg(
+    # settled once: the sizes and both scans read it, the line expressions run only here
+    narrow = settle(prepared.select(*FILE, "line_no", "sort_key", "severity", "bytes"))
+    sizes = narrow.groupBy(*FILE).agg(
         F.sum(size).alias("_total"),
         F.count("*").alias("_lines"),
         F.sum(F.when(sev, size)).alias("_severe_total"),
@@ -89,7 +92,6 @@ def retain_lines(
             (F.col("_severe_total") > severe_bytes) | (F.col("_severe_lines") > max_lines), F.lit(False)
         ).alias("_severe_over"),
     )
-    narrow = prepared.select(*FILE, "line_no", "sort_key", "severity", "bytes")
     early_mark = F.struct("sort_key", "line_no")
     severe_mark = F.struct((-F.col("severity")).alias("neg"), F.col("sort_key"), F.col("line_no"))
     early_cut = _cut(

@@ -8,36 +8,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalweir.scale import fits
-
 NAMES_PER_PASS = 100_000
 
 
 def names_in_texts(
-    texts: DataFrame, names: DataFrame, ids: Sequence[str], text: str = "text", scope: str = "tenant_id"
+    texts: DataFrame,
+    names: DataFrame,
+    ids: Sequence[str],
+    text: str = "text",
+    scope: str = "tenant_id",
+    largest: str | None = None,
 ) -> DataFrame:
     """Distinct (ids, name) where the text contains the name, both of the same scope.
 
-    A pass carries a bounded number of names as one automaton to every task and reads each
+    With `largest`, one of the ids: only the row with its greatest value per name and batch is
+    kept, for callers that want that maximum and would drop the rest.  A pass carries a bounded number of names as one automaton to every task and reads each
     text once; only real matches leave the task.  More names than one pass holds are cut by
     hash into several passes over the texts.
     """
     wanted = names.select(F.col(scope), F.col("name")).where("name <> ''").distinct()
-    passes = 1
-    if not fits(wanted, NAMES_PER_PASS):
-        passes = -(-wanted.count() // (NAMES_PER_PASS // 2))
+    held = wanted.limit(NAMES_PER_PASS + 1).toPandas()
+    passes = 1 if len(held) <= NAMES_PER_PASS else -(-wanted.count() // (NAMES_PER_PASS // 2))
     source = texts.select(*ids, F.col(scope).alias("_scope"), F.col(text).alias("_text")).where("_text IS NOT NULL")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.select(*ids).schema)
     found = None
     for number in range(passes):
-        part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == number)
-        one = _one_pass(source, part, list(ids), scope, f"{kinds}, name string")
+        if passes > 1:
+            held = wanted.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == number).toPandas()
+        one = _one_pass(source, held, list(ids), scope, f"{kinds}, name string", largest)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _one_pass(source: DataFrame, names: DataFrame, ids: list[str], scope: str, schema: str) -> DataFrame:
-    by_scope = {k: sorted(part["name"]) for k, part in names.toPandas().groupby(scope)}
+def _one_pass(
+    source: DataFrame, names: pd.DataFrame, ids: list[str], scope: str, schema: str, largest: str | None
+) -> DataFrame:
+    by_scope = {k: sorted(part["name"]) for k, part in names.groupby(scope)}
     shared = source.sparkSession.sparkContext.broadcast(by_scope)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,6 +64,10 @@ def _one_pass(source: DataFrame, names: DataFrame, ids: list[str], scope: str, s
                     auto.make_automaton()
                     automata[key[0]] = auto
                 rows.extend((*key[2:], name) for name in {n for _, n in auto.iter(key[1])})
-            yield pd.DataFrame(rows, columns=[*ids, "name"])
+            found = pd.DataFrame(rows, columns=[*ids, "name"])
+            if largest:
+                kept = [c for c in (*ids, "name") if c != largest]
+                found = found.sort_values(largest, ascending=False).drop_duplicates(kept)
+            yield found
 
     return source.mapInPandas(scan, schema)

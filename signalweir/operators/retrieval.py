@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalweir.functions.text import lexical_overlap, query_terms, token_set_similarity, tokens
+from signalweir.functions.text import lexical_overlap, query_terms, term_set_similarity
 from signalweir.functions.vectors import hybrid_score
 from signalweir.operators.merge import latest_rows
 from signalweir.scale import fits, top_per_key
+from signalweir.session import settle
 
 CANDIDATES = 20
 TOP_K = 5
@@ -25,6 +26,7 @@ RRF_K0 = 60
 ALPHA = 0.7
 LAMBDA = 0.7
 BROADCAST_QUERIES = 4096
+BROADCAST_FOUND = 200_000
 BLOCK_ITEMS = 50_000
 MEMORY_K = 3
 MEMORY_FLOOR = 0.70
@@ -106,8 +108,8 @@ def _block_top_k(queries: DataFrame, items: DataFrame, scorer: Scorer, k: int) -
     out = f"query_id {qid}, item_id {iid}, score double"
     empty = pd.DataFrame({"query_id": [], "item_id": [], "score": []})
 
-    if fits(queries, BROADCAST_QUERIES):
-        held = queries.toPandas()
+    held = queries.limit(BROADCAST_QUERIES + 1).toPandas()
+    if len(held) <= BROADCAST_QUERIES:
         groups = {g: part.reset_index(drop=True) for g, part in held.groupby(place)} if len(held) else {}
         shared = queries.sparkSession.sparkContext.broadcast(groups)
 
@@ -165,7 +167,7 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES)
 def reciprocal_rank_fusion(ranked: DataFrame, k0: int = RRF_K0) -> DataFrame:
     """Fuse ranked lists: query_id, list_no, rank (1-based), chunk_id; one row per chunk.
 
-    Ties keep the order in which the lists, read one after the other, first show the chunk.
+    A `similarity` column is carried along from whichever list knows it.  Ties keep the order in which the lists, read one after the other, first show the chunk.
     """
     part = F.lit(1.0) / (F.lit(k0) + F.col("rank") - 1)
     return (
@@ -174,6 +176,7 @@ def reciprocal_rank_fusion(ranked: DataFrame, k0: int = RRF_K0) -> DataFrame:
         .agg(
             F.array_sort(F.collect_list(F.struct("list_no", part.alias("p")))).alias("_parts"),
             F.min(F.struct("list_no", "rank")).alias("first_seen"),
+            *([F.max("similarity").alias("similarity")] if "similarity" in ranked.columns else []),
         )
         .withColumn("rrf", F.aggregate("_parts", F.lit(0.0), lambda s, e: s + e["p"]))
         .drop("_parts")
@@ -195,35 +198,49 @@ def mmr_rerank(
     q = questions.select("query_id", query_terms(F.col("query_text")).alias("_q"))
     scored = (
         candidates.join(q, "query_id")
-        .withColumn("_tokens", F.array_distinct(tokens(F.col("content"))))
+        .withColumn("_tokens", query_terms(F.col("content")))
         .withColumn("lexical", lexical_overlap(F.col("_q"), F.col("_tokens")).cast("double"))
         .withColumn("score", hybrid_score(F.col("similarity"), F.col("lexical"), alpha))
     )
     entry = F.struct("rank", "chunk_id", "similarity", "lexical", "score", F.col("_tokens").alias("terms"))
     pools = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("pool"))
 
-    def novelty_cost(taken: Column, index: Column) -> Column:
-        here = F.get("pool", index)["terms"]
-        sims = F.transform(taken, lambda t: token_set_similarity(F.get("pool", t["index"])["terms"], here))
-        return F.coalesce(F.array_max(sims), F.lit(0.0))
-
-    def step(taken: Column, _turn: Column) -> Column:
-        free = F.filter(
-            F.sequence(F.lit(0), F.size("pool") - 1), lambda i: ~F.exists(taken, lambda t: t["index"] == i)
-        )
+    # the fold keeps, per candidate, its likeness to the closest pick so far: a turn compares
+    # the free candidates with the newest pick only
+    def step(state: Column, _turn: Column) -> Column:
+        taken, worst = state["taken"], state["worst"]
         valued = F.transform(
-            free,
-            lambda i: F.struct(
-                (F.get("pool", i)["score"] * lam - novelty_cost(taken, i) * (1 - lam)).alias("value"),
-                (-i).alias("order"),
+            worst,
+            lambda w, i: F.struct(
+                (F.get("pool", i)["score"] * lam - w * (1 - lam)).alias("value"), (-i).alias("order")
             ),
         )
-        best = F.array_max(valued)
+        free = F.filter(valued, lambda v: ~F.exists(taken, lambda t: t["index"] == -v["order"]))
+        best = F.array_max(free)
         picked = F.struct((-best["order"]).alias("index"), best["value"].alias("value"))
-        return F.when(F.size(free) == 0, taken).otherwise(F.concat(taken, F.array(picked)))
+        return F.when(F.size(free) == 0, state).otherwise(
+            F.struct(F.concat(taken, F.array(picked)).alias("taken"), compared(worst, -best["order"]).alias("worst"))
+        )
+
+    def compared(worst: Column, newest: Column) -> Column:
+        return F.element_at(
+            F.transform(
+                F.array(newest),
+                lambda at: F.transform(
+                    worst,
+                    lambda w, i: F.greatest(
+                        w, term_set_similarity(F.get("pool", at)["terms"], F.get("pool", i)["terms"])
+                    ),
+                ),
+            ),
+            1,
+        )
 
-    start = F.array().cast("array<struct<index:int,value:double>>")
-    picks = pools.withColumn("picks", F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step))
+    start = F.struct(
+        F.array().cast("array<struct<index:int,value:double>>").alias("taken"),
+        F.transform("pool", lambda _c: F.lit(0.0)).alias("worst"),
+    )
+    picks = pools.withColumn("picks", F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda s: s["taken"]))
     rows = picks.select("query_id", "pool", F.posexplode("picks").alias("pos", "pick"))
     got = F.get("pool", F.col("pick.index"))
     return rows.select(
@@ -237,34 +254,36 @@ def mmr_rerank(
     )
 
 
-def _with_content(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    return found.join(chunks.select("chunk_id", "content"), "chunk_id")
+def _look_up(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Join a result list with its chunks.  The list (k rows a question) is settled, so the search
+    behind it runs once; when its counted size is small it is broadcast and the corpus stays put."""
+    found = settle(found)
+    small = fits(found, BROADCAST_FOUND)
+    return chunks.join(F.broadcast(found) if small else found, "chunk_id")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, pool: int = CANDIDATES, **weights: float) -> DataFrame:
     """Nearest chunks, reranked."""
     found = semantic_search(questions, chunks, pool).select("query_id", "chunk_id", "similarity", "rank")
-    return mmr_rerank(questions, _with_content(found, chunks), k, **weights)
+    return mmr_rerank(questions, _look_up(found, chunks.select("chunk_id", "content")), k, **weights)
 
 
 def hybrid_candidates(questions: DataFrame, chunks: DataFrame, pool: int = CANDIDATES) -> DataFrame:
     """Both arms fused; the cosine is carried where the semantic arm saw the chunk, else 0."""
     semantic = semantic_search(questions, chunks, pool)
     keyword = keyword_search(questions, chunks, pool)
-    lists = semantic.select("query_id", "chunk_id", "rank", F.lit(0).alias("list_no")).unionByName(
-        keyword.select("query_id", "chunk_id", "rank", F.lit(1).alias("list_no"))
+    unknown = F.lit(None).cast("double").alias("similarity")
+    lists = semantic.select("query_id", "chunk_id", "rank", F.lit(0).alias("list_no"), "similarity").unionByName(
+        keyword.select("query_id", "chunk_id", "rank", F.lit(1).alias("list_no"), unknown)
     )
     fused = fused_top(reciprocal_rank_fusion(lists), pool)
-    known = semantic.select("query_id", "chunk_id", "similarity")
-    return fused.join(known, ["query_id", "chunk_id"], "left").withColumn(
-        "similarity", F.coalesce("similarity", F.lit(0.0))
-    )
+    return fused.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
 def retrieve_hybrid(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, pool: int = CANDIDATES, **weights: float) -> DataFrame:
     """Semantic and keyword arms, fused by rank, reranked."""
     found = hybrid_candidates(questions, chunks, pool).select("query_id", "chunk_id", "similarity", "rank")
-    return mmr_rerank(questions, _with_content(found, chunks), k, **weights)
+    return mmr_rerank(questions, _look_up(found, chunks.select("chunk_id", "content")), k, **weights)
 
 
 def cited_blocks(hits: DataFrame, chunks: DataFrame, max_chars: int = 6000, min_score: float = 0.35) -> DataFrame:
@@ -279,7 +298,8 @@ def cited_blocks(hits: DataFrame, chunks: DataFrame, max_chars: int = 6000, min_
         .otherwise(F.lit("untitled"))
     )
     w = Window.partitionBy("query_id").orderBy("position")
-    body = hits.where(F.col("score") >= min_score).join(about, "chunk_id").withColumn("ref", F.row_number().over(w).cast("bigint"))
+    good = hits.where(F.col("score") >= min_score).select("query_id", "chunk_id", "position", "score")
+    body = _look_up(good, about).withColumn("ref", F.row_number().over(w).cast("bigint"))
     block = F.concat(F.lit("[["), F.col("ref").cast("string"), F.lit("]] "), label, F.lit("\n"), F.col("content"))
     used = F.sum(F.length("block")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (

@@ -52,7 +52,8 @@ def question_context(
     best = graph.best_graph_context(texts, graph_rows).select(
         F.col("text_id").alias("query_id"), "tenant_id", F.col("component").alias("graph_component")
     )
-    history = reporting.context_block(graph_rows).select(
+    named = best.select("tenant_id", F.col("graph_component").alias("component")).distinct()
+    history = reporting.context_block(graph_rows.join(named, ["tenant_id", "component"], "left_semi")).select(
         "tenant_id", F.col("component").alias("graph_component"), F.col("block").alias("_graph")
     )
     graph_part = best.join(history, ["tenant_id", "graph_component"]).drop("tenant_id")
@@ -136,7 +137,9 @@ def analysis_context(
     best = graph.best_graph_context(texts, graph_rows).select(
         F.col("text_id").alias("incident_id"), "tenant_id", "component"
     )
-    history = best.join(reporting.context_block(graph_rows), ["tenant_id", "component"]).select(
+    named = best.select("tenant_id", "component").distinct()
+    blocks = reporting.context_block(graph_rows.join(named, ["tenant_id", "component"], "left_semi"))
+    history = best.join(blocks, ["tenant_id", "component"]).select(
         "incident_id", F.col("block").alias("_graph")
     )
     recalled = reporting.similar_block(similar).select("incident_id", F.col("block").alias("_similar"))

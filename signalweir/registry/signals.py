@@ -25,6 +25,11 @@ def escalated(spark, sf_dir):
     return triage.split_decisions(triaged(spark, sf_dir))[0]
 
 
+def escalated_keys(spark, sf_dir):
+    """Only what the lifecycle scans order by: the settled slices stay narrow."""
+    return escalated(spark, sf_dir).select("tenant_id", "fingerprint", "signal_id", "created_at")
+
+
 @query(
     "a1_suppression_summary",
     with_views(
@@ -356,7 +361,7 @@ def stale_open(spark, sf_dir):
     ),
 )
 def attached(spark, sf_dir):
-    return lifecycle.attach_signals(escalated(spark, sf_dir)).select("signal_id", "incident_id", "signal_no", "event_type")
+    return lifecycle.attach_signals(escalated_keys(spark, sf_dir)).select("signal_id", "incident_id", "signal_no", "event_type")
 
 
 @query(
@@ -368,7 +373,7 @@ def attached(spark, sf_dir):
     ),
 )
 def triggers(spark, sf_dir):
-    out = lifecycle.analysis_triggers(lifecycle.attach_signals(escalated(spark, sf_dir)))
+    out = lifecycle.analysis_triggers(lifecycle.attach_signals(escalated_keys(spark, sf_dir)))
     return out.withColumn("triggered_at", stamp("triggered_at"))
 
 
@@ -386,7 +391,7 @@ SELECT tenant_id, incident_id, event_type, {duck_stamp("event_ts")} AS event_at,
     ),
 )
 def events(spark, sf_dir):
-    rows = escalated(spark, sf_dir)
+    rows = escalated_keys(spark, sf_dir)
     out = lifecycle.lifecycle_events(lifecycle.attach_signals(rows), lifecycle.activity_blocks(rows), _as_of())
     return out.withColumn("event_at", stamp("event_at"))
 
@@ -419,4 +424,4 @@ def reopen_most_recent(spark, sf_dir):
     ),
 )
 def upsert(spark, sf_dir):
-    return merge.incident_counters(lifecycle.attach_signals(escalated(spark, sf_dir)))
+    return merge.incident_counters(lifecycle.attach_signals(escalated_keys(spark, sf_dir)))
