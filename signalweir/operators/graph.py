@@ -146,13 +146,13 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth
     """
     known = nodes.select("tenant_id", F.col("component").alias("node"))
     start = roots.join(known, [roots["tenant_id"] == known["tenant_id"], roots["root"] == known["node"]], "left_semi")
-    frontier = start.select(
-        "tenant_id", "root", F.col("root").alias("node"), F.lit(1.0).alias("strength"),
-        F.array().cast("array<struct<e:string>>").alias("path"),
+    kind = nodes.schema["component"].dataType.simpleString()
+    frontier = settle(
+        start.select(
+            "tenant_id", "root", F.col("root").alias("node"), F.lit(1.0).alias("strength"),
+            F.array().cast(f"array<{kind}>").alias("path"),
+        )
     )
-    key_kind = nodes.schema["component"].dataType
-    frontier = frontier.withColumn("path", F.array().cast(f"array<{key_kind.simpleString()}>"))
-    frontier = settle(frontier)
     visited = frontier.select("tenant_id", "root", "node")
     waves = None
     steps = edges.select(

@@ -130,12 +130,6 @@ def _first_of(rows: DataFrame, scope: Sequence[str], key: Column) -> DataFrame:
     return first.select(*scope, "_row.*")
 
 
-def retained_order(c: str = "line_no") -> list[Column]:
-    """The order the retained lines of a file are written in."""
-    neg = F.when(F.col("bucket") == 1, -F.col("severity")).otherwise(F.lit(0))
-    return [F.col("sort_key").asc(), F.col("bucket").asc(), neg.asc(), F.col(c).asc()]
-
-
 def retained_text(kept: DataFrame) -> DataFrame:
     """Each file's retained lines as one text; bounded by the retention budget of a file."""
     neg = F.when(F.col("bucket") == 1, -F.col("severity")).otherwise(F.lit(0))
