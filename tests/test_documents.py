@@ -5,7 +5,6 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from signalweir.functions.chunking import BLANK
 from signalweir.operators import documents, retrieval
 from signalweir.sources.documents import accept_documents, read_documents
 
@@ -39,53 +38,36 @@ def test_sections_leave_a_level_when_a_higher_one_opens(spark):
     ]
 
 
-def _by_definition(body, limit, overlap, scrap):
-    """Paragraph packing, spelled out step by step."""
-    out, cur = [], ""
-
-    def push():
-        nonlocal cur
-        if cur:
-            out.append(cur)
-            cur = cur[-overlap:] if overlap > 0 else ""
-
-    for para in [p.strip(BLANK) for p in re.split(r"\n{2,}", body)]:
-        if not para:
-            continue
-        while len(para) > limit:
-            if cur and len(cur) + 1 + len(para) > limit:
-                push()
-            room = limit - (len(cur) + 1 if cur else 0)
-            cut = para.rfind(" ", 0, room + 1)
-            cut = room if cut <= 0 else cut
-            cur = cur + "\n" + para[:cut].strip(BLANK) if cur else para[:cut].strip(BLANK)
-            push()
-            para = para[cut:].strip(BLANK)
-        if cur and len(cur) + 2 + len(para) > limit:
-            push()
-        cur = cur + "\n\n" + para if cur else para
-    if cur:
-        if len(cur) < scrap and out:
-            out[-1] = (out[-1] + "\n\n" + cur).strip(BLANK)
-        else:
-            out.append(cur)
-    return out
-
-
-@pytest.mark.parametrize("limit, overlap, scrap", [(300, 40, 60), (100, 0, 60), (120, 100, 20), (1200, 200, 60)])
-def test_packing_equals_its_definition(spark, limit, overlap, scrap):
+@pytest.mark.parametrize(
+    "body, limit, overlap, scrap, want",
+    [
+        ("aaaa bbbb cccc\n\ndddd eeee ffff", 20, 5, 3, ["aaaa bbbb cccc", " cccc\n\ndddd eeee ffff"]),
+        ("aaa bbb ccc ddd", 10, 0, 3, ["aaa bbb", "ccc ddd"]),
+        ("aaaa bbbb\n\ncc", 10, 0, 5, ["aaaa bbbb\n\ncc"]),
+        ("aaaa\n\n\n  bbbb  \n\ncc", 14, 0, 1, ["aaaa\n\nbbbb\n\ncc"]),
+        ("a" * 24, 10, 4, 1, ["a" * 10, "aaaa", "aaaa\naaaaa", "aaaa", "aaaa\n\n" + "a" * 9]),
+    ],
+)
+def test_packing(spark, body, limit, overlap, scrap, want):
+    got = _chunks(spark, body, max_chars=limit, overlap=overlap, min_chars=scrap)
+    assert [c.content for c in got] == want
+
+
+@pytest.mark.parametrize("limit, overlap", [(300, 0), (300, 40), (1200, 200)])
+def test_packing_loses_nothing(spark, limit, overlap):
     rng = random.Random(limit)
-    texts = []
-    for _ in range(25):
-        paras = [
-            " ".join("w" * rng.randint(1, 40 if rng.random() < 0.97 else 400) for _ in range(rng.randint(1, 90)))
-            for _ in range(rng.randint(1, 6))
-        ]
-        texts.append("\n\n".join(paras))
-    rows = documents.chunk_documents(_docs(spark, *texts), limit, overlap, scrap).collect()
+    texts = [
+        "\n\n".join(
+            " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 300))) for _ in range(rng.randint(1, 6))
+        )
+        for _ in range(20)
+    ]
+    rows = documents.chunk_documents(_docs(spark, *texts), limit, overlap, 1).collect()
     for n, text in enumerate(texts):
         got = [r.content for r in sorted((r for r in rows if r.document_id == n), key=lambda r: r.chunk_index)]
-        assert got == _by_definition(text, limit, overlap, scrap)
+        fresh = got[:1] + [after.removeprefix(before[len(before) - overlap :] if overlap else "") for before, after in zip(got, got[1:])]
+        assert all(len(c) <= limit + overlap + 2 for c in got)
+        assert re.findall(r"w\d+", " ".join(fresh)) == text.split()
 
 
 def test_hard_split_and_bad_overlap(spark):
