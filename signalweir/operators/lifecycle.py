@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from signalweir.functions.signals import incident_title
 from signalweir.scale import OrderedSlices
+from signalweir.session import settle
 
 SILENCE_MINUTES = 30
 COOLDOWN_MINUTES = 15
@@ -153,9 +154,9 @@ def attach_signals(signals: DataFrame, silence: int = SILENCE_MINUTES, cooldown:
     Scans slices of a key, so the hottest entity is spread over many tasks.
     """
     at = F.unix_micros("created_at")
-    scan = OrderedSlices(
-        signals.withColumn("_at", at), _KEYS, [F.col("_at").asc(), F.col("signal_id").asc()]
-    )
+    # settled first: choosing slice borders reads the rows once more, and they carry the triage
+    rows = settle(signals.withColumn("_at", at))
+    scan = OrderedSlices(rows, _KEYS, [F.col("_at").asc(), F.col("signal_id").asc()])
     scan.previous("_prev", F.col("_at"))
     gap = F.col("_at") - F.col("_prev")
     opens = F.col("_prev").isNull() | (gap >= (silence + cooldown) * _MICROS)
