@@ -36,14 +36,17 @@ def hard_split(lines: DataFrame, max_chars: int = MAX_LINE_CHARS) -> DataFrame:
     return lines.select(*rest, F.posexplode(pieces).alias("piece", "raw"))
 
 
+def source_name() -> Column:
+    return F.coalesce(F.when(F.col("source_file") != "", F.col("source_file")), F.lit("unknown-source"))
+
+
 def prepare_lines(lines: DataFrame) -> DataFrame:
     """Trim, drop blanks, name the source, and add stamp, sort key, severity and size."""
     raw = strip_ws(F.col("raw"))
-    source = F.coalesce(F.when(F.col("source_file") != "", F.col("source_file")), F.lit("unknown-source"))
     return (
         lines.withColumn("raw", raw)
         .where(F.col("raw") != "")
-        .withColumn("source_file", source)
+        .withColumn("source_file", source_name())
         .withColumn("stamp", L.log_timestamp(F.col("raw")))
         .withColumn("sort_key", F.coalesce(F.unix_micros(L.sort_instant(F.col("stamp"))), F.lit(LAST)))
         .withColumn("severity", L.severity_class(F.col("raw")))
@@ -138,12 +141,20 @@ def retained_text(kept: DataFrame) -> DataFrame:
     return kept.groupBy(*FILE).agg(F.array_join(lines, "\n").alias("text"))
 
 
-def retention_stats(prepared: DataFrame, kept: DataFrame) -> DataFrame:
-    """Lines and bytes seen, severe and retained per file, and whether anything was dropped."""
-    seen = prepared.groupBy(*FILE).agg(
-        F.count("*").alias("total_lines"),
-        F.sum(F.col("bytes") + 1).alias("total_bytes"),
-        F.count_if(F.col("severity") > 0).alias("severe_lines"),
+def retention_stats(lines: DataFrame, prepared: DataFrame, kept: DataFrame) -> DataFrame:
+    """Lines and bytes seen, severe and retained per file, and whether anything was dropped.
+
+    Lines are those with text; bytes are all that `lines` hold, blanks and line ends included.
+    """
+    read = lines.groupBy("incident_id", source_name().alias("source_file")).agg(
+        F.sum(F.octet_length("raw") + 1).cast("bigint").alias("total_bytes")
+    )
+    text = prepared.groupBy(*FILE).agg(
+        F.count("*").alias("total_lines"), F.count_if(F.col("severity") > 0).alias("severe_lines")
+    )
+    none = F.lit(0).cast("bigint")
+    seen = read.join(text, FILE, "left").withColumns(
+        {c: F.coalesce(c, none) for c in ("total_lines", "severe_lines")}
     )
     left = kept.groupBy(*FILE).agg(
         F.count("*").alias("retained_lines"), F.max("truncated").alias("_cut")
@@ -178,13 +189,19 @@ def positions(fused: DataFrame) -> DataFrame:
     return scan.frame()
 
 
-def fuse_stats(prepared: DataFrame, fused: DataFrame) -> DataFrame:
-    """Fused line count, text length and source count per incident."""
-    sources = prepared.groupBy("incident_id").agg(F.count_distinct("source_file").alias("source_count"))
-    lines = fused.groupBy("incident_id").agg(
+def fuse_stats(lines: DataFrame, fused: DataFrame) -> DataFrame:
+    """Fused line count, text length and source count per incident.
+
+    Sources are those of `lines`, also where all of a source's lines are blank.
+    """
+    sources = lines.groupBy("incident_id").agg(F.count_distinct(source_name()).alias("source_count"))
+    counted = fused.groupBy("incident_id").agg(
         F.count("*").alias("line_count"), (F.sum(F.length("line") + 1) - 1).alias("chars")
     )
-    return lines.join(sources, "incident_id")
+    zero = F.lit(0).cast("bigint")
+    return sources.join(counted, "incident_id", "left").select(
+        "incident_id", F.coalesce("line_count", zero).alias("line_count"), F.coalesce("chars", zero).alias("chars"), "source_count"
+    )
 
 
 def fused_head(placed: DataFrame, max_chars: int = HEAD_CHARS) -> DataFrame:
@@ -243,8 +260,6 @@ def evidence_counts(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("incident_id").agg(F.count("*").alias("evidence_rows"))
 
 
-# "[s] no-timestamp | x": no fused line is shorter than this
-_SHORTEST_FUSED = 20
 _QUESTIONS_PER_PASS = 4096
 
 
@@ -258,8 +273,8 @@ def keyword_excerpt(placed: DataFrame, questions: DataFrame, max_chars: int = 25
     asked = questions.select("question_id", "incident_id", F.filter("terms", lambda t: F.length(t) > 1).alias("terms"))
     asked = asked.withColumn("terms", F.array_distinct(F.transform("terms", F.lower)))
     hits = _matching_lines(placed, asked.where(F.size("terms") > 0), max_chars)
-    most = max_chars // (_SHORTEST_FUSED + 1) + 2
-    first = top_per_key(hits, ["question_id"], [F.col("line_index").asc()], most, "_n")
+    # a line takes its line end at least, so no more than this many can begin inside the excerpt
+    first = top_per_key(hits, ["question_id"], [F.col("line_index").asc()], max_chars + 2, "_n")
     w = Window.partitionBy("question_id").orderBy("line_index").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.length("line") + 1).over(w) - 1, F.lit(0))
     fitting = first.withColumn("_before", before).where(F.col("_before") <= max_chars)

@@ -13,6 +13,7 @@ from signalweir.functions.redaction import (
     CLOSE, OPEN, PLACEHOLDER, TOKEN, interim_token, with_scan,
 )
 from signalweir.scale import OrderedSlices
+from signalweir.session import settle
 
 _MAP_COLUMNS = ["incident_id", "placeholder", "type", "value", "token"]
 
@@ -49,8 +50,13 @@ def number_placeholders(hits: DataFrame, seed: DataFrame | None = None) -> DataF
         F.col("_f.text_seq").alias("_s"), F.col("_f.detector").alias("_d"), F.col("_f.position").alias("_p"),
     )
     taken = F.lit(0).cast("bigint")
+    known = None
     if seed is not None:
-        first = first.join(seed.select("incident_id", "value"), ["incident_id", "value"], "left_anti")
+        known = settle(with_tokens(seed))
+        # hits and seed meet by token: the hits' values hold tokens where the seed's hold placeholders
+        first = first.withColumn("token", interim_token(F.col("value"))).join(
+            known.select("incident_id", "token"), ["incident_id", "token"], "left_anti"
+        )
         used = seed.groupBy("incident_id", "type").agg(
             F.max(F.regexp_extract("placeholder", f"_([0-9]+){CLOSE}", 1).cast("bigint")).alias("_used")
         )
@@ -69,15 +75,16 @@ def number_placeholders(hits: DataFrame, seed: DataFrame | None = None) -> DataF
         "value",
         interim_token(F.col("value")).alias("token"),
     )
-    return _resolve_nested(fresh)
+    return _resolve_nested(fresh, known)
 
 
-def _resolve_nested(mapping: DataFrame) -> DataFrame:
-    """A value may itself hold tokens of earlier detectors: give it their placeholders."""
+def _resolve_nested(mapping: DataFrame, known: DataFrame | None) -> DataFrame:
+    """A value may itself hold tokens of earlier detectors, seen now or before: give it their placeholders."""
+    every = mapping if known is None else mapping.unionByName(known)
     nested = mapping.where(F.col("value").rlike(TOKEN)).select(
         "incident_id", F.col("placeholder").alias("text_id"), F.col("value").alias("interim")
     )
-    solved = redact(nested, mapping).select(
+    solved = redact(nested, every).select(
         "incident_id", F.col("text_id").alias("placeholder"), F.col("redacted").alias("_value")
     )
     return mapping.join(solved, ["incident_id", "placeholder"], "left").select(
@@ -86,8 +93,46 @@ def _resolve_nested(mapping: DataFrame) -> DataFrame:
 
 
 def with_tokens(seed: DataFrame) -> DataFrame:
-    """A stored map in the shape `redact` takes."""
-    return seed.withColumn("token", interim_token(F.col("value"))).select(*_MAP_COLUMNS)
+    """A stored map in the shape `redact` takes.
+
+    The token of a value is that of its form in a scanned text, where inner values stand as
+    tokens: stored inner placeholders become tokens first, innermost values before others.
+    A pass that settles nothing more ends it, so a placeholder that is plain text stays.
+    """
+    rows = settle(seed.select("incident_id", "placeholder", "type", "value").withColumn("_form", F.col("value")))
+    done, open_rows = rows.where(~_holds("_form")), rows.where(_holds("_form"))
+    while not open_rows.isEmpty():
+        tokens = done.select("incident_id", "placeholder", interim_token(F.col("_form")).alias("token"))
+        named = open_rows.withColumn("text_id", F.col("placeholder"))
+        swapped = settle(_swap(named, "_form", "_swapped", PLACEHOLDER, tokens, "placeholder", "token"))
+        moved = swapped.where("_swapped != _form").drop("text_id", "_form").withColumnRenamed("_swapped", "_form")
+        stuck = swapped.where("_swapped = _form").drop("text_id", "_swapped")
+        done = settle(done.unionByName(moved.where(~_holds("_form"))).unionByName(stuck))
+        open_rows = moved.where(_holds("_form"))
+    return done.withColumn("token", interim_token(F.col("_form"))).select(*_MAP_COLUMNS)
+
+
+def _holds(column: str) -> Column:
+    return F.col(column).rlike(PLACEHOLDER)
+
+
+def _opened(mapping: DataFrame) -> DataFrame:
+    """(incident_id, placeholder, value) with the placeholders inside values opened too.
+
+    Each pass opens values by the others as far as they are opened, so five reach a depth of
+    thirty-two; there are twenty detectors.  A value that holds its own placeholder stays.
+    """
+    rows = settle(mapping.select("incident_id", "placeholder", "value"))
+    for _ in range(5):
+        nested = _holds("value") & ~F.contains("value", "placeholder")
+        if rows.where(nested).isEmpty():
+            break
+        inner = rows.where(nested).withColumn("text_id", F.col("placeholder"))
+        solved = _swap(inner, "value", "_to", PLACEHOLDER, rows, "placeholder", "value")
+        rows = settle(
+            rows.where(~nested).unionByName(solved.select("incident_id", "placeholder", F.col("_to").alias("value")))
+        )
+    return rows
 
 
 def _swap(texts: DataFrame, column: str, out: str, pattern: str, mapping: DataFrame, key: str, value: str) -> DataFrame:
@@ -120,14 +165,19 @@ def redact(detected: DataFrame, mapping: DataFrame) -> DataFrame:
     return _swap(detected, "interim", "redacted", TOKEN, mapping, "token", "placeholder")
 
 
-def rehydrate(texts: DataFrame, mapping: DataFrame, column: str = "text", out: str = "restored") -> DataFrame:
-    """Swap placeholders back for the values they stand for.
+def rehydrate(
+    texts: DataFrame, mapping: DataFrame, column: str = "text", out: str = "restored", json: bool = False
+) -> DataFrame:
+    """Swap placeholders back for the values they stand for, values inside values included.
 
-    Works on any text column, a JSON payload included.  A value that itself holds
-    placeholders is opened in a second pass.
+    With `json` the column holds JSON and values go in as the inside of a JSON string, so
+    quotes, backslashes and line ends in them leave it valid.
     """
-    once = _swap(texts, column, "_once", PLACEHOLDER, mapping, "placeholder", "value")
-    return _swap(once, "_once", out, PLACEHOLDER, mapping, "placeholder", "value").drop("_once")
+    values = _opened(mapping)
+    if json:
+        quoted = F.to_json(F.array("value"))
+        values = values.withColumn("value", F.substr(quoted, F.lit(3), F.length(quoted) - 4))
+    return _swap(texts, column, out, PLACEHOLDER, values, "placeholder", "value")
 
 
 def new_mappings(mapping: DataFrame, stored: DataFrame) -> DataFrame:

@@ -90,16 +90,18 @@ def retained_text(spark, sf_dir):
     with_views(
         ["v_log_lines"],
         _RETAIN
-        + """, t AS (SELECT incident_id, source_file, count(*) AS total_lines, CAST(sum(bytes + 1) AS BIGINT) AS total_bytes,
-  count(*) FILTER (WHERE severity > 0) AS severe_lines FROM lines GROUP BY 1, 2),
+        + """, t AS (SELECT incident_id, source_file, count(*) AS total_lines, count(*) FILTER (WHERE severity > 0) AS severe_lines FROM lines GROUP BY 1, 2),
+r AS (SELECT incident_id, source_file, CAST(sum(strlen(raw) + 3) AS BIGINT) AS total_bytes FROM v_log_lines GROUP BY 1, 2),
 k AS (SELECT incident_id, source_file, count(*) AS retained_lines FROM kept GROUP BY 1, 2)
-SELECT t.*, coalesce(retained_lines, 0) AS retained_lines, coalesce(retained_lines, 0) < total_lines AS truncated
-FROM t LEFT JOIN k USING (incident_id, source_file)""",
+SELECT t.*, total_bytes, coalesce(retained_lines, 0) AS retained_lines, coalesce(retained_lines, 0) < total_lines AS truncated
+FROM t JOIN r USING (incident_id, source_file) LEFT JOIN k USING (incident_id, source_file)""",
     ),
 )
 def retention_stats(spark, sf_dir):
-    prepared = _prepared(spark, sf_dir)
-    return logs.retention_stats(prepared, logs.retain_lines(prepared, max_bytes=4000))
+    # two blanks at the end of each line: read, but no part of its text
+    lines = _lines(spark, sf_dir).withColumn("raw", F.concat("raw", F.lit("  ")))
+    prepared = logs.prepare_lines(lines)
+    return logs.retention_stats(lines, prepared, logs.retain_lines(prepared, max_bytes=4000))
 
 
 @query(
@@ -118,12 +120,18 @@ def fused_lines(spark, sf_dir):
         ["v_log_lines"],
         _FUSE
         + """ SELECT incident_id, count(*) AS line_count, CAST(sum(length(line) + 1) - 1 AS BIGINT) AS chars,
-  (SELECT count(DISTINCT source_file) FROM lines l WHERE l.incident_id = fused.incident_id) AS source_count FROM fused GROUP BY incident_id""",
+  (SELECT count(DISTINCT source_file) + 1 FROM lines l WHERE l.incident_id = fused.incident_id) AS source_count FROM fused GROUP BY incident_id""",
     ),
 )
 def fuse_stats(spark, sf_dir):
-    prepared = _prepared(spark, sf_dir)
-    return logs.fuse_stats(prepared, logs.fuse_lines(prepared))
+    lines = _lines(spark, sf_dir)
+    # a further source per incident that holds nothing but a blank line
+    blank = lines.select("incident_id").distinct().select(
+        "incident_id", F.lit("blank.log").alias("source_file"), F.lit(-1).cast(lines.schema["line_no"].dataType).alias("line_no"), F.lit("  ").alias("raw")
+    )
+    lines = lines.unionByName(blank)
+    prepared = logs.prepare_lines(lines)
+    return logs.fuse_stats(lines, logs.fuse_lines(prepared))
 
 
 @query(
@@ -243,6 +251,81 @@ def redaction_counts(spark, sf_dir):
     return redaction.redaction_counts(_redacted(spark, sf_dir)[1])
 
 
+# passwords that hold access keys, uploaded twice: first the even lines, then all of them
+_NESTED = """n0 AS (SELECT incident_id, line_no, concat('AKIA', lpad(CAST(line_no % 5 AS STRING), 16, '0')) AS inner_value FROM v_log_lines),
+n1 AS (SELECT *, concat('p', inner_value, 'q', CAST(line_no % 11 AS STRING)) AS value FROM n0)"""
+_NUMBERED = """f AS (SELECT incident_id, kind, value, min(CASE WHEN line_no % 2 = 0 THEN line_no END) AS one, min(line_no) AS two FROM (
+  SELECT incident_id, line_no, 'AWS_KEY' AS kind, inner_value AS value FROM n1 UNION ALL SELECT incident_id, line_no, 'PASSWORD', value FROM n1) GROUP BY 1, 2, 3),
+m AS (SELECT incident_id, kind, value, concat('«', kind, '_', CAST(row_number() OVER (PARTITION BY incident_id, kind ORDER BY one IS NULL, one, two) AS VARCHAR), '»') AS placeholder FROM f)"""
+
+
+def _nested_texts(spark, sf_dir):
+    lines = view(spark, sf_dir, "v_log_lines")
+    inner = F.concat(F.lit("AKIA"), F.lpad((F.col("line_no") % 5).cast("string"), 16, "0"))
+    value = F.concat(F.lit("open postgres://app:p"), inner, F.lit("q"), (F.col("line_no") % 11).cast("string"), F.lit("@db/x"))
+    return lines.select("incident_id", F.col("line_no").alias("text_id"), F.col("line_no").alias("text_seq"), value.alias("text"))
+
+
+def _reuploaded(spark, sf_dir):
+    """(scanned texts of the second upload, stored map of the first, new rows of the second)."""
+    texts = _nested_texts(spark, sf_dir)
+    one = settle(redaction.detect_sensitive(texts.where("text_id % 2 = 0")))
+    stored = settle(redaction.number_placeholders(redaction.sensitive_hits(one)).drop("token"))
+    two = settle(redaction.detect_sensitive(texts))
+    return two, stored, redaction.number_placeholders(redaction.sensitive_hits(two), stored)
+
+
+@query(
+    "r3_reuploaded_lines",
+    with_views(
+        ["v_log_lines"],
+        _NESTED + ", " + _NUMBERED
+        + """ SELECT line_no AS text_id, concat('open postgres://app:', placeholder, '@db/x') AS redacted, concat('open postgres://app:', n1.value, '@db/x') AS restored
+FROM n1 JOIN m ON m.incident_id = n1.incident_id AND m.value = n1.value AND kind = 'PASSWORD'""",
+    ),
+)
+def reuploaded_lines(spark, sf_dir):
+    detected, stored, fresh = _reuploaded(spark, sf_dir)
+    mapping = settle(fresh.unionByName(redaction.with_tokens(stored)))
+    done = settle(redaction.redact(detected, mapping).select("incident_id", "text_id", "redacted"))
+    return redaction.rehydrate(done, mapping, "redacted").select("text_id", "redacted", "restored")
+
+
+@query(
+    "r4_reuploaded_map",
+    with_views(
+        ["v_log_lines"],
+        _NESTED + ", " + _NUMBERED
+        + """, i AS (SELECT DISTINCT incident_id, inner_value, value FROM n1)
+SELECT m.incident_id, m.placeholder, m.kind AS type, CASE WHEN m.kind = 'AWS_KEY' THEN m.value ELSE replace(m.value, i.inner_value, k.placeholder) END AS value
+FROM m LEFT JOIN i ON i.incident_id = m.incident_id AND i.value = m.value AND m.kind = 'PASSWORD'
+LEFT JOIN m k ON k.incident_id = i.incident_id AND k.value = i.inner_value AND k.kind = 'AWS_KEY'""",
+    ),
+)
+def reuploaded_map(spark, sf_dir):
+    _, stored, fresh = _reuploaded(spark, sf_dir)
+    return stored.unionByName(fresh.drop("token"))
+
+
+@query(
+    "r5_rehydrated_payloads",
+    with_views(["v_log_lines"], """SELECT line_no AS text_id, concat('saw pa"ss', chr(92), CAST(line_no % 7 AS VARCHAR), ' here') AS seen, line_no AS n FROM v_log_lines"""),
+)
+def rehydrated_payloads(spark, sf_dir):
+    lines = view(spark, sf_dir, "v_log_lines")
+    value = F.concat(F.lit('pa"ss\\'), (F.col("line_no") % 7).cast("string"))
+    texts = lines.select(
+        "incident_id", F.col("line_no").alias("text_id"), F.col("line_no").alias("text_seq"),
+        F.concat(F.lit("open db://app:"), value, F.lit("@db/x")).alias("text"),
+    )
+    detected = settle(redaction.detect_sensitive(texts))
+    mapping = settle(redaction.number_placeholders(redaction.sensitive_hits(detected)))
+    found = redaction.redact(detected, mapping).withColumn("_p", F.regexp_extract("redacted", "(«[A-Z_]+_[0-9]+»)", 1))
+    payload = F.to_json(F.struct(F.concat(F.lit("saw "), "_p", F.lit(" here")).alias("seen"), F.col("text_id").alias("n")))
+    back = redaction.rehydrate(found.select("incident_id", "text_id", payload.alias("text")), mapping, json=True)
+    return back.select("text_id", F.from_json("restored", "seen string, n long").alias("r")).select("text_id", "r.*")
+
+
 _LUHN = """list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 1
   THEN CASE WHEN CAST(d[i] AS INT) >= 5 THEN CAST(d[i] AS INT) * 2 - 9 ELSE CAST(d[i] AS INT) * 2 END ELSE CAST(d[i] AS INT) END)) % 10 = 0"""
 

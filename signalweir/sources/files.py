@@ -26,26 +26,39 @@ def read_log_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def misnamed_gzip(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files that hold gzip data without a gzip name, with their content."""
-    files = spark.read.format("binaryFile").load(paths)
-    gz = (F.substring("content", 1, 2) == F.unhex(F.lit("1F8B"))) & ~F.lower("path").rlike(r"\.g(z|zip)\z")
-    return files.where(gz).select(F.col("path").alias("source_file"), "content")
+    """Files that hold gzip data without a gzip name, with their content.
+
+    The first row of a file tells; rows are streamed, no file is held whole for it.  Only the
+    names of the files found reach the driver, and only those files are then read whole.
+    """
+    lines = read_log_lines(spark, paths)
+    head = F.substring(F.col("raw").cast("binary"), 1, 2) == F.unhex(F.lit("1F8B"))
+    start = lines.where("line_no.block = 0").groupBy("source_file").agg(F.min_by(head, "line_no").alias("_gz"))
+    names = start.where(F.col("_gz") & ~F.lower("source_file").rlike(r"\.g(z|zip)\z")).select("source_file")
+    found = [r.source_file for r in names.collect()]
+    if not found:
+        return spark.createDataFrame([], "source_file string, content binary")
+    files = spark.read.format("binaryFile").load(found)
+    return files.select(F.col("path").alias("source_file"), "content")
 
 
 def read_gzip_lines(files: DataFrame) -> DataFrame:
-    """Line rows of the files `misnamed_gzip` lists (also of *.gzip, whose name no codec claims)."""
+    """Line rows of the files `misnamed_gzip` lists (also of *.gzip, whose name no codec claims).
+
+    A file may be several gzip members one after another; all are read.  What follows the
+    last member and is no member itself is left out, as gunzip does.
+    """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["source_file"], batch["content"]):
-                text, row, tail, lines = zlib.decompressobj(wbits=31), 0, b"", []
-                for at in range(0, len(content), 1 << 20):
-                    *whole, tail = (tail + text.decompress(content[at : at + (1 << 20)])).split(b"\n")
+                row, tail = 0, b""
+                for part in _members(content):
+                    *whole, tail = (tail + part).split(b"\n")
                     lines = [w.decode("utf-8", "replace") for w in whole]
                     if lines:
                         yield pd.DataFrame({"source_file": name, "row": range(row, row + len(lines)), "raw": lines})
                         row += len(lines)
-                tail += text.flush()
                 if tail:
                     yield pd.DataFrame({"source_file": [name], "row": [row], "raw": [tail.decode("utf-8", "replace")]})
 
@@ -54,6 +67,18 @@ def read_gzip_lines(files: DataFrame) -> DataFrame:
     return rows.select("source_file", line_no.alias("line_no"), "raw")
 
 
+def _members(content: bytes) -> Iterator[bytes]:
+    """The plain bytes of every gzip member, a piece at a time."""
+    rest = memoryview(content)
+    while rest[:2] == b"\x1f\x8b":
+        member, at = zlib.decompressobj(wbits=31), 0
+        while at < len(rest) and not member.eof:
+            yield member.decompress(rest[at : at + (1 << 20)])
+            at += 1 << 20
+        yield member.flush()
+        rest = rest[min(at, len(rest)) - len(member.unused_data) :] if member.eof else rest[:0]
+
+
 def binary_files(lines: DataFrame) -> DataFrame:
     """source_file of files that are not text, judged by their first 8192 bytes.
 

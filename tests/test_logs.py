@@ -22,16 +22,32 @@ def test_trim_and_blank(spark):
 def test_earliest_survive_and_buried_fatal_is_kept(spark):
     raws = [f"2026-07-14T10:{i // 60:02d}:{i % 60:02d}Z INFO line {i}" for i in range(3000, 0, -1) if i < 3600]
     raws.append("2026-07-14T11:30:00Z FATAL pool exhausted")
-    prepared = logs.prepare_lines(_lines(spark, *raws))
+    lines = _lines(spark, *raws)
+    prepared = logs.prepare_lines(lines)
     kept = logs.retain_lines(prepared, max_bytes=2000)
     text = logs.retained_text(kept).first().text.split("\n")
     assert text[0].endswith("line 1") and "FATAL" in text[-1]
-    stats = logs.retention_stats(prepared, kept).first()
+    stats = logs.retention_stats(lines, prepared, kept).first()
     assert stats.truncated and stats.severe_lines == 1 and stats.total_lines == 3001
     first = sum(len(t) + 1 for t in text[:-1])
     assert first <= 800
 
 
+def test_every_byte_and_source_counts(spark):
+    lines = _lines(spark, "  hello  ", "   ").unionByName(_lines(spark, "  ", source="blank.log"))
+    prepared = logs.prepare_lines(lines)
+    stats = {r.source_file: r for r in logs.retention_stats(lines, prepared, logs.retain_lines(prepared)).collect()}
+    assert (stats["a.log"].total_bytes, stats["a.log"].total_lines) == (14, 1)
+    assert (stats["blank.log"].total_bytes, stats["blank.log"].total_lines, stats["blank.log"].truncated) == (3, 0, False)
+    assert logs.fuse_stats(lines, logs.fuse_lines(prepared)).first().source_count == 2
+
+
+def test_excerpt_takes_short_lines_up_to_its_length(spark):
+    placed = spark.createDataFrame([("i", n, n * 5, "term") for n in range(900)], "incident_id string, line_index long, offset long, line string")
+    asked = spark.createDataFrame([("q", "i", ["term"])], "question_id string, incident_id string, terms array<string>")
+    assert len(logs.keyword_excerpt(placed, asked, 2500).first().excerpt) == 2500
+
+
 def test_budget_stops_at_the_first_line_that_overflows(spark):
     raws = ["2024-01-01 00:00:01 aaaa", "2024-01-01 00:00:02 " + "b" * 200, "2024-01-01 00:00:03 c"]
     kept = logs.retain_lines(logs.prepare_lines(_lines(spark, *raws)), max_bytes=150)
@@ -58,7 +74,7 @@ def test_two_sources_merge_and_repeats_drop(spark):
     assert [r.raw for r in logs.positions(fused).orderBy("line_index").collect()] == [
         "2024-01-01T10:00:01Z a", "2024-01-01T10:00:02Z b", "ERROR db DOWN"
     ]
-    assert logs.fuse_stats(prepared, fused).first().source_count == 2
+    assert logs.fuse_stats(rows, fused).first().source_count == 2
 
 
 @pytest.mark.parametrize(
@@ -130,6 +146,15 @@ def test_files(spark, tmp_path):
     assert [r.raw for r in files.read_gzip_lines(hidden).orderBy("line_no").collect()] == ["hidden gz line", "next"]
 
 
+def test_every_gzip_member_is_read(spark, tmp_path):
+    parts = [b"one\ntw", b"o\nthree\n" * 3, b"four"]
+    (tmp_path / "m.log").write_bytes(b"".join(map(gzip.compress, parts)) + b"junk")
+    (tmp_path / "n.log").write_bytes(gzip.compress(b"a\n" * 900_000))
+    got = files.read_gzip_lines(files.misnamed_gzip(spark, str(tmp_path)))
+    assert [r.raw for r in got.where(F.col("source_file").endswith("m.log")).orderBy("line_no").collect()] == b"".join(parts).decode().split("\n")
+    assert got.where(F.col("source_file").endswith("n.log")).count() == 900_000
+
+
 def test_line_order_survives_file_splits(spark, tmp_path):
     (tmp_path / "big.log").write_text("".join(f"line {i:06d}\n" for i in range(20000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
