@@ -120,7 +120,7 @@ def graph_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.coalesce(F.col("_name").cast("string"), F.lit("unknown")).alias("downstream"),
         "occurrence_count",
         "last_seen_at",
-    )
+    ).orderBy("tenant_id", "component", F.col("occurrence_count").desc(), "downstream")
 
 
 def best_graph_context(texts: DataFrame, context: DataFrame) -> DataFrame:
@@ -144,20 +144,21 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth
     first path is found by a partial aggregate.  Each level is settled, which keeps the plan
     flat and lets a lost executor re-read a level instead of recomputing the walk.
     """
-    known = nodes.select("tenant_id", F.col("component").alias("node"))
-    start = roots.join(known, [roots["tenant_id"] == known["tenant_id"], roots["root"] == known["node"]], "left_semi")
+    # each level reads both: settled once, the aggregates behind them run once
+    known = settle(nodes.select("tenant_id", F.col("component").alias("node")))
+    steps = settle(
+        edges.select("tenant_id", F.col("from_node").alias("node"), F.col("to_node").alias("next"), "occurrence_count")
+    )
+    start = roots.select("tenant_id", "root", F.col("root").alias("node")).join(known, ["tenant_id", "node"], "left_semi")
     kind = nodes.schema["component"].dataType.simpleString()
     frontier = settle(
         start.select(
-            "tenant_id", "root", F.col("root").alias("node"), F.lit(1.0).alias("strength"),
+            "tenant_id", "root", "node", F.lit(1.0).alias("strength"),
             F.array().cast(f"array<{kind}>").alias("path"),
         )
     )
     visited = frontier.select("tenant_id", "root", "node")
     waves = None
-    steps = edges.select(
-        "tenant_id", F.col("from_node").alias("node"), F.col("to_node").alias("next"), "occurrence_count"
-    )
     for wave in range(1, max_depth + 1):
         reached = (
             frontier.join(steps, ["tenant_id", "node"])
@@ -188,6 +189,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth
             )
         )
     shown = waves.join(known, ["tenant_id", "node"], "left_semi")
+    shown = shown.orderBy("tenant_id", "root", "wave", F.col("strength").desc(), "node")
     return shown.select(
         "tenant_id", "root", F.col("node").alias("component"), "wave",
         F.when(F.col("parent") == F.col("root"), F.col("root")).alias("via_component"),

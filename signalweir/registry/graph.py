@@ -195,7 +195,7 @@ def best_context(spark, sf_dir):
 def _walk() -> str:
     parts = [
         """tot AS (SELECT tenant_id, from_node, sum(occurrence_count) AS total FROM v_edges GROUP BY 1, 2),
-roots AS (SELECT tenant_id, from_node AS root FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY total DESC, from_node) AS rn FROM tot) WHERE rn <= 10),
+roots AS (SELECT tenant_id, from_node AS root FROM tot),
 w0 AS (SELECT tenant_id, root, root AS node, CAST([] AS BIGINT[]) AS path, NULL::BIGINT AS parent, NULL::BIGINT AS occ, CAST(1 AS DOUBLE) AS strength, 0 AS wave FROM roots)"""
     ]
     for n in range(1, 5):
@@ -218,7 +218,7 @@ w{n} AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY t
 @query("g3_blast_radius", with_views(["v_edges"], _walk()))
 def blast(spark, sf_dir):
     nodes, edges = _parts(spark, sf_dir)
-    return graph.blast_radius(nodes, edges, graph.busiest_components(edges, 10).drop("total"))
+    return graph.blast_radius(nodes, edges, edges.select("tenant_id", F.col("from_node").alias("root")).distinct())
 
 
 @query(

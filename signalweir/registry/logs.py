@@ -139,11 +139,11 @@ def fuse_stats(spark, sf_dir):
     with_views(
         ["v_log_lines"],
         _FUSE
-        + """ SELECT incident_id, substr(string_agg(line, chr(10) ORDER BY line_index), 1, 150000) AS head FROM placed GROUP BY incident_id""",
+        + """ SELECT incident_id, substr(string_agg(line, chr(10) ORDER BY line_index), 1, 3000) AS head FROM placed GROUP BY incident_id""",
     ),
 )
 def fused_head(spark, sf_dir):
-    return logs.fused_head(logs.positions(logs.fuse_lines(_prepared(spark, sf_dir))))
+    return logs.fused_head(logs.positions(logs.fuse_lines(_prepared(spark, sf_dir))), 3000)
 
 
 @query("d4_line_chunks")

@@ -278,9 +278,10 @@ def embedding_inputs(spark, sf_dir):
 
 
 def _line_questions(spark, sf_dir):
-    """One question per dialogue, about one of the incidents that have lines."""
-    asked = view(spark, sf_dir, "v_chat").where("turn = 0")
-    terms = F.concat_ws(" ", F.lit("value=12 fatal user3"), F.col("content"))
+    """A question per turn, about one of the incidents that have lines; every other one names nothing in them."""
+    asked = view(spark, sf_dir, "v_chat").withColumn("incident_id", F.col("incident_id") * 1000 + F.col("turn"))
+    named = F.when(F.col("incident_id") % 2 == 0, F.lit("value=12 fatal user3 ")).otherwise(F.lit("zzzz "))
+    terms = F.concat(named, F.col("content"))
     return asked.select(
         F.col("incident_id").alias("question_id"), F.concat(F.lit("inc"), (F.col("incident_id") % 40).cast("string")).alias("incident_id"),
         query_terms(terms).alias("terms"),
@@ -293,7 +294,8 @@ def _line_questions(spark, sf_dir):
         ["v_log_lines", "v_chat"],
         _FUSE
         + f""", q AS (SELECT incident_id AS question_id, concat('inc', CAST(incident_id % 40 AS VARCHAR)) AS incident_id,
-  list_distinct({_duck_tokens("concat('value=12 fatal user3 ', content)")}) AS terms FROM v_chat WHERE turn = 0),
+  list_distinct({_duck_tokens("concat(CASE WHEN incident_id % 2 = 0 THEN 'value=12 fatal user3 ' ELSE 'zzzz ' END, content)")}) AS terms
+  FROM (SELECT incident_id * 1000 + turn AS incident_id, content FROM v_chat)),
 t AS (SELECT question_id, incident_id, unnest(terms) AS term FROM q),
 hit AS (SELECT DISTINCT t.question_id, p.line_index, p.line FROM t JOIN placed p ON p.incident_id = t.incident_id AND contains(lower(p.line), t.term)),
 run AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY question_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0) AS before FROM hit),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from signalweir.functions import signals as S
@@ -320,16 +322,20 @@ def sessions(spark, sf_dir):
     with_views(
         ["v_escalated"],
         _ATTACH
-        + f""", s AS (SELECT incident_id, max(created_at) AS l, count(*) AS signal_count,
+        + f""", clock AS (SELECT max(created_at) + INTERVAL 1 MINUTE AS now FROM v_escalated),
+s AS (SELECT incident_id, max(created_at) AS l, count(*) AS signal_count,
   arg_min(entity, signal_no) AS entity, arg_min(title, signal_no) AS t, arg_min(message, signal_no) AS description FROM a GROUP BY incident_id)
 SELECT incident_id, entity, concat(entity, ': ', t) AS title, description, signal_count,
-  CASE WHEN l < TIMESTAMP '{AS_OF}' - INTERVAL 30 MINUTE THEN 'resolved' ELSE 'open' END AS status,
-  {duck_stamp(f"CASE WHEN l < TIMESTAMP '{AS_OF}' - INTERVAL 30 MINUTE THEN l + INTERVAL 30 MINUTE END")} AS resolved_at,
-  CASE WHEN l < TIMESTAMP '{AS_OF}' - INTERVAL 30 MINUTE THEN 'auto-resolved: no signals for 30m' END AS resolution FROM s""",
+  CASE WHEN l < now - INTERVAL 30 MINUTE THEN 'resolved' ELSE 'open' END AS status,
+  {duck_stamp("CASE WHEN l < now - INTERVAL 30 MINUTE THEN l + INTERVAL 30 MINUTE END")} AS resolved_at,
+  CASE WHEN l < now - INTERVAL 30 MINUTE THEN 'auto-resolved: no signals for 30m' END AS resolution FROM s, clock""",
     ),
 )
 def rollup(spark, sf_dir):
-    out = lifecycle.incident_rollup(escalated(spark, sf_dir), _as_of())
+    rows = escalated(spark, sf_dir)
+    # a minute after the last signal, so that its incident is still open
+    now = rows.agg(F.max("created_at")).first()[0] + timedelta(minutes=1)
+    out = lifecycle.incident_rollup(rows, F.lit(now))
     return out.select(
         "incident_id", "entity", "title", "description", "signal_count", "status",
         stamp("resolved_at").alias("resolved_at"), "resolution",
@@ -404,13 +410,13 @@ def events(spark, sf_dir):
         + """, s AS (SELECT tenant_id, fingerprint, incident_id, max(created_at) + INTERVAL 30 MINUTE AS r FROM a GROUP BY ALL)
 SELECT v.signal_id, arg_max(s.incident_id, s.r) AS incident_id FROM v_escalated v
   JOIN s ON s.tenant_id = v.tenant_id AND s.fingerprint = v.fingerprint
-    AND s.r > v.created_at + INTERVAL 10 MINUTE - INTERVAL 15 MINUTE AND s.r <= v.created_at + INTERVAL 10 MINUTE GROUP BY 1""",
+    AND s.r > v.created_at + INTERVAL 35 MINUTE - INTERVAL 15 MINUTE AND s.r <= v.created_at + INTERVAL 35 MINUTE GROUP BY 1""",
     ),
 )
 def reopen_most_recent(spark, sf_dir):
     rows = escalated(spark, sf_dir)
     incidents = lifecycle.incident_rollup(rows, _as_of())
-    later = rows.withColumn("created_at", F.expr("created_at + INTERVAL 10 MINUTES"))
+    later = rows.withColumn("created_at", F.expr("created_at + INTERVAL 35 MINUTES"))
     return lifecycle.reopen_candidates(incidents, later)
 
 

@@ -73,18 +73,16 @@ def stream_incidents(spark, sf_dir):
         ["v_escalated"],
         batch._ATTACH
         + """, nx AS (SELECT *, lead(created_at) OVER (PARTITION BY tenant_id, fingerprint ORDER BY created_at, signal_id) AS nxt FROM a)
-SELECT tenant_id, incident_id, signal_no, epoch_us(created_at) + 1800000000 AS event_us FROM nx WHERE nxt - created_at > INTERVAL 30 MINUTE""",
+SELECT tenant_id, incident_id, signal_no, epoch_us(created_at) + 1800000000 AS event_us FROM nx
+WHERE nxt - created_at > INTERVAL 30 MINUTE OR (nxt IS NULL AND created_at + INTERVAL 30 MINUTE < (SELECT max(created_at) FROM v_escalated) - INTERVAL 10 MINUTE)""",
     ),
 )
 def stream_resolutions(spark, sf_dir):
-    """Resolutions that a later signal of the same key confirms; the last ones wait for the watermark."""
+    """Resolutions seen by a later signal of the key, and those that only the timer finds, up to the watermark."""
     _rocks(spark)
     escalated, _ = triage.split_decisions(triage.triage(_signals(spark, sf_dir)))
     out = _drained(spark, incidents.stream_incidents(escalated))
-    ends = out.where("event_type = 'resolved'")
-    last = out.groupBy("tenant_id", "fingerprint").agg(F.max(F.when(F.col("signal_id").isNotNull(), F.col("event_us"))).alias("_last"))
-    confirmed = ends.join(last, ["tenant_id", "fingerprint"]).where("event_us < _last")
-    return confirmed.select("tenant_id", "incident_id", "signal_no", "event_us")
+    return out.where("event_type = 'resolved'").select("tenant_id", "incident_id", "signal_no", "event_us")
 
 
 @query(

@@ -5,6 +5,8 @@ Text is shared by the two dialects unless a second form is given.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from signalweir.session import configure
@@ -80,9 +82,9 @@ FROM orders JOIN customer ON c_custkey = o_custkey""",
     ),
     "v_edges": (
         """SELECT concat('t', CAST(l_suppkey % 2 AS STRING)) AS tenant_id, CAST(l_partkey AS BIGINT) AS from_node,
-  CAST((l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS BIGINT) AS to_node, count(*) AS occurrence_count,
+  CAST((l_partkey * 7 + l_linenumber % 2) % (SELECT count(*) FROM part) AS BIGINT) AS to_node, count(*) AS occurrence_count,
   max(l_shipdate) AS last_seen_at
-FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2, 3""",
+FROM lineitem GROUP BY 1, 2, 3""",
         None,
         [],
     ),
@@ -97,7 +99,8 @@ FROM lineitem GROUP BY 1, 2, 3""",
         """SELECT concat('i', CAST(l_suppkey AS STRING)) AS incident_id, concat('t', CAST(l_suppkey % 3 AS STRING)) AS tenant_id,
   CAST(l_linenumber AS BIGINT) AS position,
   concat(CASE WHEN l_linenumber > 5 THEN 'Cause  no-' ELSE 'cause no ' END, CAST((l_linenumber * 3) % 5 AS STRING)) AS hypothesis,
-  CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 2 THEN NULL ELSE CAST(sum(l_quantity) AS DOUBLE) END AS prior,
+  CASE WHEN l_suppkey % 5 = 0 AND l_linenumber = 2 THEN NULL WHEN l_suppkey % 4 = 1 AND l_linenumber = 1 THEN CAST(sum(l_quantity) * 40 AS DOUBLE)
+    ELSE CAST(sum(l_quantity) AS DOUBLE) END AS prior,
   CASE l_linenumber WHEN 1 THEN 'Auth-Service' WHEN 2 THEN 'payment' WHEN 3 THEN 'checkout-api (pool)' WHEN 4 THEN 'redis' END AS component
 FROM lineitem GROUP BY l_suppkey, l_linenumber""",
         None,
@@ -105,7 +108,8 @@ FROM lineitem GROUP BY l_suppkey, l_linenumber""",
     ),
     # four voters per incident
     "v_ballots": (
-        """SELECT concat('i', CAST(l_suppkey AS STRING)) AS incident_id, concat(l_linestatus, CAST(l_linenumber % 2 AS STRING)) AS voter,
+        """SELECT concat('i', CAST(l_suppkey AS STRING)) AS incident_id,
+  CASE WHEN l_suppkey % 9 = 0 THEN 'alone' ELSE concat(l_linestatus, CAST(l_linenumber % 2 AS STRING)) END AS voter,
   l_returnflag AS hypothesis_id, CAST(sum(CASE WHEN l_quantity > 25 THEN l_quantity ELSE 0 END) AS DOUBLE) AS prior
 FROM lineitem GROUP BY 1, 2, 3""",
         None,
@@ -133,9 +137,9 @@ FROM lineitem""",
         [],
     ),
     "v_chunks": (
-        """SELECT e.vec_id AS chunk_id, d.doc_id AS document_id, d.lang AS tenant_id, 'runbooks' AS collection,
+        """SELECT d.doc_id AS chunk_id, d.doc_id AS document_id, d.lang AS tenant_id, 'runbooks' AS collection,
   d.source AS title, d.text AS content, e.embedding
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""",
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
         None,
         [],
     ),
@@ -148,8 +152,8 @@ FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id""",
         [],
     ),
     "v_docs": (
-        """SELECT doc_id, lang AS tenant_id, source AS collection, concat('doc', CAST(doc_id % 120 AS STRING), '.md') AS source_uri,
-  text AS content, doc_id AS arrival FROM documents""",
+        """SELECT doc_id, lang AS tenant_id, concat('c', CAST(doc_id % 3 AS STRING)) AS collection, concat('doc', CAST(doc_id % 40 AS STRING), '.md') AS source_uri,
+  CASE WHEN doc_id % 5 = 0 THEN 'the same notice' ELSE text END AS content, doc_id AS arrival FROM documents""",
         None,
         [],
     ),
@@ -189,16 +193,18 @@ FROM orders JOIN customer ON c_custkey = o_custkey""",
 }
 
 
-def open_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the tables and the views over them for this session."""
+def open_tables(spark: SparkSession, sf_dir: str, sql: str | None = None) -> None:
+    """Register the tables that `sql` names (all without one) for this session."""
     configure(spark)
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        if sql is None or re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    open_tables(spark, sf_dir)
-    return spark.sql(_VIEWS[name][0])
+    sql = _VIEWS[name][0]
+    open_tables(spark, sf_dir, sql)
+    return spark.sql(sql)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
