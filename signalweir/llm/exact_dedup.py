@@ -52,7 +52,8 @@ def exact_groups(
         keyed(source).groupBy("_len", "_seg").agg(F.count("*").alias("_n")).where("_n > 1")
         .select(F.col("_len").alias("_glen"), F.col("_seg").alias("_gseg"), F.monotonically_increasing_id().alias("_part"))
     )
-    met = keyed(source).drop("_norm").join(shared, (F.col("_len") == F.col("_glen")) & (F.col("_seg") == F.col("_gseg")), "left")
+    # sort-merge at every size: a table of shared beginnings has no bound
+    met = keyed(source).drop("_norm").join(shared.hint("merge"), (F.col("_len") == F.col("_glen")) & (F.col("_seg") == F.col("_gseg")), "left")
     norm = squeezed(text)
     base = written(
         met.select(
