@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalweir.functions.beliefs import hypothesis_key, usable_prior
+from signalweir.functions.text import strip_ws
+from signalweir.functions.beliefs import hypothesis_prior, hypothesis_text, hypothesis_key, usable_prior
 from signalweir.operators.matching import names_in_texts
 from signalweir.scale import top_per_key
 from signalweir.session import settle
@@ -22,13 +23,30 @@ MAX_ITERATIONS = 500
 SILENT_AGREEMENT = 0.01
 
 
+def parse_answers(answers: DataFrame) -> DataFrame:
+    """Raw items of model answers: incident_id, position, hypothesis, prior, component, evidence.
+
+    `answers`: incident_id, answer (a JSON array of strings or objects).  What is no array gives
+    no items; an item without a text stays with a null hypothesis, which normalising leaves out.
+    """
+    items = F.try_variant_get(F.try_parse_json("answer"), "$", "array<variant>")
+    rows = answers.select("incident_id", F.posexplode(items).alias("position", "_v"))
+    text = F.to_json("_v")
+    return rows.select(
+        "incident_id", F.col("position").cast("bigint").alias("position"), hypothesis_text(text).alias("hypothesis"),
+        hypothesis_prior(text).alias("prior"), F.try_variant_get("_v", "$.component", "string").alias("component"),
+        F.try_variant_get("_v", "$.evidence", "array<string>").alias("evidence"),
+    )
+
+
 def normalize_hypotheses(raw: DataFrame) -> DataFrame:
     """A clean distribution per incident from raw items: incident_id, position, hypothesis, prior.
 
     Restated hypotheses collapse to the first; one missing prior makes all uniform; the six
     best with at least 1 % each are kept, renormalised and numbered H1...
     """
-    text = raw.where(F.col("hypothesis").isNotNull()).withColumn("prior", usable_prior(F.col("prior")))
+    text = raw.withColumn("hypothesis", strip_ws(F.col("hypothesis"))).where("hypothesis <> ''")
+    text = text.withColumn("prior", usable_prior(F.col("prior")))
     first = (
         text.groupBy("incident_id", hypothesis_key(F.col("hypothesis")).alias("_key"))
         .agg(F.min(F.struct("position", "hypothesis", "prior")).alias("_f"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from signalweir.functions import components as C
 from signalweir.operators.matching import names_in_texts
 from signalweir.scale import top_per_key
+from signalweir.schemas import REPORT_PAYLOAD
 from signalweir.session import settle
 
 MAX_DEPTH = 4
@@ -44,6 +45,31 @@ def primary_component(texts: DataFrame, learned: DataFrame | None = None) -> Dat
     )
 
 
+def report_findings(reports: DataFrame, hypotheses: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What `cascades` reads, out of stored reports; reports that name no failing component are left out.
+
+    `reports`: report_id, incident_id, tenant_id, ai_payload (JSON), created_at.  `hypotheses`:
+    incident_id, component.  `evidence`: incident_id, text (one row per incident).
+    """
+    named = hypotheses.where("component IS NOT NULL").groupBy("incident_id").agg(
+        F.collect_set("component").alias("hypothesis_components")
+    )
+    payload = F.from_json("ai_payload", REPORT_PAYLOAD)
+    rows = reports.withColumn("_p", payload).where("_p.incidentFingerprint.primaryFailingComponent <> ''")
+    steps = F.transform("_p.diagnosticReasoning", lambda s: F.concat_ws(" ", s["observation"], s["deduction"]))
+    none = F.array().cast("array<string>")
+    said = F.concat(F.coalesce(steps, none), F.coalesce(F.col("_p.rootCauseAnalysis.evidenceCitations"), none))
+    return (
+        rows.join(named, "incident_id", "left")
+        .join(evidence.select("incident_id", F.col("text").alias("evidence_text")), "incident_id", "left")
+        .select(
+            "report_id", "tenant_id", F.col("_p.incidentFingerprint.primaryFailingComponent").alias("primary_component"),
+            F.coalesce("hypothesis_components", none).alias("hypothesis_components"),
+            F.filter(said, lambda t: t.isNotNull()).alias("reasoning"), "evidence_text", "created_at",
+        )
+    )
+
+
 def cascades(findings: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     """report_id, tenant_id, primary, downstream (array), created_at for reports that name a component.
 

@@ -33,7 +33,7 @@ def reports_for(reports: DataFrame, incidents: DataFrame) -> DataFrame:
 
 
 def incident_list(incidents: DataFrame, reports: DataFrame) -> DataFrame:
-    """Incidents with what their latest report says; missing reports leave nulls and 'no-report'."""
+    """Incidents, newest first, with what their latest report says; missing reports leave nulls and 'no-report'."""
     last = latest_reports(parse_payload(reports)).select(
         "incident_id",
         F.col("status").alias("_status"),
@@ -47,6 +47,7 @@ def incident_list(incidents: DataFrame, reports: DataFrame) -> DataFrame:
         .withColumn("origin", F.when(signal_driven, F.lit("signal")).otherwise(F.lit("manual")))
         .withColumn("report_status", F.coalesce("_status", F.lit("no-report")))
         .drop("_status")
+        .orderBy(F.col("created_at").desc(), F.col("incident_id").desc())
     )
 
 
@@ -177,9 +178,13 @@ def report_summary(payload: Column) -> Column:
     )
 
 
-def similar_block(similar: DataFrame, title: str = "SIMILAR PAST INCIDENTS") -> DataFrame:
+RECALL_ADVICE = "- Where one of these matches, say so, start from its cause and steps, and weigh the confidence by it."
+HISTORY_ADVICE = "- Weigh the confidence and the root cause against this history."
+
+
+def similar_block(similar: DataFrame, title: str = "SIMILAR PAST INCIDENTS", closing: str = RECALL_ADVICE) -> DataFrame:
     """Text block per incident over its recalled neighbours: incident_id, rank, similarity, summary,
-    primary_component, severity."""
+    primary_component, severity.  `closing` is the last line; empty leaves it out."""
     severity = F.when(F.coalesce("severity", F.lit("")) != "", F.concat(F.lit(" "), "severity")).otherwise(F.lit(""))
     summary = strip_ws(F.regexp_replace(F.coalesce("summary", F.lit("")), f"{WS}+", " "))
     line = F.concat(
@@ -187,11 +192,11 @@ def similar_block(similar: DataFrame, title: str = "SIMILAR PAST INCIDENTS") ->
         F.coalesce("primary_component", F.lit("unknown component")), F.lit(" — "), summary,
     )
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda e: e["line"])
-    return similar.groupBy("incident_id").agg(F.concat_ws("\n", F.lit(f"{title}:"), F.array_join(lines, "\n")).alias("block"))
+    return similar.groupBy("incident_id").agg(F.concat_ws("\n", F.lit(f"{title}:"), F.array_join(lines, "\n"), F.lit(closing or None)).alias("block"))
 
 
-def context_block(context: DataFrame, title: str = "FAILURE HISTORY") -> DataFrame:
-    """Text block per component over its known downstream failures, most frequent first."""
+def context_block(context: DataFrame, title: str = "FAILURE HISTORY", closing: str = HISTORY_ADVICE) -> DataFrame:
+    """Text block per component over its known downstream failures, most frequent first, and a last line."""
     line = F.concat(
         F.lit("  • "), F.col("downstream"), F.lit(" — failed "), F.col("occurrence_count").cast("string"), F.lit("x (last seen: "),
         F.date_format("last_seen_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(")"),
@@ -205,7 +210,7 @@ def context_block(context: DataFrame, title: str = "FAILURE HISTORY") -> DataFra
     return (
         context.groupBy("tenant_id", "component", "total_incidents")
         .agg(F.array_join(lines, "\n").alias("_lines"))
-        .select("tenant_id", "component", F.concat_ws("\n", heading, "_lines").alias("block"))
+        .select("tenant_id", "component", F.concat_ws("\n", heading, "_lines", F.lit(closing or None)).alias("block"))
     )
 
 

@@ -44,6 +44,44 @@ def normalized(spark, sf_dir):
     return rounded(out.select("incident_id", "hypothesis_id", "hypothesis", "prior"), "prior")
 
 
+def _answers(spark, sf_dir):
+    """The raw items as model answers: JSON arrays of objects, of plain strings where no prior is given."""
+    quoted = F.to_json(F.array("hypothesis"))
+    item = F.when(F.col("prior").isNull(), F.substr(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(
+        F.to_json(F.struct(F.concat(F.lit("  "), "hypothesis").alias("rootCause"), F.col("prior").alias("probability"), "component",
+                           F.array(F.lit("one"), F.lit("two"), F.lit("three"), F.lit("four")).alias("evidence")))
+    )
+    rows = view(spark, sf_dir, "v_raw_hypotheses").withColumn("item", item)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "item"))), lambda e: e["item"])
+    return rows.groupBy("incident_id").agg(F.concat(F.lit('[{"prior":1},"  ",7,'), F.array_join(listed, ","), F.lit("]")).alias("answer"))
+
+
+@query(
+    "b1_raw_answers",
+    with_views(["v_raw_hypotheses"], _NORMAL + " SELECT incident_id, hypothesis_id, hypothesis, round(prior, 6) AS prior FROM h"),
+)
+def raw_answers(spark, sf_dir):
+    out = beliefs.normalize_hypotheses(beliefs.parse_answers(_answers(spark, sf_dir)))
+    return rounded(out.select("incident_id", "hypothesis_id", "hypothesis", "prior"), "prior")
+
+
+@query(
+    "b2_attached_details",
+    with_views(
+        ["v_raw_hypotheses"],
+        _NORMAL
+        + """, last AS (SELECT incident_id, trim(hypothesis) AS hypothesis, arg_max(struct_pack(c := CASE WHEN prior IS NOT NULL THEN component END,
+  e := CASE WHEN prior IS NOT NULL THEN 'one,two,three' END), position) AS d FROM v_raw_hypotheses GROUP BY 1, 2)
+SELECT h.incident_id, h.hypothesis_id, d.c AS component, d.e AS evidence FROM h JOIN last USING (incident_id, hypothesis)""",
+    ),
+)
+def attached_details(spark, sf_dir):
+    raw = beliefs.parse_answers(_answers(spark, sf_dir))
+    out = beliefs.attach_details(beliefs.normalize_hypotheses(raw), raw)
+    evidence = F.when(F.col("evidence").isNotNull(), F.array_join("evidence", ","))
+    return out.select("incident_id", "hypothesis_id", "component", evidence.alias("evidence"))
+
+
 _SUMMARY = """e AS (SELECT incident_id, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS entropy, count(*) AS hypotheses FROM bel GROUP BY 1),
 o AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY round(p, 12) DESC, hypothesis_id) AS rk FROM bel),
 l AS (SELECT incident_id, max(hypothesis_id) FILTER (WHERE rk = 1) AS leading_id, max(p) FILTER (WHERE rk = 1) AS leading_prior, coalesce(max(p) FILTER (WHERE rk = 2), 0) AS second FROM o GROUP BY 1),

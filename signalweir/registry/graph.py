@@ -53,6 +53,26 @@ def _cascades(spark, sf_dir, learned=None):
     return graph.cascades(rows, learned)
 
 
+@query(
+    "g1_report_edges",
+    with_views(["v_findings"], _CASCADE + " SELECT tenant_id, from_node, to_node, occurrence_count FROM edges"),
+)
+def report_edges(spark, sf_dir):
+    """The same findings, read back out of report payloads."""
+    found = view(spark, sf_dir, "v_findings").withColumn("incident_id", F.col("report_id"))
+    payload = F.to_json(
+        F.struct(
+            F.struct(F.col("primary_component").alias("primaryFailingComponent")).alias("incidentFingerprint"),
+            F.array(F.struct(F.col("reasoning").alias("observation"))).alias("diagnosticReasoning"),
+        )
+    )
+    reports = found.select("report_id", "incident_id", "tenant_id", payload.alias("ai_payload"), "created_at")
+    named = found.select("incident_id", F.col("hypothesis_component").alias("component"))
+    texts = found.select("incident_id", F.col("evidence_text").alias("text"))
+    edges = graph.build_graph(graph.cascades(graph.report_findings(reports, named, texts)))[1]
+    return edges.select("tenant_id", "from_node", "to_node", "occurrence_count")
+
+
 def _parts(spark, sf_dir):
     """Nodes and edges of the part graph."""
     edges = view(spark, sf_dir, "v_edges")

@@ -155,8 +155,9 @@ def report_summaries(spark, sf_dir):
 def _library(spark, sf_dir):
     ranked = runbooks.rank_steps(runbooks.score_steps(view(spark, sf_dir, "v_steps")))
     step = F.struct(
-        F.concat(F.lit("step "), F.col("step_id").cast("string")).alias("action"), "step_type", "composite_score", "rank",
-        "blast_radius", "reversibility", "evidence_quality", "confidence",
+        F.concat(F.lit("step "), F.col("step_id").cast("string")).alias("action"),
+        F.concat(F.lit("run "), F.col("step_id").cast("string")).alias("cli_command"), "step_type", "composite_score", "rank",
+        F.col("recovery_minutes").alias("recovery_time_minutes"), "blast_radius", "reversibility", "evidence_quality", "confidence",
     )
     scored = ranked.groupBy("report_id").agg(F.array_sort(F.collect_list(step)).alias("scored_steps"))
     reports = _reports(spark, sf_dir).select(
@@ -171,15 +172,18 @@ _LIBRARY = (
     + """, got AS (SELECT c.*, row_number() OVER (PARTITION BY incident_id ORDER BY created_at DESC, report_id DESC) AS rn FROM cells c
   WHERE report_id IN (SELECT report_id FROM v_steps)),
 lib AS (SELECT i.tenant_id, g.incident_id, i.title AS incident_title, g.component AS primary_component, concat('step ', CAST(s.step_id AS VARCHAR)) AS action, s.step_type,
-  s.blast_radius, s.reversibility FROM got g JOIN v_incidents i ON i.incident_id = g.incident_id JOIN v_steps s ON s.report_id = g.report_id WHERE rn = 1)"""
+  concat('run ', CAST(s.step_id AS VARCHAR)) AS cli_command, CAST(s.recovery_minutes AS DOUBLE) AS recovery_time_minutes, s.evidence_quality, s.confidence,
+  s.blast_radius, s.reversibility, strftime(g.created_at, '%Y-%m-%d') AS created_on FROM got g JOIN v_incidents i ON i.incident_id = g.incident_id JOIN v_steps s ON s.report_id = g.report_id WHERE rn = 1)"""
 )
 
 
 @query("k4_runbook_library", with_views(["v_reports", "v_incidents", "v_steps"], _LIBRARY + " SELECT * FROM lib"))
 def library(spark, sf_dir):
     return _library(spark, sf_dir).select(
-        "tenant_id", "incident_id", "incident_title", "primary_component", "action", "step_type", "blast_radius", "reversibility"
-    )
+        "tenant_id", "incident_id", "incident_title", "primary_component", "action", "cli_command", "step_type", "blast_radius", "reversibility",
+        F.col("recovery_time_minutes").cast("double").alias("recovery_time_minutes"), "evidence_quality", "confidence",
+        F.date_format("created_at", "yyyy-MM-dd").alias("created_on"),
+    )
 
 
 @query(

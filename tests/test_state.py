@@ -80,11 +80,12 @@ def test_transcript_is_oldest_first(spark):
 def test_prompt_blocks(spark):
     similar = spark.createDataFrame([("i", 2, 0.71, "b\n c", None, None), ("i", 1, 0.956, "a", "redis", "SEV1")], "incident_id string, rank long, similarity double, summary string, primary_component string, severity string")
     assert reporting.similar_block(similar).first().block == (
-        "SIMILAR PAST INCIDENTS:\n- [96% similar] SEV1 redis — a\n- [71% similar] unknown component — b c"
+        "SIMILAR PAST INCIDENTS:\n- [96% similar] SEV1 redis — a\n- [71% similar] unknown component — b c\n" + reporting.RECALL_ADVICE
     )
     ctx = spark.createDataFrame([("t", "db", 4, "a", 1, T0), ("t", "db", 4, "b", 7, T0)], "tenant_id string, component string, total_incidents long, downstream string, occurrence_count long, last_seen_at timestamp")
     lines = reporting.context_block(ctx).first().block.split("\n")
     assert lines[0] == "FAILURE HISTORY (db):" and lines[3] == "  • b — failed 7x (last seen: 2024-01-01T12:00:00.000Z)"
+    assert lines[5:] == [reporting.HISTORY_ADVICE]
 
 
 def test_payload_defaults(spark):
