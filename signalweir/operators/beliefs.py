@@ -129,7 +129,8 @@ def graph_vote(hypotheses: DataFrame, nodes: DataFrame) -> DataFrame:
     around = names_in_texts(
         history.withColumnRenamed("name", "node"), asked, ["tenant_id", "n"], "node", largest="n"
     ).select("tenant_id", F.col("name").alias("_c"), "n")
-    best = inside.unionByName(around).groupBy("tenant_id", "_c").agg(F.max("n").alias("_best"))
+    # a row per name asked for; what follows reads it several times
+    best = settle(inside.unionByName(around).groupBy("tenant_id", "_c").agg(F.max("n").alias("_best")))
     known = history.select("tenant_id").distinct()
     scored = (
         low.join(known, "tenant_id", "left_semi")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NAMES_PER_PASS = 100_000
+GRAM = 4
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Every run of `size` characters, by a look-ahead that moves one character a match."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def names_in_texts(
@@ -21,53 +25,23 @@ def names_in_texts(
 ) -> DataFrame:
     """Distinct (ids, name) where the text contains the name, both of the same scope.
 
-    With `largest`, one of the ids: only the row with its greatest value per name and batch is
-    kept, for callers that want that maximum and would drop the rest.  A pass carries a bounded number of names as one automaton to every task and reads each
-    text once; only real matches leave the task.  More names than one pass holds are cut by
-    hash into several passes over the texts.
+    A text that contains a name contains all its runs of four characters.  Each name stands
+    under one of its runs, that of the least hash, so that names that begin alike are spread
+    (shorter names under themselves); the runs of the texts meet the names in an equi join,
+    and what meets is checked against the text.  Texts travel once, next to their candidates.
+    With `largest`, one of the ids: only its greatest value per name is kept.
     """
-    wanted = names.select(F.col(scope), F.col("name")).where("name <> ''").distinct()
-    held = wanted.limit(NAMES_PER_PASS + 1).toPandas()
-    passes = 1 if len(held) <= NAMES_PER_PASS else -(-wanted.count() // (NAMES_PER_PASS // 2))
-    source = texts.select(*ids, F.col(scope).alias("_scope"), F.col(text).alias("_text")).where("_text IS NOT NULL")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.select(*ids).schema)
-    found = None
-    for number in range(passes):
-        if passes > 1:
-            held = wanted.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == number).toPandas()
-        one = _one_pass(source, held, list(ids), scope, f"{kinds}, name string", largest)
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _one_pass(
-    source: DataFrame, names: pd.DataFrame, ids: list[str], scope: str, schema: str, largest: str | None
-) -> DataFrame:
-    by_scope = {k: sorted(part["name"]) for k, part in names.groupby(scope)}
-    shared = source.sparkSession.sparkContext.broadcast(by_scope)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automata: dict = {}
-        for batch in batches:
-            rows = []
-            for key in zip(batch["_scope"], batch["_text"], *[batch[c] for c in ids]):
-                held = shared.value.get(key[0])
-                if not held:
-                    continue
-                auto = automata.get(key[0])
-                if auto is None:
-                    auto = ahocorasick.Automaton()
-                    for name in held:
-                        auto.add_word(name, name)
-                    auto.make_automaton()
-                    automata[key[0]] = auto
-                rows.extend((*key[2:], name) for name in {n for _, n in auto.iter(key[1])})
-            found = pd.DataFrame(rows, columns=[*ids, "name"])
-            if largest:
-                kept = [c for c in (*ids, "name") if c != largest]
-                found = found.sort_values(largest, ascending=False).drop_duplicates(kept)
-            yield found
-
-    return source.mapInPandas(scan, schema)
+    wanted = names.select(F.col(scope).alias("_scope"), "name").where("name <> ''").distinct()
+    least = F.array_min(F.transform(_grams(F.col("name"), GRAM), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    wanted = wanted.withColumn("_gram", F.when(F.length("name") > GRAM, least["g"]).otherwise(F.col("name")))
+    source = texts.select(*ids, F.col(scope).alias("_scope"), F.col(text).alias("_text")).where("_text <> ''")
+    # equal rows share a number; should others share one too, the check below tells them apart
+    source = source.distinct().withColumn("_number", F.xxhash64(*ids, "_scope", "_text"))
+    runs = F.array_distinct(F.concat(*[_grams(F.col("_text"), n) for n in range(1, GRAM + 1)]))
+    met = source.select("_number", "_scope", F.explode(runs).alias("_gram")).join(wanted, ["_scope", "_gram"])
+    met = met.select("_number", "_scope", "name").distinct()
+    found = source.join(met, ["_number", "_scope"]).where(F.contains("_text", "name"))
+    if largest:
+        rest = [c for c in ids if c != largest]
+        return found.groupBy(*rest, "name").agg(F.max(largest).alias(largest)).select(*ids, "name")
+    return found.select(*ids, "name").distinct()

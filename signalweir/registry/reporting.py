@@ -361,27 +361,48 @@ def question_context(spark, sf_dir):
     )
 
 
+_HISTORY = "\n".join([
+    "FAILURE HISTORY (redis):", "- Primary failure source in 4 previous incident(s).", "- Known blast radius:",
+    "  • orders-api — failed 7x (last seen: 2024-01-01T12:00:00.000Z)", "  • ledger — failed 3x (last seen: 2024-01-01T12:00:00.000Z)",
+    reporting.HISTORY_ADVICE,
+])
+_RECALLED = "\n".join([
+    "SIMILAR PAST INCIDENTS:", "- [96% similar] SEV1 redis — pool ran dry", "- [71% similar] unknown component — b c", reporting.RECALL_ADVICE,
+])
+
+
 @query(
     "d9_analysis_context",
     with_views(
-        ["v_log_lines"],
-        _FUSE
-        + """, st AS (SELECT incident_id, count(*) AS line_count, sum(length(line) + 1) - 1 AS chars, string_agg(line, chr(10) ORDER BY line_index) AS txt FROM placed GROUP BY 1),
-so AS (SELECT incident_id, count(DISTINCT source_file) AS source_count FROM lines GROUP BY 1)
+        ["v_named_lines"],
+        _FUSE.replace("v_log_lines", "v_named_lines")
+        + f""", st AS (SELECT incident_id, count(*) AS line_count, sum(length(line) + 1) - 1 AS chars, string_agg(line, chr(10) ORDER BY line_index) AS txt FROM placed GROUP BY 1),
+so AS (SELECT incident_id, min(tenant_id) AS tenant_id, count(DISTINCT source_file) AS source_count, CAST(substr(incident_id, 4) AS INT) % 4 AS kind FROM v_named_lines GROUP BY 1)
 SELECT st.incident_id, CASE WHEN chars > 3000 THEN concat(substr(txt, 1, 3000), chr(10), '[... telemetry truncated at 3000 chars — ', CAST(line_count AS VARCHAR), ' total lines fused ...]') ELSE txt END AS head,
-  chars > 3000 AS truncated, line_count, source_count, '' AS historical_memory, '' AS runbook_context FROM st JOIN so ON so.incident_id = st.incident_id""",
+  chars > 3000 AS truncated, line_count, source_count,
+  concat_ws(chr(10) || chr(10), CASE WHEN tenant_id = 't0' THEN '{_HISTORY}' END, CASE WHEN kind < 2 THEN '{_RECALLED}' END) AS historical_memory,
+  CASE WHEN kind = 0 THEN 'Restart the pool.' ELSE '' END AS runbook_context FROM st JOIN so ON so.incident_id = st.incident_id""",
     ),
 )
 def analysis_context(spark, sf_dir):
-    lines = view(spark, sf_dir, "v_log_lines")
+    lines = view(spark, sf_dir, "v_log_lines").withColumn("raw", F.concat("raw", F.lit(" via redis")))
     prepared = logs.prepare_lines(lines.drop("tenant_id"))
     placed = logs.positions(logs.fuse_lines(prepared))
     tenants = lines.groupBy("incident_id").agg(F.min("tenant_id").alias("tenant_id"))
-    similar = retrieval.similar_incidents(_memory(spark, sf_dir), _memory(spark, sf_dir))
-    about = _memory(spark, sf_dir).select(F.col("incident_id").alias("similar_incident_id"), "summary", "primary_component", "severity")
-    recalled = similar.join(about, "similar_incident_id").withColumn("incident_id", F.concat(F.lit("doc"), F.col("incident_id").cast("string")))
-    runbook = tenants.select("incident_id", F.lit("").alias("context"))
-    return contexts.analysis_context(prepared, placed, tenants, _graph_rows(spark, sf_dir), recalled, runbook, 3000)
+    kind = F.substring("incident_id", 4, 9).cast("int") % 4
+    seen = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    # the lines name redis; one tenant knows it, the other knows what no line names
+    known = F.explode(F.array(*[F.struct(F.lit(d).alias("downstream"), F.lit(n).alias("occurrence_count")) for d, n in (("ledger", 3), ("orders-api", 7))]))
+    graph_rows = tenants.select("tenant_id").distinct().select(
+        "tenant_id", F.when(F.col("tenant_id") == "t0", F.lit("redis")).otherwise(F.lit("kafka")).alias("component"),
+        F.lit(4).cast("bigint").alias("total_incidents"), known.alias("_k"), seen.alias("last_seen_at"),
+    ).select("*", "_k.*").drop("_k")
+    past = [(1, 0.956, "pool ran dry", "redis", "SEV1"), (2, 0.71, "b\n c", None, None)]
+    fields = ("rank", "similarity", "summary", "primary_component", "severity")
+    rows = F.explode(F.array(*[F.struct(*[F.lit(v).cast("string" if v is None else "double" if n == "similarity" else "bigint" if n == "rank" else "string").alias(n) for n, v in zip(fields, r)]) for r in past]))
+    recalled = tenants.where(kind < 2).select("incident_id", rows.alias("_r")).select("incident_id", "_r.*")
+    runbook = tenants.where(kind == 0).select("incident_id", F.lit("Restart the pool.").alias("context"))
+    return contexts.analysis_context(prepared, placed, tenants, graph_rows, recalled, runbook, 3000)
 
 
 @query("s8_stored_evidence")

@@ -65,6 +65,7 @@ FROM events""",
         None,
         [],
     ),
+    "v_named_lines": ("", "SELECT * REPLACE (concat(raw, ' via redis') AS raw) FROM v_log_lines", ["v_log_lines"]),
     "v_reports": (
         """SELECT o_orderkey AS report_id, o_custkey AS incident_id, concat('t', CAST(c_nationkey % 3 AS STRING)) AS tenant_id,
   o_orderstatus AS status, CAST(floor(o_totalprice) AS BIGINT) % 101 AS confidence, o_orderdate AS created_at
