@@ -9,7 +9,7 @@ costs. Plain words have one reading, themselves.
 The trigram model counts every document. Features are restored words and their beginnings,
 so that an ending does not hide a stem. They are learned from labelled rows by greedy
 covering: of the features that hardly ever stand in clean texts the one that explains most
-toxic texts not yet explained is taken, until a feature explains too few. So words that
+toxic texts still in need of it is taken, until a feature explains too few. So words that
 merely sit beside a toxic one in copies of one text win nothing.
 """
 
@@ -19,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -204,42 +205,63 @@ def fit(
     pure = {f for f, n in named.items() if beside.get(f, 0) * n_toxic <= max_clean * n * n_clean}
     only = docs.sparkSession.sparkContext.broadcast(frozenset(pure))
     texts = [frozenset(r.f) for r in rows.where("y = 1").select(_features_udf(channel, only)("text").alias("f")).collect()]
-    model["weights"] = _cover(texts, pure, beside, min_texts, gaps[1], gaps[0])
+    model["weights"] = _cover(texts, pure, beside, n_clean, min_texts, gaps[1], gaps[0])
     rest = sum(not (t & model["weights"].keys()) for t in texts)
     model["bias"] = math.log((rest * gaps[1] + 0.5) / (n_clean * gaps[0] + 1))
     return model
 
 
-def _cover(texts: list[frozenset], pure: set[str], beside: dict[str, int], least: int, per_toxic: int, per_clean: int) -> dict[str, float]:
-    """Features by how many texts they explain that no feature before did, with the log odds that they give a text.
+def _cover(
+    texts: list[frozenset], pure: set[str], beside: dict[str, int], n_clean: int, least: int, per_toxic: int, per_clean: int,
+    times: int = 3, share: float = 0.05,
+) -> dict[str, float]:
+    """Features that explain toxic texts, with the log odds that they give a text.
 
-    Two clean texts more than were seen stand against each feature; one whose odds stay below even is not taken.
+    The feature that stands in most texts not explained `times` times yet is taken next, less
+    a price for the clean texts it stands in; features of the same word then go.  One must
+    explain `least` texts that nothing did before, or a `share` of all: so words that come
+    together are all found, but not what a few copies have in common.  Two clean texts more
+    than were seen stand against each; one whose odds stay below even is not taken.
     """
     holds: dict[str, set[int]] = {}
     for i, t in enumerate(texts):
-        for f in t:
+        for f in t & pure:
             holds.setdefault(f, set()).add(i)
     total = {f: len(v) for f, v in holds.items()}
-    weights: dict[str, float] = {}
-    while holds:
+    price = {f: 8 * beside.get(f, 0) * len(texts) / max(1, n_clean) for f in holds}
+    left = [times] * len(texts)
+
+    def rank(f: str) -> tuple:
         # of equal ones the longest says most: a whole word before a beginning
-        best = max(holds, key=lambda f: (len(holds[f]), -beside.get(f, 0), f.startswith("="), len(f), f))
-        covered = holds[best]
-        if len(covered) < least:
-            break
-        if (odds := total[best] * per_toxic / ((beside.get(best, 0) + 2) * per_clean)) > 1:
-            weights[best] = math.log(odds)
-        else:
-            del holds[best]
+        return (price[f] - len(holds[f]), not f.startswith("="), -len(f), f)
+
+    queue = [rank(f) for f in holds]
+    heapify(queue)
+    weights: dict[str, float] = {}
+    while queue:
+        entry = heappop(queue)
+        best = entry[-1]
+        if any(_same_word(best, w) for w in weights):
             continue
-        for f in set().union(*(texts[i] for i in covered)):
-            if f in holds:
-                holds[f] = holds[f] - covered
-                if len(holds[f]) < least:
-                    del holds[f]
+        holds[best] = {i for i in holds[best] if left[i]}
+        if (now := rank(best)) != entry:  # explained meanwhile: back to where it stands now
+            if len(holds[best]) >= least:
+                heappush(queue, now)
+            continue
+        fresh = sum(left[i] == times for i in holds[best])
+        odds = total[best] * per_toxic / ((beside.get(best, 0) + 2) * per_clean)
+        if odds > 1 and (fresh >= least or len(holds[best]) >= max(least, share * len(texts))):
+            weights[best] = math.log(odds)
+            for i in holds[best]:
+                left[i] -= 1
     return weights
 
 
+def _same_word(one: str, two: str) -> bool:
+    one, two = one.removeprefix("="), two.removeprefix("=")
+    return one.startswith(two) or two.startswith(one)
+
+
 def toxicity(text: Column, model: dict) -> Column:
     """Score from 0 to 1 of a text column; null and empty texts score as texts without any feature."""
     weights, bias, channel = model["weights"], min(model["bias"], -0.5), model["channel"]
