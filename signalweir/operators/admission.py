@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalweir.scale import OrderedSlices
+from signalweir.scale import SLICE, OrderedSlices
 
 WINDOW_MS = 60_000
 MAX_PER_WINDOW = 15
@@ -42,27 +42,55 @@ def admission_decisions(
 ) -> DataFrame:
     """Add `outcome` to each request.
 
-    A pause longer than the window empties it, so a subject's timeline falls into stretches
-    that do not depend on each other; stretches are spread over tasks and stream through the
-    gate in time order, holding no more than max_per_window times in memory.
+    Requests are cut into slices of the order (subject, time, id), so a subject that never
+    pauses spans as many slices as it needs.  Each slice runs the gate from an empty window
+    and reports the window it ends with; a slice whose subject comes in with another window
+    than it assumed runs again, until none does.  A window holds max_per_window times at most
+    and only one subject goes on from a slice to the next, so what the driver carries is
+    bounded by the number of slices; the last run gives the outcomes.
     """
     order = [F.col("ts_ms").asc(), F.col("request_id").asc()]
-    scan = OrderedSlices(requests, ["subject"], order).previous("_before", F.col("ts_ms"))
-    pause = F.col("_before").isNull() | (F.col("ts_ms") - F.col("_before") > window_ms)
-    scan.running_sum("_stretch", pause.cast("bigint"))
-    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = scan.frame().select(*requests.columns, "_stretch")
-    runs = rows.repartition(n, "subject", "_stretch").sortWithinPartitions("subject", "_stretch", *order)
+    rows = OrderedSlices(requests, ["subject"], order).df.sortWithinPartitions(SLICE, "subject", *order)
+
+    def gates(coming: dict[int, list[int]], batch: pd.DataFrame, at: dict) -> list[str]:
+        """Outcomes of a batch; `at` holds the slice, subjects and gate that the batches before left."""
+        outcomes = []
+        for number, subject, now in zip(batch[SLICE], batch["subject"], batch["ts_ms"]):
+            if at.get("slice") != number:
+                at.update(slice=number, first=subject, subject=subject, gate=Gate(window_ms, max_per_window, min_gap_ms, coming.get(number)))
+            elif at["subject"] != subject:
+                at.update(subject=subject, gate=Gate(window_ms, max_per_window, min_gap_ms))
+            outcomes.append(at["gate"].ask(now))
+        return outcomes
+
+    def ends(coming: dict[int, list[int]]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at: dict = {}
+            for batch in batches:
+                gates(coming, batch, at)
+            if at:  # a partition is one slice
+                yield pd.DataFrame({"slice": [at["slice"]], "first": [at["first"]], "last": [at["subject"]], "held": [list(at["gate"].held)]})
+
+        return run
+
+    kind = requests.schema["subject"].dataType.simpleString()
+    known: dict[int, tuple] = {}
+    coming: dict[int, list[int]] = {}
+    todo: list[int] | None = None
+    while todo is None or todo:
+        part = rows if todo is None else rows.where(F.col(SLICE).isin(todo))
+        for r in part.mapInPandas(ends(coming), f"slice int, first {kind}, last {kind}, held array<long>").collect():
+            known[r.slice] = (r["first"], r["last"], r["held"])
+        numbers = sorted(known)
+        now = {b: known[a][2] for a, b in zip(numbers, numbers[1:]) if known[a][1] == known[b][0]}
+        todo = [n for n in now if now[n] != coming.get(n, [])]
+        coming = now
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, gate = None, None
+        at: dict = {}
         for batch in batches:
-            outcomes = []
-            for subject, stretch, now in zip(batch["subject"], batch["_stretch"], batch["ts_ms"]):
-                if (subject, stretch) != key:
-                    key, gate = (subject, stretch), Gate(window_ms, max_per_window, min_gap_ms)
-                outcomes.append(gate.ask(now))
-            yield batch.drop(columns="_stretch").assign(outcome=outcomes)
+            outcomes = gates(coming, batch, at)
+            yield batch.drop(columns=SLICE).assign(outcome=outcomes)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema)
-    return runs.mapInPandas(decide, f"{kinds}, outcome string")
+    return rows.select(*requests.columns, SLICE).mapInPandas(decide, f"{kinds}, outcome string")

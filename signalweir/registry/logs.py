@@ -146,7 +146,18 @@ def fused_head(spark, sf_dir):
     return logs.fused_head(logs.positions(logs.fuse_lines(_prepared(spark, sf_dir))), 3000)
 
 
-@query("d4_line_chunks")
+@query(
+    "d4_line_chunks",
+    with_views(
+        ["v_log_lines"],
+        _FUSE.replace("placed AS (", "placed AS MATERIALIZED (")
+        + """, c AS (SELECT incident_id, line_index, line, 0::BIGINT AS chunk_index, length(line) AS used FROM placed WHERE line_index = 1
+  UNION ALL SELECT p.incident_id, p.line_index, p.line, c.chunk_index + CASE WHEN c.used + length(p.line) + 1 > 2000 THEN 1 ELSE 0 END,
+    CASE WHEN c.used + length(p.line) + 1 > 2000 THEN length(p.line) ELSE c.used + length(p.line) + 1 END
+  FROM c JOIN placed p ON p.incident_id = c.incident_id AND p.line_index = c.line_index + 1)
+SELECT incident_id, chunk_index, string_agg(line, chr(10) ORDER BY line_index) AS content FROM c WHERE chunk_index < 12 GROUP BY 1, 2""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def line_chunks(spark, sf_dir):
     placed = logs.positions(logs.fuse_lines(_prepared(spark, sf_dir)))
     return logs.line_chunks(placed, max_chars=2000)

@@ -489,7 +489,17 @@ def migrated(spark, sf_dir):
     return merge.backfill_slugs(rows, "slug", "incident_id").select("incident_id", "status", "slug")
 
 
-@query("t9_admission")
+GATED = """WITH RECURSIVE q AS MATERIALIZED (SELECT user_id AS subject, event_id AS request_id, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ts_ms,
+  row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP), event_id) AS rn FROM events),
+g AS (SELECT subject, request_id, ts_ms, rn, 'ok' AS outcome, [ts_ms] AS held FROM q WHERE rn = 1
+  UNION ALL SELECT subject, request_id, ts_ms, rn, outcome, CASE WHEN outcome = 'ok' THEN list_append(held, ts_ms) ELSE held END FROM (
+    SELECT *, CASE WHEN len(held) > 0 AND ts_ms - held[-1] < 3600000 THEN 'too-fast' WHEN len(held) >= 3 THEN 'rate-limited' ELSE 'ok' END AS outcome FROM (
+      SELECT q.subject, q.request_id, q.ts_ms, q.rn, list_filter(g.held, lambda x: q.ts_ms - x <= 43200000) AS held
+      FROM g JOIN q ON q.subject = g.subject AND q.rn = g.rn + 1)))
+SELECT subject, request_id, ts_ms, outcome FROM g"""
+
+
+@query("t9_admission", GATED)
 def admitted(spark, sf_dir):
     requests = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("subject"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").alias("request_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from signalweir.registry import signals as batch
 from signalweir.registry.base import query
+from signalweir.registry.reporting import GATED
 from signalweir.registry.views import _VIEWS, open_tables, table, with_views
 from signalweir.session import shared_folder
 from signalweir.streaming import admission, incidents, ingest
@@ -93,11 +94,11 @@ def stream_dedupe(spark, sf_dir):
     open_tables(spark, sf_dir)
     text = _VIEWS["v_payloads"][0].replace("FROM orders", "FROM {orders}")
     payloads = spark.sql(text, orders=_stream_table(spark, sf_dir, "orders"))
-    rows = ingest.stream_dedupe(payloads, lateness="36500 days")
+    rows = ingest.stream_dedupe(payloads, lateness="7 days")
     return _drained(spark, rows.select("tenant_id", "incident_id", "input_hash"))
 
 
-@query("t9_stream_admission")
+@query("t9_stream_admission", GATED)
 def stream_admission(spark, sf_dir):
     _rocks(spark)
     requests = _stream_table(spark, sf_dir, "events").select(

@@ -138,6 +138,18 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert len(ends) >= reopened + opened - 4  # all but the last of each of the four keys
 
 
+def test_admission_of_a_subject_that_never_pauses(spark):
+    """One subject over every slice, and small ones before and after it."""
+    rows = [("m", n, n * 7 + n % 3) for n in range(5000)] + [(f"{c}{k}", 10_000 + k * 50 + n, n * 11) for c in "az" for k in range(5) for n in range(40)]
+    df = spark.createDataFrame(rows, "subject string, request_id long, ts_ms long")
+    got = {r.request_id: r.outcome for r in admission.admission_decisions(df, 1000, 20, 5).collect()}
+    gates, want = {}, {}
+    for subject, request, ts in sorted(rows, key=lambda r: (r[2], r[1])):
+        want[request] = gates.setdefault(subject, Gate(1000, 20, 5)).ask(ts)
+    assert got == want
+    assert admission.admission_decisions(df.limit(0)).count() == 0
+
+
 def test_stream_admission_keeps_state_between_batches(spark, tmp_path):
     rng = random.Random(8)
     rows = sorted([(f"s{i % 3}", rng.randrange(20_000), i) for i in range(600)], key=lambda r: r[1])
