@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from signalweir.functions import logs as L
@@ -9,7 +11,8 @@ from signalweir.functions.redaction import DETECTORS
 from signalweir.operators import logs, redaction
 from signalweir.registry.base import query
 from signalweir.registry.views import table, view, with_views
-from signalweir.session import settle
+from signalweir.session import settle, shared_folder
+from signalweir.sources import files
 
 # the prepared lines in SQL
 _PREP = """prep AS (SELECT incident_id, source_file, line_no, raw, nullif(regexp_extract(raw, '[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}'), '') AS stamp,
@@ -55,6 +58,21 @@ def line_scalars(spark, sf_dir):
     )
 
 
+@query(
+    "s1_log_files",
+    with_views(["v_log_lines"], "SELECT raw, CAST(count(*) + count(*) FILTER (WHERE line_no % 2 = 0) AS BIGINT) AS n FROM v_log_lines GROUP BY raw"),
+)
+def log_files(spark, sf_dir):
+    """Lines written as plain and as gzip files, beside files that are not text, and read back."""
+    place = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    lines = view(spark, sf_dir, "v_log_lines")
+    lines.select("raw").write.text(f"{place}/plain")
+    lines.where("line_no % 2 = 0").select("raw").write.option("compression", "gzip").text(f"{place}/zipped")
+    lines.select(F.concat(F.lit("\x01\x02\x03\x04"), F.col("line_no").cast("string")).alias("raw")).write.text(f"{place}/binary")
+    text, _ = files.quarantine_binary(files.read_log_lines(spark, [f"{place}/{k}" for k in ("plain", "zipped", "binary")]))
+    return text.groupBy("raw").agg(F.count("*").alias("n"))
+
+
 @query(
     "p17_severe_lines",
     with_views(["v_log_lines"], _PREP + " SELECT line_no, severity FROM lines WHERE severity > 0"),

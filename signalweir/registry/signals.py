@@ -118,17 +118,26 @@ def newest_suppressed(spark, sf_dir):
     )
 
 
-_PAYLOAD = """SELECT signal_id, tenant_id, created_at, to_json(named_struct(
-  'alerts', array(named_struct('status', state, 'labels', map('service', entity, 'severity', severity, 'alertname', title),
-    'annotations', map('description', message))),
-  'breachedThreshold', breached)) AS body FROM {signals}"""
+# four shapes: an alert list; labels around it and a breach as text; tags as a list; tags as an object
+_PAYLOAD = """SELECT signal_id, tenant_id, created_at, CASE signal_id % 4
+  WHEN 0 THEN to_json(named_struct(
+    'alerts', array(named_struct('status', state, 'labels', map('service', entity, 'severity', severity, 'alertname', title),
+      'annotations', map('description', message))),
+    'breachedThreshold', breached))
+  WHEN 1 THEN to_json(named_struct('status', state, 'labels', map('service', 'not this', 'resource', 'nor this', 'severity', severity),
+    'alerts', array(named_struct('labels', map('service', entity))), 'annotations', map('summary', title, 'description', message),
+    'threshold_breached', CASE WHEN breached THEN 'yes' ELSE '' END))
+  WHEN 2 THEN to_json(named_struct('tags', array('env:prod', 'service:not this', 'alone', concat('service:', entity)), 'host', 'not this', 'alert_type', severity,
+    'title', title, 'body', message, 'alert_transition', state, 'breachedThreshold', CAST(breached AS INT)))
+  WHEN 3 THEN to_json(named_struct('source', 'tagger', 'tags', map('host', entity), 'priority', severity, 'alertname', title, 'message', message, 'state', state,
+    'annotations', CASE WHEN breached THEN map('threshold', '80') ELSE map('other', '80') END)) END AS body FROM {signals}"""
 
 
 @query(
     "s4_alert_payloads",
     with_views(
         ["v_decided"],
-        """SELECT signal_id, tenant_id, 'grafana' AS source, entity, severity, title, message, state,
+        """SELECT signal_id, tenant_id, CASE signal_id % 4 WHEN 2 THEN 'generic' WHEN 3 THEN 'tagger' ELSE 'grafana' END AS source, entity, severity, title, message, state,
   breached, round(score, 6) AS score FROM v_decided""",
     ),
 )
