@@ -139,8 +139,8 @@ class Automaton:
                     matches.append((start + i - n + 1, start + i, v))
         return {"phrases": phrases, "spans": self._chains(matches, max_gap)}
 
-    def _chains(self, matches: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int, int, str, float]]:
-        """(first word, last word, label, share of the template covered), the best chain for each place."""
+    def _chains(self, matches: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int, int, str, float, bool]]:
+        """(first word, last word, label, share of the template covered, names its place) of the best chain of each template."""
         best: list[tuple[int, int, int, int, int, int]] = []  # template, first, last, template end, covered, number
         done = []
         for first, last, v in matches:
@@ -157,13 +157,23 @@ class Automaton:
                             chain = max(chain, (number, c[1], last, end, c[4] + more), key=lambda x: x[4])
                 fresh.append(chain)
             best = alive + fresh
+        # where chains of several templates stand over one another, the one that covers most words names the place
+        ranked = sorted(done + best, key=lambda c: c[1])
+        beaten = [False] * len(ranked)
+        for i, one in enumerate(ranked):
+            for j in range(i + 1, len(ranked)):
+                two = ranked[j]
+                if two[1] > one[2]:
+                    break
+                beaten[i] |= two[4] > one[4]
+                beaten[j] |= one[4] > two[4]
         found: dict[int, list] = {}
-        for number, first, last, _, covered in done + best:
-            found.setdefault(number, []).append((covered, first, last))
+        for lost, (number, first, last, _, covered) in zip(beaten, ranked):
+            found.setdefault(number, []).append((not lost, covered, first, last))
         return [
-            (first, last, self.labels[n], covered / self.sizes[n])
+            (first, last, self.labels[n], covered / self.sizes[n], wins)
             for n, chains in sorted(found.items())
-            for covered, first, last in [max(chains, key=lambda x: (x[0], -x[1]))]
+            for wins, covered, first, last in [max(chains, key=lambda x: (x[0], x[1], -x[2]))]
         ]
 
 
@@ -192,7 +202,7 @@ def scan_licenses(
                 rows.append({
                     "n_words": len(words),
                     "phrases": [{"start": s, "label": x} for s, x in found["phrases"]],
-                    "spans": [{"first": f, "last": e, "label": x, "cover": c, "counts": c >= min_cover} for f, e, x, c in found["spans"]],
+                    "spans": [{"first": f, "last": e, "label": x, "cover": c, "counts": wins and c >= min_cover} for f, e, x, c, wins in found["spans"]],
                 })
             yield pa.array(rows, kind)
 

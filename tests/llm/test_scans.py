@@ -46,13 +46,15 @@ def test_matching_statistics():
 def test_license_chains(spark, awkward, nothing):
     mit = TEMPLATES["mit"]
     edited = mit.replace("documentation", "docs").replace("publish, ", "")
-    rows = [(1, "x " * 50 + mit + " y"), (2, edited.upper()), (3, " ".join(mit.split()[:9])), (4, "the of and to"), (5, None), (6, "Released under the MIT License. CC BY-NC cc by nc")]
+    rows = [(1, "x " * 50 + mit + " y"), (2, edited.upper()), (3, " ".join(mit.split()[:9])), (4, "the of and to"), (5, None), (6, "Released under the MIT License. CC BY-NC cc by nc"),
+            (7, TEMPLATES["cc-by-sa"] + " - " + TEMPLATES["lgpl"]), (8, TEMPLATES["cc-by-sa"] + " and later " + TEMPLATES["cc-by"])]
     got = {r.id: r for r in license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == ["mit"] and got[1].score == 1 and (got[1].spans[0].first, got[1].spans[0].last) == (50, 49 + len(words_of(mit.encode())))
     assert got[2].labels == ["mit"] and 0.8 < got[2].score < 1
     assert got[3].labels == [] and 0 < got[3].score < 0.3
     assert got[4].score == 0 and got[5].n_words == 0 and got[5].labels == []
     assert got[6].labels == ["cc-by-nc", "mit"] and len(got[6].phrases) == 3
+    assert got[7].labels == ["cc-by-sa", "lgpl"] and got[8].labels == ["cc-by", "cc-by-sa"]
     assert license_report(awkward).count() == awkward.count() and license_report(nothing).count() == 0
 
 
