@@ -180,9 +180,13 @@ def fit(
     Without toxic rows the model scores every text as clean. Null labels and texts teach nothing.
     """
     channel = Channel(trigram_counts(docs, text_col))
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(
-        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")
-    )
+    # one row an id, so that repeated labels cannot outgrow the sample's bound; an id with both labels teaches nothing
+    marks = (
+        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+        .groupBy(F.col(id_col).alias("_id"))
+        .agg(F.min(F.col(label_col).cast("int")).alias("y"), F.max(F.col(label_col).cast("int")).alias("_z"))
+        .where("y = _z").drop("_z")
+    )
     sizes = {r.y: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     model = {"channel": channel, "weights": {}, "bias": -4.0}
     if not sizes.get(1):
@@ -191,7 +195,9 @@ def fit(
     drawn = marks.where(
         F.pmod(F.xxhash64(F.lit(seed), "_id"), F.when(F.col("y") == 1, F.lit(gaps[1])).otherwise(F.lit(gaps[0]))) == 0
     )
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(drawn, "_id")
+    # ids and labels only, as many as the sample's bound says: the texts of all others stay where they are
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    rows = rows.join(F.broadcast(drawn), "_id")
     # equal texts teach once; a text with both labels is left out
     rows = written(rows.groupBy("text").agg(F.min("y").alias("y"), F.max("y").alias("_z")).where("y = _z").drop("_z"))
     texts_of = {r.y: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
