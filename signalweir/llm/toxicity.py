@@ -219,7 +219,7 @@ def fit(
 
 def _cover(
     texts: list[frozenset], pure: set[str], beside: dict[str, int], n_clean: int, least: int, per_toxic: int, per_clean: int,
-    times: int = 3, share: float = 0.05,
+    times: int = 5, share: float = 0.05,
 ) -> dict[str, float]:
     """Features that explain toxic texts, with the log odds that they give a text.
 
