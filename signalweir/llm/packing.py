@@ -149,6 +149,8 @@ def pack(
     an empty result. Extra columns are not read.
     """
     most = size if max_loss is None else max_loss
+    if min(size, max_segments, most) < 1:
+        raise ValueError("size, max_segments and max_loss must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary)

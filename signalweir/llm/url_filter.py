@@ -94,7 +94,7 @@ def judge_urls(
         )
     )
     # distinct lengths of listed paths: bounded by the longest URL that a rule can hold
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().limit(4096).collect() if r[0] is not None)
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect() if r[0] is not None)
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)),

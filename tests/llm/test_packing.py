@@ -84,6 +84,11 @@ def test_loss_column(spark):
     assert (got[got.id % 2 == 0].groupby("sequence_id").length.sum() <= 64).all()
 
 
+def test_limits_must_be_positive(spark, nothing):
+    with pytest.raises(ValueError):
+        pack(nothing, queries.VOCABULARY, max_loss=0)
+
+
 def test_query_digest(spark):
     rows = queries.op1_packing(spark, "/root/testdata/sf0.001").where("start = 0").limit(20).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
