@@ -246,7 +246,8 @@ def near_groups(
     distinct = written(base.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("head")))
     found = components(near_links(distinct, width, radius, masks, bits, limit))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    heads = rooted.groupBy("root").agg(F.min("head").alias("_head"))
+    # a table of its own, so that the join below is one of plain exchanges and a hot root can be split
+    heads = written(rooted.groupBy("root").agg(F.min("head").alias("_head")))
     classes = rooted.join(heads, "root").select(
         F.col("fp").alias("_fp"), F.col("_head.id").alias("component_id"), F.col("_head._row").alias("_first")
     )
