@@ -15,8 +15,12 @@ near copies cost a pass, not their square, and a shard returns a spanning forest
 pairs. Shards beyond `limit` points are cut into blocks that meet two by two, in tasks of
 at most twice that size: exact, with bounded memory.
 
-Wider fingerprints (`width` 512) with more masks estimate the angle well enough to stand
-for a set similarity; then the masks catch a pair with a probability instead of surely.
+drop_near() goes by the similarity of the shingle sets themselves, which no fingerprint
+tells exactly. Sets as similar as `similarity` share a shingle among the first few of each
+in any one order of all shingles; those few are the keys that documents meet under.
+Shingles that a sample finds often come last in that order, so the keys are rare ones.
+Every link is verified on the whole sets. Under each key all meet two leaders first; only
+what is still apart then meets in pairs, so a group of near copies is not squared.
 """
 
 from __future__ import annotations
@@ -229,22 +233,30 @@ def near_links(distinct: DataFrame, width: int, radius: int, masks: int, bits: i
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, width: int = 64, size: int = 4,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64, size: int = 4,
     radius: int = 4, masks: int = 5, bits: int = 13, limit: int = 1 << 16,
 ) -> DataFrame:
-    """One row per input row: _row, id, fp, component_id, first (and _doc, the row itself, if `carry`).
+    """One row per input row: _row, id, fp, component_id, first.
 
     component_id is the smallest id that links reach, the row's own included; null ids
     count only where a component has no other. `first` marks one row of each component:
     a row with that id, the first of several. Null, empty and blank texts have fingerprint
     zero and are linked like any other. An empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *([F.struct("*").alias("_doc")] if carry else []))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     base = written(
         source.withColumn("fp", simhash(width, size)("_text")).drop("_text").withColumn("_row", F.monotonically_increasing_id())
     )
-    distinct = written(base.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("head")))
-    found = components(near_links(distinct, width, radius, masks, bits, limit))
+    distinct = _heads(base)
+    return _classed(base, distinct, components(near_links(distinct, width, radius, masks, bits, limit)))
+
+
+def _heads(base: DataFrame) -> DataFrame:
+    return written(base.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("head")))
+
+
+def _classed(base: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """`base` with component_id and first, from the (node, root) of its linked fingerprints."""
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # a table of its own, so that the join below is one of plain exchanges and a hot root can be split
     heads = written(rooted.groupBy("root").agg(F.min("head").alias("_head")))
@@ -256,17 +268,162 @@ def near_groups(
     )
 
 
+def _often(docs: DataFrame, text_col: str, size: int, texts: int = 16_384, keys: int = 1_000_000, least: int = 2) -> np.ndarray:
+    """Shingles that at least `least` of about `texts` sampled texts hold, the `keys` most frequent of them, rarest first.
+
+    They only set an order; what the sample misses costs time and loses no link.
+    """
+    gap = max(1, math.ceil(docs.count() / texts))
+    drawn = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(gap)) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in as_bytes(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, size)).view(np.int64))], names=["key"])
+
+    counts = drawn.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rows = counts.orderBy(F.desc("n"), "key").limit(keys).toArrow()
+    return rows["key"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+def _shingled(docs: DataFrame, size: int, similarity: float, often: np.ndarray) -> DataFrame:
+    """`docs` (column _text) with fp (digest of the shingle set), _n (its size), _keys (its first shingles) and _sketch.
+
+    A bit of the sketch is the parity of the shingles that fall on it, so two sketches
+    differ in at most as many bits as the sets do in shingles: what it rules out is no link.
+    """
+    rank = np.argsort(often)
+    sent = docs.sparkSession.sparkContext.broadcast((often[rank], rank))
+    kind = pa.struct([
+        ("fp", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.struct([(x, pa.int64()) for x in "wxyz"])),
+    ])
+
+    def first(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hot, place = sent.value
+        for batch in texts:
+            out = []
+            for text in as_bytes(batch):
+                held = np.unique(shingle_hashes(text, size))
+                n = len(held)
+                order = held
+                if n and len(hot):
+                    at = np.minimum(np.searchsorted(hot, held), len(hot) - 1)
+                    late = np.where(hot[at] == held, place[at], -1)
+                    order = held[np.argsort(late, kind="stable")]
+                few = order[: n - math.ceil(similarity * n - 1e-9) + 1] if n else order
+                odd = np.bincount((held & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+                out.append({"fp": xxhash.xxh3_128_digest(held.tobytes()), "n": n, "keys": few.view(np.int64).tolist(), "sketch": dict(zip("wxyz", sketch))})
+            yield pa.array(out, kind)
+
+    first.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    udf = arrow_udf(first, "struct<fp: binary, n: int, keys: array<bigint>, sketch: struct<w: bigint, x: bigint, y: bigint, z: bigint>>").asNondeterministic()
+    found = docs.withColumn("_s", udf("_text")).drop("_text")
+    parts = (F.col("_s.fp").alias("fp"), F.col("_s.n").alias("_n"), F.col("_s.keys").alias("_keys"), F.col("_s.sketch").alias("_sketch"))
+    return found.select(*(c for c in found.columns if c != "_s"), *parts)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their first column those whose key another row has too."""
+    held = None  # the last row so far, and whether the one before it has its key
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.concat_batches([held[0], batch])
+        keys = batch.column(0).to_numpy()
+        same = keys[1:] == keys[:-1]
+        keep = np.zeros(len(keys), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if held is not None:
+            keep[0] |= held[1]
+        keep_last, keep[-1] = bool(keep[-1]), False
+        yield batch.filter(pa.array(keep))
+        held = (batch.slice(len(keys) - 1), keep_last)
+    if held is not None and held[1]:
+        yield held[0]
+
+
+def _similar(similarity: float):
+    """Column function: whether two sets, as sorted hashes, have at least that Jaccard similarity."""
+
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ones, twos in parts:
+            out = []
+            for one, two in zip(ones, twos):
+                a, b = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)
+                both = np.sort(np.concatenate((a, b)), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                out.append(shared >= similarity * (len(a) + len(b) - shared) - 1e-9)
+            yield pa.array(out, pa.bool_())
+
+    run.__annotations__ = {"parts": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return arrow_udf(run, "boolean").asNondeterministic()
+
+
+def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b) links among fingerprints that connect all sets of at least `similarity`, each verified on the sets.
+
+    `base` has _row, fp, _n, _keys, _sketch and _doc_text; `distinct` has fp and a head with the _row that stands for it.
+    """
+    spark = base.sparkSession
+    heads = distinct.select(F.col("head._row").alias("_row"))
+    keyed = base.join(heads, "_row", "left_semi").select(F.explode("_keys").alias("key"), F.col("_row").alias("row"))
+    dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    sized = base.select(F.col("_row").alias("row"), F.struct(F.col("_n").alias("n"), "_sketch.*").alias("s"))
+    meets = written(dealt.mapInArrow(_met, "key long, row long").join(sized, "row"))
+
+    def hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([np.unique(shingle_hashes(t, size)).tobytes() for t in as_bytes(batch)], pa.binary())
+
+    hashed.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    texts = base.select(F.col("_row").alias("row"), "fp", "_doc_text")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the (a, b) whose sets are similar; sets are made and moved for the rows of pairs only."""
+        pairs = written(pairs.distinct())
+        # a table, so that its size is known: where it is small no text is shuffled
+        ends = written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
+        sets = written(texts.join(ends, "row", "left_semi").withColumn("set", arrow_udf(hashed, "binary").asNondeterministic()("_doc_text")).drop("_doc_text"))
+        one, two = (sets.select(F.col("row").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("set").alias(f"{x}_set")) for x in "ab")
+        both = pairs.join(one, "a").join(two, "b")
+        return written(both.where(_similar(similarity)("a_set", "b_set")).select("a", "b", "a_fp", "b_fp"))
+
+    def fits(one: str, two: str):
+        """Sizes and sketches leave it open that the sets are similar."""
+        x, y = F.col(f"{one}.n"), F.col(f"{two}.n")
+        differ = sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in "wxyz"), F.lit(0))
+        most = (x + y) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & (differ <= most)
+
+    leaders = meets.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "row"), "row", "s")).alias(f"l{i}") for i in range(2)))
+    each = F.array_distinct(F.array(*(F.struct(F.col(f"l{i}.row").alias("leader"), F.col(f"l{i}.s").alias("t")) for i in range(2))))
+    led = leaders.select("key", F.inline(each))
+    star = meets.join(led, (meets["key"] == led["key"]) & (F.col("row") != F.col("leader")) & fits("s", "t"))
+    links = verified(star.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b")))
+    roots = written(components(links.select("a", "b")).select(F.col("node").alias("row"), "root"))
+    apart = meets.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    # keys whose rows stand in one component have nothing left to say, nor those whose rows were all leaders
+    mixed = apart.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).where("x != y AND k > 2")
+    apart = apart.join(mixed.select("key"), "key", "left_semi")
+    one, two = (apart.select(F.col("key").alias(f"{x}_key"), F.col("row").alias(x), F.col("s").alias(f"{x}_s"), F.col("root").alias(f"{x}_root")) for x in "ab")
+    met = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
+    more = verified(one.join(two, met & fits("a_s", "b_s")).select("a", "b"))
+    return links.unionByName(more).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row of each group of near copies, all columns as they were.
 
-    Links are fingerprints of 512 bits over `size`-word shingles whose angle says that the
-    shingle sets' similarity is at least `similarity`: of sets of equal size with Jaccard
-    similarity j the cosine is 2j / (1 + j), and a share acos / pi of the bits differs. The
-    radius is that share and one standard deviation, so it takes most pairs just at the
-    mark, hardly any at 0.65 and none that are unrelated. 24 masks of 14 bits find nine in
-    ten pairs just at the mark and nearly all above 0.85.
+    Near copies are texts whose sets of `size`-word shingles have Jaccard similarity of at
+    least `similarity`, and what chains of such texts connect. All are found and no others:
+    candidates are complete and each is verified. Texts without words are one group.
     """
-    width, masks, bits = 512, 24, 14
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(width * share + math.sqrt(width * share * (1 - share)))
-    return near_groups(docs, id_col, text_col, True, width, size, radius, masks, bits).where("first").select("_doc.*")
+    often = _often(docs, text_col, size)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), F.struct("*").alias("_doc"))
+    base = written(_shingled(source, size, similarity, often).withColumn("_row", F.monotonically_increasing_id()))
+    distinct = _heads(base)
+    links = similar_links(base.withColumn("_doc_text", F.col("_doc")[text_col]), distinct, size, similarity)
+    return _classed(base, distinct, components(links)).where("first").select("_doc.*")

@@ -134,3 +134,49 @@ def test_stage_takes_copies_and_leaves_others(spark):
     kept = {r.doc_id for r in near_dedup.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {k for k in kept if k < 1000} == set(range(120)) and len({k for k in kept if k >= 2000}) == 120
     assert len({k for k in kept if 1000 <= k < 2000}) <= 4
+
+
+def test_stage_equals_all_pairs_on_sets(spark):
+    """Similarities from 0.7 to 0.9, one group of many variations, equal fingerprints of unlike sets: links at 0.8 and no others."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for key in range(150):
+        words = list(rng.choice(vocabulary, int(rng.integers(6, 120))))
+        texts[2 * key] = " ".join(words)
+        cut = int(round(len(words) * rng.uniform(0.02, 0.3)))
+        texts[2 * key + 1] = " ".join(words[cut:] if key % 2 else words[: len(words) - cut] + list(rng.choice(vocabulary, cut // 3)))
+    base = list(rng.choice(vocabulary, 150))
+    for key in range(300, 420):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 6)), replace=False):
+            words[at] = str(rng.choice(vocabulary))
+        texts[key] = " ".join(words)
+    for key in range(420, 426):  # one shingle rules the fingerprint, the sets have little in common
+        texts[key] = "same " * 400 + " ".join(rng.choice(vocabulary, 60))
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in ((k, t.split()) for k, t in texts.items())}
+    root = {k: k for k in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for b in texts:
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {find(k) for k in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert 150 < len(want) < 400
+    assert {r.doc_id for r in near_dedup.drop_near(docs).collect()} == want
+
+
+def test_keys_that_meet_across_batches():
+    import pyarrow as pa
+
+    keys = [1, 2, 2, 2, 2, 3, 4, 4, 5]
+    for cut in (1, 2, 3, 9):
+        batches = [pa.RecordBatch.from_pydict({"key": keys[i : i + cut], "row": list(range(i, min(9, i + cut)))}) for i in range(0, 9, cut)]
+        assert [r for b in near_dedup._met(iter(batches)) for r in b.column(1).to_pylist()] == [1, 2, 3, 4, 6, 7]
