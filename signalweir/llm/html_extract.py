@@ -1,8 +1,8 @@
 """Main text of web pages as a maximum-scoring subsequence.
 
 A page becomes a sequence of words and tags. Words score positive, more or less by where
-they stand (plain, in a link, in a list, in an element named as boilerplate); tags score
-negative by their name. One linear scan finds the contiguous region with the largest sum,
+they stand (plain, in a link, in a list); tags score negative by their name; boilerplate
+elements, their words and tags, score nothing, as they are left out wherever they stand. One linear scan finds the contiguous region with the largest sum,
 and the blocks of that region, without those in boilerplate elements, are the text.
 
 Weights are log odds from labelled pages: in pages that mark their content with exactly one
@@ -76,7 +76,7 @@ class _Open:
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, text): kind 'w' for text with its place as name, 'o' and 'c' for tags; raw elements are left out."""
+    """(kind, name, text): kind 'w' for text with its place as name, 'o' and 'c' for tags, 'x' for those of boilerplate; raw elements are left out."""
     open_ = _Open()
     at, size = 0, len(page)
     while at < size:
@@ -91,13 +91,14 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         name = t[2].lower()
         if t[1]:
+            within = open_.boiler
             open_.close(name)
-            yield "c", name, piece
+            yield "x" if within and name not in MAIN else "c", name, piece
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else size
-            yield "o", name, piece
+            yield "x" if open_.boiler else "o", name, piece
             continue
         if name in BLOCKS and open_.open_paragraph():  # a block ends an open paragraph
             open_.close("p")
@@ -108,7 +109,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
         boiler = name in BOILER and not titled or bool(marks and name not in _WHOLE and _MARKS.search(marks))
         if name not in VOID and not piece.endswith("/>"):
             open_.push(name, boiler)
-        yield "o", name, piece
+        yield "x" if (boiler or open_.boiler) and name not in MAIN else "o", name, piece
 
 
 def with_outside(parts: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
@@ -193,7 +194,10 @@ def main_text(page: str, weight: dict[str, float]) -> str:
     parts = with_outside(list(pieces(page)))
     best, best_span, run, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, name, text) in enumerate(parts):
-        score = weight.get(name, -1.0) * len(text.split()) if kind == "w" else weight.get("t:" + name, -0.3)
+        if kind == "x" or name == BOILERPLATE or kind == "o" and name in RAW:  # left out below wherever it stands
+            score = 0.0
+        else:
+            score = weight.get(name, -1.0) * len(text.split()) if kind == "w" else weight.get("t:" + name, -0.3)
         if run <= 0:
             run, start = 0.0, i
         run += score

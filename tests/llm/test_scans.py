@@ -139,6 +139,15 @@ def test_extraction_without_article():
     assert text.split("\n") == ["Head & line", f"{LONG} One two three", LONG, "first item", "second", f"{LONG} <end>"]
 
 
+@pytest.mark.parametrize("advert", ['<div class="ad">{}</div>', "<aside><p>{}</p></aside>", '<div class="share"><ul><li><a href=/>{}</a></ul></div>'])
+def test_extraction_bridges_an_advert_in_the_article(spark, advert):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    one, two = "first words of it " * 3, "and so the story ends " * 10
+    page = f"<body><nav><a href=/>Home</a></nav><article><p>{one}</p>{advert.format('buy these things today ' * 20)}<p>{two}</p></article><footer>all of us</footer></body>"
+    for weight in (html_extract.weights({}), html_extract.fit(pages)):
+        assert html_extract.main_text(page, weight).split("\n") == [one.strip(), two.strip()]
+
+
 def test_extraction_awkward(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "just words"), (4, "u", "<p>open"), (5, "u", "<" * 50), (6, "u", "<a b='" + "x" * 1000), (7, "u", "<div>" * 3000 + "deep" + "</div>" * 10), (7, "u", "</p>" * 3000)]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
