@@ -26,6 +26,8 @@ from pyspark.sql.functions import arrow_udf
 #: Element names: fixed values.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "xmp", "noembed", "noframes"}
 BOILER = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "label", "input", "fieldset", "menu", "dialog", "head"}
+#: Of these, elements that a slash in the tag closes.
+FOREIGN = {"svg", "math"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li",
@@ -40,6 +42,8 @@ _MARKS = re.compile(
     r"|breadcrumbs?|pagination|pager|toolbar|footer|header|masthead|copyright|legal|disclaimer|comments?|commentlist|replies|reply|respond"
     r"|discussion|disqus|feedback|complementary|contentinfo|search|dialog)(?:$|[\s_-])"
 )
+#: Classes that say what a page has, not what the element is: with-sidebar, no-comments, fixed-header.
+_STATES = re.compile(r"(?<!\S)(?:with|without|has|have|no|not|non|is|fixed|sticky|hide|show|enable|disable)[_-]\S*")
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[A-Za-z][^>]*>?|[^<]+|<", re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -59,6 +63,11 @@ class _Open:
         self.names[name] += 1
         self.boiler += boiler
 
+    def spare(self) -> None:
+        """The open elements hold the content: none of them is boilerplate."""
+        self.stack = [(name, False) for name, _ in self.stack]
+        self.boiler = 0
+
     def close(self, name: str) -> None:
         """Close the innermost element of that name with all inside it, if there is one."""
         while self.names[name]:
@@ -75,7 +84,18 @@ class _Open:
         return next((n for n, _ in reversed(self.stack) if n in BLOCKS), "") == "p"
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+def pieces(page: str) -> list[tuple[str, str, str]]:
+    """The parts of _pieces(). Where all content elements stand in one, what holds that one is no boilerplate."""
+    parts = list(_pieces(page))
+    deep = outer = 0
+    for kind, name, _ in parts:
+        if name in MAIN and kind != "w":
+            outer += kind == "o" and not deep
+            deep = deep + 1 if kind == "o" else max(0, deep - 1)
+    return list(_pieces(page, True)) if outer == 1 else parts
+
+
+def _pieces(page: str, one: bool = False) -> Iterator[tuple[str, str, str]]:
     """(kind, name, text): kind 'w' for text with its place as name, 'o' and 'c' for tags, 'x' for those of boilerplate; raw elements are left out."""
     open_ = _Open()
     at, size = 0, len(page)
@@ -95,6 +115,9 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             open_.close(name)
             yield "x" if within and name not in MAIN else "c", name, piece
             continue
+        if name in FOREIGN and piece.endswith("/>"):
+            yield "x" if open_.boiler else "o", name, piece
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else size
@@ -105,8 +128,10 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
         if name == "li" and open_.stack and open_.stack[-1][0] == "li":
             open_.close("li")
         marks = " ".join(x for m in _NAMED.findall(piece) for x in m if x).lower() if "=" in piece else ""
+        if one and name in MAIN and not (open_.names["article"] or open_.names["main"]):
+            open_.spare()
         titled = name == "header" and (open_.names["article"] or open_.names["main"])
-        boiler = name in BOILER and not titled or bool(marks and name not in _WHOLE and _MARKS.search(marks))
+        boiler = name in BOILER and not titled or bool(marks and name not in _WHOLE and _MARKS.search(_STATES.sub(" ", marks)))
         if name not in VOID and not piece.endswith("/>"):
             open_.push(name, boiler)
         yield "x" if (boiler or open_.boiler) and name not in MAIN else "o", name, piece
@@ -191,7 +216,7 @@ def weights(counts: dict[tuple[bool, str], int], min_count: int = 20) -> dict[st
 
 def main_text(page: str, weight: dict[str, float]) -> str:
     """The blocks of the best region, white space in a block as one space, joined by line ends."""
-    parts = with_outside(list(pieces(page)))
+    parts = with_outside(pieces(page))
     best, best_span, run, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, name, text) in enumerate(parts):
         if kind == "x" or name == BOILERPLATE or kind == "o" and name in RAW:  # left out below wherever it stands

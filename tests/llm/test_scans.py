@@ -148,6 +148,21 @@ def test_extraction_bridges_an_advert_in_the_article(spark, advert):
         assert html_extract.main_text(page, weight).split("\n") == [one.strip(), two.strip()]
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout with-sidebar"', "div class=no-comments", 'div id="fixed-header"', "div class=sidebar", "form action=/"])
+@pytest.mark.parametrize("main", ["article", "main", "main><article"])
+def test_extraction_inside_a_marked_wrapper(wrapper, main):
+    page = f"<body><{wrapper}><{main}><p>{LONG}</p></article></main><div class=sidebar><p>Read these other stories</p></div></div></body>"
+    assert html_extract.main_text(page, html_extract.weights({})).split("\n")[0] == LONG
+
+
+def test_extraction_states_and_closed_drawings():
+    weight = html_extract.weights({})
+    for wrapper in ("layout with-sidebar", "has-sidebar", "no-comments", "fixed-header"):
+        page = f'<body><div class="{wrapper}"><p>{LONG}</p><svg class="icon"/><p>{LONG}</p><div class="cookie-notice">{LONG}</div></div></body>'
+        assert html_extract.main_text(page, weight).split("\n") == [LONG, LONG]
+    assert html_extract.main_text(f"<p>{LONG}</p><svg><text>drawn</text></svg><p>{LONG}</p>", weight).split("\n") == [LONG, LONG]
+
+
 def test_extraction_awkward(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "just words"), (4, "u", "<p>open"), (5, "u", "<" * 50), (6, "u", "<a b='" + "x" * 1000), (7, "u", "<div>" * 3000 + "deep" + "</div>" * 10), (7, "u", "</p>" * 3000)]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
