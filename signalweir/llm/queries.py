@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalweir.llm import decontaminate, exact_dedup, html_extract, language_id, licenses, near_dedup, packing, sharding, toxicity, url_filter
+from signalweir.llm import conversation_repair, decontaminate, exact_dedup, html_extract, language_id, licenses, near_dedup, packing, sharding, toxicity, url_filter
 from signalweir.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,31 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     found = html_extract.extracted(pages, html_extract.fit(pages))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with a fifth of their rows damaged, by a checksum of conversation and turn."""
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    how = F.crc32(name.cast("binary")) % 20
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    hit = conversations.select(
+        "conv_id", "turn", F.when(how == 4, "user").otherwise(role).alias("role"),
+        F.when(how == 1, "").when(how == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(how == 3, 2).when(how == 0, 0).otherwise(1).alias("times"),
+    )
+    return hit.where("times > 0").withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("times")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    repair = conversation_repair.Repair(damaged(conversations))
+    every = conversations.select("conv_id").distinct()
+    report = repair.report().withColumnRenamed("conv", "r_conv").withColumn("_there", F.lit(True))
+    digests = repair.digests().withColumnRenamed("conv", "d_conv")
+    found = every.join(report, F.col("conv_id").eqNullSafe(F.col("r_conv")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("d_conv")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
