@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalweir.llm import conversation_repair, decontaminate, exact_dedup, html_extract, language_id, licenses, near_dedup, packing, sharding, toxicity, url_filter
+from signalweir.llm import bpe, conversation_repair, decontaminate, exact_dedup, html_extract, language_id, licenses, near_dedup, packing, sharding, toxicity, url_filter
 from signalweir.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the ids of byte_bpe_50k.json
+BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 #: Rules of the URL filter: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Host labels whose pages are listed one by one.
@@ -157,3 +158,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
     )
+
+
+@query
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), BPE_FILE), BPE_FILE)
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
