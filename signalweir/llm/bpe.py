@@ -166,15 +166,8 @@ class Splitter:
     def __init__(self, path: str, added: dict[str, int]):
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self._exact = Tokenizer.from_file(path).pre_tokenizer
-        newer, start = [], None
-        for c in range(sys.maxunicode + 2):
-            open_ = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-            if open_ and start is None:
-                start = c
-            elif not open_ and start is not None:
-                newer.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-                start = None
-        self._newer = regex.compile("[" + "".join(newer) + "]")
+        #: Code points that Python's tables do not know: the only ones on which the two may differ.
+        self._newer = np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
         self._added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def parts(self, text: str) -> list[str]:
@@ -182,7 +175,7 @@ class Splitter:
         return self._added.split(text) if self._added else [text]
 
     def chunks(self, text: str) -> list[str]:
-        if not text.isascii() and self._newer.search(text):
+        if not text.isascii() and self._newer[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any():
             return [text[a:b] for _, (a, b) in self._exact.pre_tokenize_str(text)]
         return self.pattern.findall(text)
 
