@@ -25,6 +25,7 @@ n-gram at their borders.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from signalweir.llm.common import LOWER_TABLE, as_bytes, partitions, written
 from signalweir.scale import top_per_key
 
 #: Words and bytes of a block, and the bytes that are hashed at once.
-BLOCK_WORDS, SLICE_BYTES = 1 << 20, 1 << 21
+BLOCK_WORDS, SLICE_BYTES = 1 << 19, 1 << 19
 #: Bits of a sieve, which is broadcast: 8 MB.
 SIEVE_BITS = 26
 #: Bytes of text for each bucket of fingerprints, and the most buckets.
@@ -343,20 +344,21 @@ def frequent_phrases(
         sieves.append(_sieve(texts, n, sieves, min_count, buckets, longest, weak))
     sent = texts.sparkSession.sparkContext.broadcast(sieves)
 
+    def phrases(grams: Grams, own: int, n: int) -> Iterator[tuple]:
+        places, prints = grams.sieved(n, sent.value, min_count)
+        keep = places < own
+        if keep.any():
+            for at, m in grams.exact(places[keep], prints[keep], n):
+                yield grams.langs[grams.code[at]], n, grams.phrase(at, n), m
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
         for grams, own in _blocks(batches, longest, weak):
             grams.name_words()
             words = np.bincount(grams.code[:own], minlength=len(grams.langs))
-            out = [(lang, 0, "", n) for lang, n in zip(grams.langs, words.tolist()) if n]
-            for n in range(1, longest + 1):
-                places, prints = grams.sieved(n, sent.value, min_count)
-                keep = places < own
-                if keep.any():
-                    out += [(grams.langs[grams.code[at]], n, grams.phrase(at, n), m) for at, m in grams.exact(places[keep], prints[keep], n)]
-            for a in range(0, len(out), 1 << 16):
-                columns = zip(*out[a : a + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "words", "phrase", "f"])
+            totals = [(lang, 0, "", n) for lang, n in zip(grams.langs, words.tolist()) if n]
+            for rows in batched(chain(totals, *(phrases(grams, own, n) for n in range(1, longest + 1))), 1 << 13):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "words", "phrase", "f"])
 
     found = texts.mapInArrow(count, "lang string, words int, phrase string, f long")
     summed = written(found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= F.when(F.col("words") == 0, 1).otherwise(min_count)))
