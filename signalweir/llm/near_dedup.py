@@ -291,12 +291,11 @@ def _shingled(docs: DataFrame, size: int, similarity: float, often: np.ndarray)
 
     A bit of the sketch is the parity of the shingles that fall on it, so two sketches
     differ in at most as many bits as the sets do in shingles: what it rules out is no link.
+    It has a bit a shingle at least, so unlike sets of any size differ in too many.
     """
     rank = np.argsort(often)
     sent = docs.sparkSession.sparkContext.broadcast((often[rank], rank))
-    kind = pa.struct([
-        ("fp", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.struct([(x, pa.int64()) for x in "wxyz"])),
-    ])
+    kind = pa.struct([("fp", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def first(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hot, place = sent.value
@@ -311,13 +310,14 @@ def _shingled(docs: DataFrame, size: int, similarity: float, often: np.ndarray)
                     late = np.where(hot[at] == held, place[at], -1)
                     order = held[np.argsort(late, kind="stable")]
                 few = order[: n - math.ceil(similarity * n - 1e-9) + 1] if n else order
-                odd = np.bincount((held & np.uint64(255)).astype(np.int64), minlength=256) & 1
-                sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-                out.append({"fp": xxhash.xxh3_128_digest(held.tobytes()), "n": n, "keys": few.view(np.int64).tolist(), "sketch": dict(zip("wxyz", sketch))})
+                bits = max(256, 1 << (n - 1).bit_length()) if n else 256
+                odd = np.bincount((held & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                sketch = np.packbits(odd.astype(np.uint8)).tobytes()
+                out.append({"fp": xxhash.xxh3_128_digest(held.tobytes()), "n": n, "keys": few.view(np.int64).tolist(), "sketch": sketch})
             yield pa.array(out, kind)
 
     first.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    udf = arrow_udf(first, "struct<fp: binary, n: int, keys: array<bigint>, sketch: struct<w: bigint, x: bigint, y: bigint, z: bigint>>").asNondeterministic()
+    udf = arrow_udf(first, "struct<fp: binary, n: int, keys: array<bigint>, sketch: binary>").asNondeterministic()
     found = docs.withColumn("_s", udf("_text")).drop("_text")
     parts = (F.col("_s.fp").alias("fp"), F.col("_s.n").alias("_n"), F.col("_s.keys").alias("_keys"), F.col("_s.sketch").alias("_sketch"))
     return found.select(*(c for c in found.columns if c != "_s"), *parts)
@@ -362,17 +362,46 @@ def _similar(similarity: float):
     return arrow_udf(run, "boolean").asNondeterministic()
 
 
+def sketch_distance(one: bytes, two: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded: no more than the sets differ in."""
+    a, b = int.from_bytes(one, "big"), int.from_bytes(two, "big")
+    x, y = 8 * len(one), 8 * len(two)
+    while x > y:
+        x //= 2
+        a = (a >> x) ^ (a & ((1 << x) - 1))
+    while y > x:
+        y //= 2
+        b = (b >> y) ^ (b & ((1 << y) - 1))
+    return (a ^ b).bit_count()
+
+
+def _distances():
+    """Column function over two columns of sketches."""
+
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for ones, twos in parts:
+            yield pa.array([sketch_distance(x, y) for x, y in zip(ones.to_pylist(), twos.to_pylist())], pa.int32())
+
+    run.__annotations__ = {"parts": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return arrow_udf(run, "int").asNondeterministic()
+
+
 def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b) links among fingerprints that connect all sets of at least `similarity`, each verified on the sets.
 
     `base` has _row, fp, _n, _keys, _sketch and _doc_text; `distinct` has fp and a head with the _row that stands for it.
+    What meets under a key is two numbers a row: how many shingles its set has and how many
+    come before the key. The first shingle that two sets share leaves them only what comes
+    from there on, so sizes and places rule out most pairs; sketches then travel once for a
+    pair, and sets for the pairs that sketches leave.
     """
     spark = base.sparkSession
     heads = distinct.select(F.col("head._row").alias("_row"))
-    keyed = base.join(heads, "_row", "left_semi").select(F.explode("_keys").alias("key"), F.col("_row").alias("row"))
+    keyed = base.join(heads, "_row", "left_semi").select(
+        F.posexplode("_keys").alias("pos", "key"), F.col("_row").alias("row"), F.col("_n").alias("n")
+    ).select("key", "row", "n", "pos")
     dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    sized = base.select(F.col("_row").alias("row"), F.struct(F.col("_n").alias("n"), "_sketch.*").alias("s"))
-    meets = written(dealt.mapInArrow(_met, "key long, row long").join(sized, "row"))
+    meets = written(dealt.mapInArrow(_met, "key long, row long, n int, pos int"))
 
     def hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
@@ -380,28 +409,37 @@ def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: f
 
     hashed.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     texts = base.select(F.col("_row").alias("row"), "fp", "_doc_text")
+    sketches = base.select(F.col("_row").alias("row"), F.col("_n").alias("n"), F.col("_sketch").alias("sketch"))
+
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        # a table, so that its size is known: where it is small nothing else is shuffled
+        return written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the (a, b) whose sets are similar; sets are made and moved for the rows of pairs only."""
         pairs = written(pairs.distinct())
-        # a table, so that its size is known: where it is small no text is shuffled
-        ends = written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
-        sets = written(texts.join(ends, "row", "left_semi").withColumn("set", arrow_udf(hashed, "binary").asNondeterministic()("_doc_text")).drop("_doc_text"))
+        held = sketches.join(ends_of(pairs), "row", "left_semi")
+        one, two = (held.select(F.col("row").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
+        most = (F.col("a_n") + F.col("b_n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        left = pairs.join(one, "a").join(two, "b").where(_distances()("a_sketch", "b_sketch") <= most)
+        left = written(left.select("a", "b"))
+        sets = written(texts.join(ends_of(left), "row", "left_semi").withColumn("set", arrow_udf(hashed, "binary").asNondeterministic()("_doc_text")).drop("_doc_text"))
         one, two = (sets.select(F.col("row").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("set").alias(f"{x}_set")) for x in "ab")
-        both = pairs.join(one, "a").join(two, "b")
+        both = left.join(one, "a").join(two, "b")
         return written(both.where(_similar(similarity)("a_set", "b_set")).select("a", "b", "a_fp", "b_fp"))
 
     def fits(one: str, two: str):
-        """Sizes and sketches leave it open that the sets are similar."""
-        x, y = F.col(f"{one}.n"), F.col(f"{two}.n")
-        differ = sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in "wxyz"), F.lit(0))
-        most = (x + y) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & (differ <= most)
+        """Sizes, and places of the key, leave it open that the sets are similar and share nothing before it."""
+        (x, p), (y, q) = ((F.col(f"{c}.n"), F.col(f"{c}.pos")) for c in (one, two))
+        shared = (x + y) * (similarity / (1 + similarity)) - 1e-6
+        return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & (F.least(x - p, y - q) >= shared)
 
+    at = F.struct("n", "pos")
+    meets = meets.select("key", "row", at.alias("s"))
     leaders = meets.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "row"), "row", "s")).alias(f"l{i}") for i in range(2)))
     each = F.array_distinct(F.array(*(F.struct(F.col(f"l{i}.row").alias("leader"), F.col(f"l{i}.s").alias("t")) for i in range(2))))
-    led = leaders.select("key", F.inline(each))
-    star = meets.join(led, (meets["key"] == led["key"]) & (F.col("row") != F.col("leader")) & fits("s", "t"))
+    led = leaders.select(F.col("key").alias("l_key"), F.inline(each))
+    star = meets.join(led, (F.col("key") == F.col("l_key")) & (F.col("row") != F.col("leader")) & fits("s", "t"))
     links = verified(star.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b")))
     roots = written(components(links.select("a", "b")).select(F.col("node").alias("row"), "root"))
     apart = meets.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
