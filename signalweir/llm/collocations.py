@@ -136,17 +136,21 @@ class Grams:
         self.h, self.at, self.size = join(self.hashes, U64), join(self.starts, np.int64), join(self.sizes, np.int64)
         self.in_piece, self.code = join(self.pieces, np.int64), join(self.lang, np.int32)
         up = powers(WORD_BASE, len(self.h))
+        self._grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self._prefix = np.concatenate([np.zeros(1, U64), np.cumsum(self.h * up, dtype=U64)])
         self._back = powers(inverse(WORD_BASE), len(self.h))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Where n-grams start, and their fingerprints; the language is part of a fingerprint."""
+        if n in self._grams:
+            return self._grams[n]
         count = max(0, len(self.h) - n + 1)
         places = np.flatnonzero(self.in_piece[:count] == self.in_piece[n - 1 : n - 1 + count])
         poly = (self._prefix[places + n] - self._prefix[places]) * self._back[places]
         prints = mixed(poly ^ self._salts[self.code[places]] ^ U64(n)) & self.mask
         # a weak print keeps its high end, where buckets and sieves look
-        return places, prints << U64(64 - int(self.mask).bit_length())
+        self._grams[n] = places, prints << U64(64 - int(self.mask).bit_length())
+        return self._grams[n]
 
     def sieved(self, n: int, sieves: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and fingerprints of the n-grams whose first and last n-1 words pass their sieve."""
@@ -196,19 +200,20 @@ class Grams:
     def name_words(self) -> None:
         """`word`: equal for equal words only. The hash, unless two words of the block share one."""
         self.text = b"".join(self.data)
-        raw = np.frombuffer(self.text, np.uint8)
+        # the eight bytes from each place on, as one number
+        padded = np.frombuffer(self.text + bytes(8), np.uint8)
+        eight = np.lib.stride_tricks.as_strided(padded[:8].view(U64), (len(self.text) + 1,), (1,), writeable=False)
         order = np.argsort(self.h, kind="stable")
         new = np.concatenate([[True], self.h[order][1:] != self.h[order][:-1]]) if len(order) else np.zeros(0, bool)
         head = np.empty(len(order), np.int64)
         head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else 0
         clean = bool((self.size == self.size[head]).all())
-        for a in range(0, len(head) if clean else 0, 1 << 17):
-            size, at, to = self.size[a : a + (1 << 17)], self.at[a : a + (1 << 17)], self.at[head[a : a + (1 << 17)]]
-            ends = np.cumsum(size)
-            inner = np.arange(ends[-1]) - np.repeat(ends - size, size)
-            if not (raw[np.repeat(at, size) + inner] == raw[np.repeat(to, size) + inner]).all():
-                clean = False
-                break
+        one, two, left = self.at, self.at[head], self.size
+        while clean and len(left):
+            over = (U64(8) * (U64(8) - np.minimum(left, 8).astype(U64)))
+            clean = bool((((eight[one] ^ eight[two]) << over) == 0).all())
+            more = left > 8
+            one, two, left = one[more] + 8, two[more] + 8, left[more] - 8
         if clean:
             self.word = self.h
         else:
@@ -258,7 +263,7 @@ def _sieve(texts: DataFrame, n: int, sieves: list, min_count: int, buckets: int,
             bucket = (prints >> U64(64 - buckets)).astype(np.int64) if buckets else np.zeros(len(prints), np.int64)
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(prints)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[edges[:-1]], pa.int64()), pa.array([prints[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
+                [pa.array(bucket[edges[:-1]], pa.int64()), pa.array([_short(prints[a:b], buckets) for a, b in zip(edges, edges[1:])], pa.binary()),
                  pa.array([_packed(counts[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())],
                 names=["bucket", "prints", "counts"],
             )
@@ -290,7 +295,7 @@ def _sieve(texts: DataFrame, n: int, sieves: list, min_count: int, buckets: int,
                     yield bits()
                     prints, counts, loose = [], [], 0
                 held = bucket
-                one = np.frombuffer(p.as_py(), U64)
+                one = _long(p.as_py(), bucket, buckets)
                 prints.append(one)
                 counts.append(_unpacked(c.as_py(), len(one)))
                 loose += len(one)
@@ -310,6 +315,18 @@ def _sieve(texts: DataFrame, n: int, sieves: list, min_count: int, buckets: int,
     return found
 
 
+def _short(prints: np.ndarray, buckets: int) -> bytes:
+    """The 40 bits of each print behind its bucket's. Prints that agree so far are counted as one, which only lets more pass."""
+    return ((prints << U64(buckets)) >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(data: bytes, bucket: int, buckets: int) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    prints = out.view("<u8").ravel() << U64(24 - buckets)
+    return prints | U64(bucket << (64 - buckets) if buckets else 0)
+
+
 def _packed(counts: np.ndarray) -> bytes:
     """Mostly ones: a byte each, and the few large ones behind."""
     large = np.flatnonzero(counts > 254)
