@@ -295,7 +295,7 @@ def _shingled(docs: DataFrame, size: int, similarity: float, often: np.ndarray)
     """
     rank = np.argsort(often)
     sent = docs.sparkSession.sparkContext.broadcast((often[rank], rank))
-    kind = pa.struct([("fp", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    kind = pa.struct([("fp", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("folded", pa.list_(pa.int64()))])
 
     def first(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hot, place = sent.value
@@ -312,14 +312,16 @@ def _shingled(docs: DataFrame, size: int, similarity: float, often: np.ndarray)
                 few = order[: n - math.ceil(similarity * n - 1e-9) + 1] if n else order
                 bits = max(256, 1 << (n - 1).bit_length()) if n else 256
                 odd = np.bincount((held & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-                sketch = np.packbits(odd.astype(np.uint8)).tobytes()
-                out.append({"fp": xxhash.xxh3_128_digest(held.tobytes()), "n": n, "keys": few.view(np.int64).tolist(), "sketch": sketch})
+                sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                folded = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+                out.append({"fp": xxhash.xxh3_128_digest(held.tobytes()), "n": n, "keys": few.view(np.int64).tolist(), "sketch": sketch.tolist(), "folded": folded.tolist()})
             yield pa.array(out, kind)
 
     first.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    udf = arrow_udf(first, "struct<fp: binary, n: int, keys: array<bigint>, sketch: binary>").asNondeterministic()
+    udf = arrow_udf(first, "struct<fp: binary, n: int, keys: array<bigint>, sketch: array<bigint>, folded: array<bigint>>").asNondeterministic()
     found = docs.withColumn("_s", udf("_text")).drop("_text")
-    parts = (F.col("_s.fp").alias("fp"), F.col("_s.n").alias("_n"), F.col("_s.keys").alias("_keys"), F.col("_s.sketch").alias("_sketch"))
+    parts = (F.col("_s.fp").alias("fp"), F.col("_s.n").alias("_n"), F.col("_s.keys").alias("_keys"))
+    parts += (F.struct(F.col("_s.sketch").alias("sketch"), F.col("_s.folded").alias("folded")).alias("_sketch"),)
     return found.select(*(c for c in found.columns if c != "_s"), *parts)
 
 
@@ -362,28 +364,22 @@ def _similar(similarity: float):
     return arrow_udf(run, "boolean").asNondeterministic()
 
 
-def sketch_distance(one: bytes, two: bytes) -> int:
-    """Bits in which two sketches differ, the longer one folded: no more than the sets differ in."""
-    a, b = int.from_bytes(one, "big"), int.from_bytes(two, "big")
-    x, y = 8 * len(one), 8 * len(two)
-    while x > y:
-        x //= 2
-        a = (a >> x) ^ (a & ((1 << x) - 1))
-    while y > x:
-        y //= 2
-        b = (b >> y) ^ (b & ((1 << y) - 1))
-    return (a ^ b).bit_count()
+def sketch_distance(one, two):
+    """Bits in which two sketches differ, the longer one folded: no more than the sets differ in.
 
+    Column function over structs of a sketch and its two halves laid over each other. Sets
+    of like size have sketches of equal length, or one of twice the other's.
+    """
 
-def _distances():
-    """Column function over two columns of sketches."""
-
-    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for ones, twos in parts:
-            yield pa.array([sketch_distance(x, y) for x, y in zip(ones.to_pylist(), twos.to_pylist())], pa.int32())
+    def bits(x, y):
+        differ = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        return F.aggregate(differ, F.lit(0), lambda total, n: total + n)
 
-    run.__annotations__ = {"parts": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return arrow_udf(run, "int").asNondeterministic()
+    x, y = F.size(one["sketch"]), F.size(two["sketch"])
+    return (
+        F.when(x == y, bits(one["sketch"], two["sketch"])).when(x == 2 * y, bits(one["folded"], two["sketch"]))
+        .when(y == 2 * x, bits(one["sketch"], two["folded"])).otherwise(0)
+    )
 
 
 def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -421,7 +417,7 @@ def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: f
         held = sketches.join(ends_of(pairs), "row", "left_semi")
         one, two = (held.select(F.col("row").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
         most = (F.col("a_n") + F.col("b_n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        left = pairs.join(one, "a").join(two, "b").where(_distances()("a_sketch", "b_sketch") <= most)
+        left = pairs.join(one, "a").join(two, "b").where(sketch_distance(F.col("a_sketch"), F.col("b_sketch")) <= most)
         left = written(left.select("a", "b"))
         sets = written(texts.join(ends_of(left), "row", "left_semi").withColumn("set", arrow_udf(hashed, "binary").asNondeterministic()("_doc_text")).drop("_doc_text"))
         one, two = (sets.select(F.col("row").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("set").alias(f"{x}_set")) for x in "ab")
@@ -445,10 +441,16 @@ def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: f
     apart = meets.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     # keys whose rows stand in one component have nothing left to say, nor those whose rows were all leaders
     mixed = apart.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).where("x != y AND k > 2")
-    apart = apart.join(mixed.select("key"), "key", "left_semi")
-    one, two = (apart.select(F.col("key").alias(f"{x}_key"), F.col("row").alias(x), F.col("s").alias(f"{x}_s"), F.col("root").alias(f"{x}_root")) for x in "ab")
+    # sketches go along with what is left, so that documents which share a passage and no more make no pairs
+    apart = apart.join(mixed.select("key"), "key", "left_semi").join(sketches.select("row", "sketch"), "row")
+    one, two = (
+        apart.select(F.col("key").alias(f"{x}_key"), F.col("row").alias(x), F.col("s").alias(f"{x}_s"), F.col("root").alias(f"{x}_root"), F.col("sketch").alias(f"{x}_sketch"))
+        for x in "ab"
+    )
     met = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
-    more = verified(one.join(two, met & fits("a_s", "b_s")).select("a", "b"))
+    most = (F.col("a_s.n") + F.col("b_s.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    near = sketch_distance(F.col("a_sketch"), F.col("b_sketch")) <= most
+    more = verified(one.join(two, met & fits("a_s", "b_s") & near).select("a", "b"))
     return links.unionByName(more).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
 
 
