@@ -13,7 +13,7 @@ The sieve has a fixed number of bits: false positives cost shuffle, never result
 
 Last, what passes the sieves of every length is counted exactly. In a block an occurrence
 is a pointer to its first word; words of one hash are compared byte by byte and the
-occurrences of one fingerprint word by word, each to the first of them, and only the text
+occurrences of one fingerprint word by word, each to one of them, and only the text
 at that pointer leaves the task, with its count. Where the comparison finds a collision,
 the block is grouped by its words instead. Phrases of different tasks meet by their text,
 so no collision can add up two of them, and text moves for frequent phrases only.
@@ -37,7 +37,7 @@ from signalweir.llm.common import LOWER_TABLE, as_bytes, partitions, written
 from signalweir.scale import top_per_key
 
 #: Words and bytes of a block, and the bytes that are hashed at once.
-BLOCK_WORDS, SLICE_BYTES = 1 << 19, 1 << 19
+BLOCK_WORDS, SLICE_BYTES = 3 << 18, 1 << 19
 #: Bits of a sieve, which is broadcast: 8 MB.
 SIEVE_BITS = 26
 #: Bytes of text for each bucket of fingerprints, and the most buckets.
@@ -180,8 +180,8 @@ class Grams:
         self.data, self.bytes = [data[first:]], len(data) - first
 
     def exact(self, places: np.ndarray, prints: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-        """(place of the first occurrence, count) of each distinct n-gram, told apart by words and language."""
-        order = np.argsort(prints, kind="stable")
+        """(place of one occurrence, count) of each distinct n-gram, told apart by words and language."""
+        order = np.argsort(prints)
         places, prints = places[order], prints[order]
         new = np.concatenate([[True], prints[1:] != prints[:-1]])
         heads = np.flatnonzero(new)
@@ -203,7 +203,7 @@ class Grams:
         # the eight bytes from each place on, as one number
         padded = np.frombuffer(self.text + bytes(8), np.uint8)
         eight = np.lib.stride_tricks.as_strided(padded[:8].view(U64), (len(self.text) + 1,), (1,), writeable=False)
-        order = np.argsort(self.h, kind="stable")
+        order = np.argsort(self.h)
         new = np.concatenate([[True], self.h[order][1:] != self.h[order][:-1]]) if len(order) else np.zeros(0, bool)
         head = np.empty(len(order), np.int64)
         head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else 0
@@ -273,7 +273,7 @@ def _sieve(texts: DataFrame, n: int, sieves: list, min_count: int, buckets: int,
 
         def compact() -> None:
             p, c = np.concatenate(prints), np.concatenate(counts)
-            order = np.argsort(p, kind="stable")
+            order = np.argsort(p)
             p, c = p[order], c[order]
             heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
             prints[:], counts[:] = [p[heads]], [np.add.reduceat(c, heads)]
