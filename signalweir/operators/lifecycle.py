@@ -28,21 +28,31 @@ def _resolution(silence: int) -> Column:
     return F.lit(f"auto-resolved: no signals for {silence}m")
 
 
-def activity_blocks(signals: DataFrame, silence: int = SILENCE_MINUTES, cooldown: int = COOLDOWN_MINUTES) -> DataFrame:
-    """Signals folded into blocks shorter than the silence, marked with incident and episode starts.
+def signal_blocks(signals: DataFrame, silence: int = SILENCE_MINUTES, cooldown: int = COOLDOWN_MINUTES) -> DataFrame:
+    """Signals folded into blocks shorter than the silence: tenant_id, fingerprint, block, first_at, last_at, signals.
 
-    No gap inside a block can end an incident, so gaps are only looked for between blocks.
-    The fold is a map-side partial aggregate on plain numbers; what reaches the window is at
-    most one row per key and block of wall-clock time, however many signals the key has.
+    The fold is a map-side partial aggregate on plain numbers: at most one row per key and
+    block of wall-clock time, however many signals the key has.
     """
     width = min(silence, cooldown) * _MICROS if cooldown > 0 else silence * _MICROS
     width = min(width, silence * _MICROS)
     at = F.unix_micros("created_at")
-    blocks = (
+    return (
         signals.select(*_KEYS, at.alias("_at"))
         .groupBy(*_KEYS, F.floor(F.col("_at") / F.lit(width)).alias("block"))
         .agg(F.min("_at").alias("first_at"), F.max("_at").alias("last_at"), F.count("*").alias("signals"))
     )
+
+
+def fold_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of several batches of signals as those of all: they add up in any order."""
+    return blocks.groupBy(*_KEYS, "block").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("signals").alias("signals")
+    )
+
+
+def mark_blocks(blocks: DataFrame, silence: int = SILENCE_MINUTES, cooldown: int = COOLDOWN_MINUTES) -> DataFrame:
+    """Blocks with gap, opens, reopens and incident_no.  No gap inside a block can end an incident."""
     w = Window.partitionBy(*_KEYS).orderBy("block")
     gap = F.col("first_at") - F.lag("last_at").over(w)
     blocks = blocks.withColumn("gap", gap)
@@ -54,13 +64,15 @@ def activity_blocks(signals: DataFrame, silence: int = SILENCE_MINUTES, cooldown
     )
 
 
-def incident_sessions(
-    signals: DataFrame, silence: int = SILENCE_MINUTES, cooldown: int = COOLDOWN_MINUTES
-) -> DataFrame:
-    """One row per incident with its span, signal count and number of reopens."""
+def activity_blocks(signals: DataFrame, silence: int = SILENCE_MINUTES, cooldown: int = COOLDOWN_MINUTES) -> DataFrame:
+    """Signals folded into blocks, marked with incident and episode starts."""
+    return mark_blocks(signal_blocks(signals, silence, cooldown), silence, cooldown)
+
+
+def block_sessions(marked: DataFrame) -> DataFrame:
+    """One row per incident of marked blocks, with its span, signal count and number of reopens."""
     return (
-        activity_blocks(signals, silence, cooldown)
-        .groupBy(*_KEYS, "incident_no")
+        marked.groupBy(*_KEYS, "incident_no")
         .agg(
             F.min("first_at").alias("opened_at"),
             F.max("last_at").alias("last_seen_at"),
@@ -73,6 +85,13 @@ def incident_sessions(
     )
 
 
+def incident_sessions(
+    signals: DataFrame, silence: int = SILENCE_MINUTES, cooldown: int = COOLDOWN_MINUTES
+) -> DataFrame:
+    """One row per incident with its span, signal count and number of reopens."""
+    return block_sessions(activity_blocks(signals, silence, cooldown))
+
+
 def incident_rollup(
     signals: DataFrame,
     as_of: Column,

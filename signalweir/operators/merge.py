@@ -19,6 +19,12 @@ def incident_counters(attached: DataFrame) -> DataFrame:
     )
 
 
+def add_counters(stored: DataFrame, more: DataFrame) -> DataFrame:
+    """Stored counters with those of another batch of signals added."""
+    counts = [c for c in stored.columns if c != "incident_id"]
+    return stored.unionByName(more).groupBy("incident_id").agg(*(F.sum(c).alias(c) for c in counts))
+
+
 def accepted_writes(writes: DataFrame, key: str = "report_id") -> DataFrame:
     """Mark each write accepted or fenced off.
 

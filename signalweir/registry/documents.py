@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from signalweir.functions import text as X
 from signalweir.functions import vectors as V
-from signalweir.operators import documents, retrieval
+from signalweir.operators import documents, retrieval, vector_index
 from signalweir.registry.base import query, rounded
 from signalweir.registry.views import table, view, with_views
 from signalweir.sources.documents import accept_documents
@@ -300,6 +300,16 @@ def semantic(spark, sf_dir):
     return rounded(retrieval.semantic_search(*_corpus(spark, sf_dir)), "similarity")
 
 
+@query("v1_approximate")
+def approximate(spark, sf_dir):
+    """Every hundredth vector asks, all chunks of its tenant are searched."""
+    chunks = view(spark, sf_dir, "v_chunks").where("embedding IS NOT NULL")
+    asked = chunks.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    quantiser = vector_index.fit_quantiser(chunks)
+    index = vector_index.index_chunks(chunks, quantiser)
+    return rounded(vector_index.probe(asked, index, quantiser), "similarity")
+
+
 @query("v2_keyword_search", with_views(["v_questions", "v_chunks"], _ARMS + " SELECT query_id, chunk_id, hits, rank FROM kw"))
 def keyword(spark, sf_dir):
     return retrieval.keyword_search(*_corpus(spark, sf_dir))

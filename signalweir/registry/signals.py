@@ -309,16 +309,16 @@ a AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, fingerprint, incident
   sha256(concat(tenant_id, '|', fingerprint, '|', CAST(epoch_us(min(created_at) OVER (PARTITION BY tenant_id, fingerprint, incident_no)) AS VARCHAR))) AS incident_id FROM n)"""
 
 
-@query(
-    "t6_incident_sessions",
-    with_views(
-        ["v_escalated"],
-        _ATTACH
-        + f""", s AS (SELECT incident_id, any_value(tenant_id) AS tenant_id, any_value(fingerprint) AS fingerprint, min(created_at) AS o, max(created_at) AS l,
+SESSIONS = with_views(
+    ["v_escalated"],
+    _ATTACH
+    + f""", s AS (SELECT incident_id, any_value(tenant_id) AS tenant_id, any_value(fingerprint) AS fingerprint, min(created_at) AS o, max(created_at) AS l,
   count(*) AS signal_count, count(*) FILTER (WHERE reopens) AS reopen_count FROM a GROUP BY incident_id)
 SELECT incident_id, tenant_id, fingerprint, {duck_stamp("o")} AS opened_at, {duck_stamp("l")} AS last_seen_at, signal_count, reopen_count FROM s""",
-    ),
 )
+
+
+@query("t6_incident_sessions", SESSIONS)
 def sessions(spark, sf_dir):
     return lifecycle.incident_sessions(escalated(spark, sf_dir)).select(
         "incident_id", "tenant_id", "fingerprint", stamp("opened_at").alias("opened_at"),

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from signalweir.registry import signals as batch
 from signalweir.registry.base import query
 from signalweir.registry.reporting import GATED
-from signalweir.registry.views import _VIEWS, open_tables, table, with_views
-from signalweir.session import shared_folder
+from signalweir.registry.views import _VIEWS, open_tables, table, view, with_views
+from signalweir.session import settle, shared_folder
 from signalweir.streaming import admission, incidents, ingest
 from signalweir.sources.sinks import stream_to
-from signalweir.operators import triage
+from signalweir.operators import documents, lifecycle, merge, triage
+from signalweir.registry.documents import _CHANGES
+from signalweir.sources.tables import StoredTable
+from signalweir.streaming import ledger
 
 
 def _stream_table(spark, sf_dir, name):
@@ -106,3 +109,60 @@ def stream_admission(spark, sf_dir):
     )
     hour = 3_600_000
     return _drained(spark, admission.stream_admission(requests, window_ms=12 * hour, max_per_window=3, min_gap_ms=hour))
+
+
+# --- stored tables that batches are merged into, some of them twice ---
+
+
+def _place(spark):
+    return f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+
+
+@query(
+    "m1_stored_upsert",
+    with_views(
+        ["v_escalated"],
+        batch._ATTACH
+        + """ SELECT incident_id, count(*) AS signal_count, CAST(sum(CAST(opens AS INT)) AS BIGINT) AS created,
+  CAST(sum(CAST(reopens AS INT)) AS BIGINT) AS reopened FROM a GROUP BY incident_id""",
+    ),
+)
+def stored_upsert(spark, sf_dir):
+    attached = settle(lifecycle.attach_signals(batch.escalated_keys(spark, sf_dir)).select("incident_id", "signal_id", "event_type"))
+    stored = StoredTable(spark, _place(spark), "incident_id string, signal_count long, created long, reopened long", ["incident_id"])
+    for n in (0, 1, 1, 2, 0):  # the second batch comes again, the first one late
+        stored.merge(n, merge.incident_counters(attached.where(F.pmod("signal_id", F.lit(3)) == n)), merge.add_counters)
+    return stored.read()
+
+
+@query("t5_late_reconciled", batch.SESSIONS)
+def late_reconciled(spark, sf_dir):
+    """Signals in batches that know no order; one batch comes twice."""
+    signals = settle(batch.escalated(spark, sf_dir).select("tenant_id", "fingerprint", "signal_id", "created_at"))
+    stored, write = ledger.block_ledger(spark, _place(spark))
+    for batch_id, part in ((0, 2), (1, 0), (1, 0), (2, 3), (3, 1)):
+        write(signals.where(F.pmod(F.xxhash64("signal_id"), F.lit(4)) == part), batch_id)
+    return ledger.reconciled_incidents(stored).select(
+        "incident_id", "tenant_id", "fingerprint", batch.stamp("opened_at").alias("opened_at"),
+        batch.stamp("last_seen_at").alias("last_seen_at"), "signal_count", "reopen_count",
+    )
+
+
+@query(
+    "t11_stream_versions",
+    with_views(
+        ["v_docs"],
+        _CHANGES
+        + """ SELECT tenant_id, collection, source_uri, max(version) AS version, arg_max(content_hash, version) AS content_hash
+FROM ch WHERE action <> 'unchanged' GROUP BY 1, 2, 3""",
+    ),
+)
+def stream_versions(spark, sf_dir):
+    """Newer versions come first, so most of what follows is stale."""
+    keys = ["tenant_id", "collection", "source_uri"]
+    changed = documents.document_changes(view(spark, sf_dir, "v_docs")).where("action <> 'unchanged'")
+    rows = settle(changed.select(*keys, "version", "content_hash"))
+    stored, write = ledger.version_ledger(spark, _place(spark), "tenant_id string, collection string, source_uri string, version long, content_hash string", keys)
+    for batch_id, part in ((0, 2), (1, 1), (1, 1), (2, 0)):
+        write(rows.where(F.pmod("version", F.lit(3)) == part), batch_id)
+    return stored.read()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -11,6 +12,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from signalweir.operators.admission import MAX_PER_WINDOW, MIN_GAP_MS, WINDOW_MS, Gate
 
 
+#: Outcomes that are handed on at once.
+CHUNK = 10_000
+
+
 class AdmissionProcessor(StatefulProcessor):
     def __init__(self, window_ms: int, max_per_window: int, min_gap_ms: int):
         self.limits = (window_ms, max_per_window, min_gap_ms)
@@ -22,15 +27,17 @@ class AdmissionProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [t for (t,) in self.admitted.get()] if self.admitted.exists() else []
         gate = Gate(*self.limits, held)
-        asked = pd.concat(list(rows)).sort_values(["ts_ms", "request_id"])
-        outcomes = [gate.ask(t) for t in asked["ts_ms"]]
+        # of a subject's rows only two numbers each are held
+        times, ids = (np.concatenate(x) for x in zip(*[(f["ts_ms"].to_numpy(np.int64), f["request_id"].to_numpy(np.int64)) for f in rows]))
+        order = np.lexsort((ids, times))
+        for at in range(0, len(order), CHUNK):
+            part = order[at : at + CHUNK]
+            outcomes = [gate.ask(t) for t in times[part].tolist()]
+            yield pd.DataFrame({"subject": key[0], "request_id": ids[part], "ts_ms": times[part], "outcome": outcomes})
         if gate.held:
             self.admitted.put([(t,) for t in gate.held])
         else:
             self.admitted.clear()
-        yield pd.DataFrame(
-            {"subject": key[0], "request_id": asked["request_id"].to_numpy(), "ts_ms": asked["ts_ms"].to_numpy(), "outcome": outcomes}
-        )
 
     def close(self) -> None:
         pass

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +20,8 @@ EVENTS = (
     "tenant_id string, fingerprint string, incident_id string, event_type string, "
     "event_us long, signal_no long, signal_id long"
 )
+#: Events that are handed on at once.
+CHUNK = 10_000
 _STATE = "incident_id string, last_us long, signals long, resolved boolean"
 
 
@@ -35,11 +38,14 @@ class IncidentProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tenant, fingerprint = key
-        signals = pd.concat(list(rows))
-        signals = signals.assign(us=signals["created_at"].astype("datetime64[us]").astype("int64"))
+        # of a key's rows only two numbers each are held, however wide they are
+        parts = [(f["created_at"].astype("datetime64[us]").astype("int64").to_numpy(), f["signal_id"].to_numpy(np.int64)) for f in rows]
+        times, ids = (np.concatenate(x) for x in zip(*parts))
+        del parts
         held = self.state.get() if self.state.exists() else None
         out = []
-        for us, signal_id in signals.sort_values(["us", "signal_id"])[["us", "signal_id"]].itertuples(index=False):
+        for i in np.lexsort((ids, times)):
+            us, signal_id = int(times[i]), int(ids[i])
             gap = None if held is None else us - held[1]
             if gap is not None and gap > self.silence and not held[3]:
                 out.append((held[0], "resolved", held[1] + self.silence, held[2], None))
@@ -50,6 +56,9 @@ class IncidentProcessor(StatefulProcessor):
                 kind = "incident-reopened" if gap > self.silence else "signal-attached"
                 held = (held[0], max(us, held[1]), held[2] + 1, False)
             out.append((held[0], kind, us, held[2], signal_id))
+            if len(out) >= CHUNK:
+                yield self._frame(key, out)
+                out = []
         self.state.update(tuple(held))
         self._arm(held[1] + self.silence)
         yield self._frame(key, out)
@@ -91,7 +100,7 @@ def stream_incidents(
     lateness: str = "10 minutes",
 ) -> DataFrame:
     """Lifecycle events of a stream of escalated signals.  Rows later than `lateness` are dropped by
-    the watermark; the batch operator over the stored signals reconciles them."""
+    the watermark; `ledger.block_ledger` keeps them and gives the incidents of all signals."""
     rows = escalated.select("tenant_id", "fingerprint", "signal_id", "created_at").withWatermark("created_at", lateness)
     return rows.groupBy("tenant_id", "fingerprint").transformWithStateInPandas(
         statefulProcessor=IncidentProcessor(silence_minutes, cooldown_minutes),
