@@ -58,6 +58,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column is called so (letter case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model learns from: crc32 of the id as text leaves 0 modulo 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalweir.llm.common import WORD_TABLE, as_bytes, words_of
+from signalweir.llm.common import WORD_TABLE, as_bytes, free_name, words_of, written
 
 SPAN = "array<struct<first:int,last:int,items:array<string>>>"
 SCAN = f"struct<n_words:long,spans:{SPAN}>"
@@ -118,9 +118,13 @@ def with_spans(
         if found is None:
             docs, found = docs.withColumn(out, scan), F.col(out)
         else:
-            more = docs.withColumn("_more_spans", scan)
-            merged = F.struct(found["n_words"].alias("n_words"), F.concat(found["spans"], F.col("_more_spans")["spans"]).alias("spans"))
-            docs = more.withColumn(out, merged).drop("_more_spans")
+            # a pass of its own a part: what it found is written, its set is dropped before the next is sent
+            more = free_name(docs, "_more_spans")
+            merged = F.struct(found["n_words"].alias("n_words"), F.concat(found["spans"], F.col(more)["spans"]).alias("spans"))
+            docs = docs.withColumn(more, scan).withColumn(out, merged).drop(more)
+        if parts > 1:
+            docs = written(docs)
+            sent.destroy()
     return docs
 
 
@@ -142,13 +146,13 @@ def hit_items(spans: Column) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10) -> DataFrame:
     """`docs` without the rows whose text holds a benchmark window, columns as they were."""
-    name = "_contamination"
+    name = free_name(docs, "_contamination")
     return with_spans(docs, benchmark, text_col, window=window, out=name).where(F.size(F.col(name)["spans"]) == 0).drop(name)
 
 
 def cut_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10) -> DataFrame:
     """`docs` with the hit words taken out of the text, the text between the others as it was."""
-    name = "_contamination"
+    name = free_name(docs, "_contamination")
     found = with_spans(docs, benchmark, text_col, window=window, out=name)
 
     def run(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

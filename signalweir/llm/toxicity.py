@@ -2,9 +2,10 @@
 
 Stretches that look disguised (digits or signs among letters, single letters set apart,
 letters repeated) are read as character lattices: each sign may stand for the letters it is
-drawn for, separators may vanish, a run of one letter may be one or two. Viterbi search
-keeps the few best readings under a character trigram model of the corpus and the channel's
-costs. Plain words have one reading, themselves.
+drawn for, separators may vanish or part two words, a run of one letter may be one or two.
+Viterbi search finds the few best readings of a whole stretch, however long, under a character
+trigram model of the corpus and the channel's costs; each of their words counts. Plain words
+have one reading, themselves.
 
 The trigram model counts every document. Features are restored words and their beginnings,
 so that an ending does not hide a stem. They are learned from labelled rows by greedy
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalweir.llm.common import held_out, written
+from signalweir.llm.common import free_name, held_out, written
 
 #: Signs and the letters they are drawn for: fixed values.
 LOOKS = {
@@ -37,10 +38,11 @@ LOOKS = {
 _SIGNS = re.escape("".join(LOOKS))
 _APART = r"[ .\-_*~·]"
 _LETTER = r"[^\W\d_]"
-#: A stretch that may be disguised: single letters or signs set apart; signs among letters; a letter three times.
+_INSIDE = rf"[\w{_SIGNS}*.\-]"
+#: A stretch that may be disguised, of any length: single letters or signs set apart; signs among letters; a letter three times.
 _ODD = re.compile(
-    rf"(?<!\w)(?:[{_SIGNS}]|{_LETTER})(?:{_APART}{{1,3}}(?:[{_SIGNS}]|{_LETTER})(?!\w)){{2,23}}"
-    rf"|(?<![\w{_SIGNS}])(?=[\w{_SIGNS}*.\-]{{0,40}}{_LETTER})(?=[\w{_SIGNS}*.\-]*?(?:[{_SIGNS}*.\-]\w|\d|_|({_LETTER})\1\1))[\w{_SIGNS}*.\-]{{3,40}}"
+    rf"(?<!\w)(?:[{_SIGNS}]|{_LETTER})(?:{_APART}+(?:[{_SIGNS}]|{_LETTER})(?!\w)){{2,}}"
+    rf"|(?<!{_INSIDE})(?:({_LETTER})(?!\1\1))*+(?={_INSIDE}*?(?:[{_SIGNS}*.\-]\w|\d|_|({_LETTER})\2\2)){_INSIDE}{{2,}}"
 )
 _WORD = re.compile(rf"{_LETTER}{{3,}}")
 _PREFIXES = (3, 4, 5, 6)
@@ -49,6 +51,8 @@ _ALPHABET = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyzàáâä
 _SIDE = len(_ALPHABET) + 2
 _EDGE = 0
 READINGS = 4
+#: The hash of a path's text: a polynomial modulo a prime.
+_FACTOR, _MODULUS = 1_000_003, (1 << 61) - 1
 
 
 def _index(c: str) -> int:
@@ -107,51 +111,88 @@ class Channel:
 
     @staticmethod
     def lattice(stretch: str) -> list[list[tuple[str, float]]]:
-        """Per place the letters it may stand for and what the channel takes for each; '' vanishes."""
+        """Per place what it may stand for and what the channel takes for it; '' vanishes, ' ' is a word edge."""
         places = []
         for run in re.finditer(r"(.)\1*", stretch.lower(), re.S):
             c, n = run[1], len(run[0])
             letters = [(c, 0.0)] if c.isalpha() else [(x, 1.0) for x in LOOKS.get(c, "")]
-            if not letters or not c.isalnum():
-                letters.append(("", 0.5))
+            gone = [] if letters and c.isalnum() else [("", 0.5)]
+            edge = [(" ", 0.0 if c.isspace() else 0.5)] if not letters else []
             if n == 1:
-                places.append(letters)
+                places.append(letters + gone + edge)
             else:
-                places.append([(x, p + (0.0 if n > 2 else 0.7)) for x, p in letters] + [(x + x, p + (1.0 if n > 2 else 0.0)) for x, p in letters if x])
+                one, two = (0.0, 1.0) if n > 2 else (0.7, 0.0)
+                places.append([(x, p + one) for x, p in letters + gone] + [(x + x, p + two) for x, p in letters] + edge)
         return places
 
     def _readings(self, stretch: str) -> tuple[str, ...]:
-        """The best READINGS ways to read the stretch as one word."""
-        beams: dict[tuple[int, int], list[tuple[float, str]]] = {(_EDGE, _EDGE): [(0.0, "")]}
+        """The best READINGS ways to read the stretch, as words with single spaces.
+
+        Costs depend on the last two letters, so the best READINGS texts that end in each pair of
+        them are all that a longer reading can build on; pairs are bounded by the alphabet. A path
+        is a cost, the hash of its text and a chain of letters back to the start.
+        """
+        ends: dict[tuple[int, int], list[tuple]] = {(_EDGE, _EDGE): [(0.0, 0, None)]}
         for options in self.lattice(stretch):
-            after: dict[tuple[int, int], list[tuple[float, str]]] = {}
-            for (a, b), paths in beams.items():
+            after: dict[tuple[int, int], list[tuple]] = {}
+            for (a, b), paths in ends.items():
                 for letters, price in options:
-                    x, y, more = a, b, price
+                    x, y, more, added = a, b, price, ""
                     for c in letters:
-                        k = _index(c)
-                        more += float(self.start[k] if y == _EDGE else self.cost[x, y, k])
-                        x, y = y, k
-                    after.setdefault((x, y), []).extend((cost + more, word + letters) for cost, word in paths)
-            # READINGS paths a state, and so many states that a longer stretch costs in proportion
-            beams = {s: sorted(set(p))[:READINGS] for s, p in sorted(after.items(), key=lambda x: min(x[1]))[:64]}
-        ends = [(cost + float(self.cost[a, b, _EDGE]), word) for (a, b), paths in beams.items() for cost, word in paths]
-        return tuple(dict.fromkeys(w for _, w in sorted(ends)[:READINGS] if w))
+                        if c == " ":
+                            if y == _EDGE:
+                                continue
+                            more += float(self.cost[x, y, _EDGE])
+                            x = y = _EDGE
+                        else:
+                            k = _index(c)
+                            more += float(self.start[k] if y == _EDGE else self.cost[x, y, k])
+                            x, y = y, k
+                        added += c
+                    into = after.setdefault((x, y), [])
+                    for path in paths:
+                        node = path[1], path[2]
+                        for c in added:
+                            node = (node[0] * _FACTOR + ord(c)) % _MODULUS, (node[1], c)
+                        into.append((path[0] + more, *node))
+            ends = {state: _few(paths) for state, paths in after.items()}
+        last = [(p[0] + (float(self.cost[a, b, _EDGE]) if b != _EDGE else 0.0), *p[1:]) for (a, b), paths in ends.items() for p in paths]
+        words = dict.fromkeys(_spelt(chain).strip() for _, _, chain in _few(last, 2 * READINGS))
+        return tuple([w for w in words if w][:READINGS])
 
     def restored(self, text: str) -> list[str]:
-        """What the disguised stretches of a text read as."""
-        found = []
+        """The words that the disguised stretches of a text read as."""
+        found: dict[str, None] = {}
         for m in _ODD.finditer(text):
             if any(c.isalpha() for c in m[0]):
-                found += self.readings(m[0])
-        return found
+                # long stretches hardly ever come twice
+                for reading in self.readings(m[0]) if len(m[0]) <= 64 else self._readings(m[0]):
+                    found.update(dict.fromkeys(reading.split(" ")))
+        return list(found)
+
+
+def _few(paths: list[tuple], n: int = READINGS) -> list[tuple]:
+    """The n cheapest paths of different texts, cheapest first."""
+    best: dict[int, tuple] = {}
+    for path in sorted(paths, key=lambda p: (p[0], p[1])):
+        if len(best) == n:
+            break
+        best.setdefault(path[1], path)
+    return list(best.values())
+
+
+def _spelt(chain: tuple | None) -> str:
+    letters = []
+    while chain:
+        chain, c = chain
+        letters.append(c)
+    return "".join(reversed(letters))
 
 
 def features(text: str, channel: Channel) -> set[str]:
     """`=word` of each restored or plain word, and its beginnings."""
     words = set(_WORD.findall(text.lower()))
-    for reading in channel.restored(text):
-        words.add(reading)
+    words.update(channel.restored(text))
     out = {"=" + w for w in words}
     for n in _PREFIXES:
         out |= {w[:n] for w in words if len(w) > n}
@@ -303,5 +344,6 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """`docs` without the rows that score `threshold` or more, columns as they were."""
-    return docs.withColumn("_toxicity", toxicity(F.col(text_col), model)).where(F.col("_toxicity") < threshold).drop("_toxicity")
+    """`docs` without the rows that score `threshold` or more, columns as they were, whatever their names."""
+    score = free_name(docs, "_toxicity")
+    return docs.withColumn(score, toxicity(F.col(text_col), model)).where(F.col(score) < threshold).drop(score)

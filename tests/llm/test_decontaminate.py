@@ -72,3 +72,13 @@ def test_drop_and_cut(spark, awkward, nothing):
     assert drop_contaminated(awkward, items).count() == awkward.count()
     assert drop_contaminated(nothing, items).count() == 0
     assert drop_contaminated(docs, items.limit(0)).count() == len(TEXTS)
+
+
+@pytest.mark.parametrize("part_windows", [1 << 20, 4])
+def test_clashing_names_stay(spark, part_windows):
+    docs = spark.createDataFrame([(1, "no such words", 7, "a", "b"), (2, ITEMS[0][1], 8, "c", "d")], "doc_id long, text string, _more_spans int, _contamination string, _MORE string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = with_spans(docs, items, part_windows=part_windows)
+    assert found.columns == [*docs.columns, "contamination"] and {r._more_spans for r in found.collect()} == {7, 8}
+    kept = drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "no such words", 7, "a", "b")]

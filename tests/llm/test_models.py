@@ -1,5 +1,7 @@
 """Toxicity and language: accuracy on rows that nothing was learned from, planted cases, awkward rows."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +42,47 @@ def test_restores_disguised_words(spark, taught):
     assert {k: s >= 0.5 for k, s in got.items()} == {k: k < 100 for k, _ in rows}
 
 
+def test_separators_may_be_word_edges_and_no_stretch_is_too_long(spark, taught):
+    _, model = taught
+    bad, other = INSULTS[0], INSULTS[1]
+    apart = " ".join
+    rows = [
+        f"the stone a {apart(bad)} river", f"the.stone.{bad[:2]}{bad[2:].replace('i', '1').replace('o', '0')}.x1", f"lost-{bad[0]}*{bad[1:]}",
+        bad[0] + bad[1] * 45 + bad[2:], f"{apart(bad)} {apart(other)}", apart("river stone table window story garden ".replace(" ", "") * 3) + " " + apart(bad),
+        "river." * 400 + bad[:-1] + "_" + bad[-1],
+    ]
+    got = toxicity.scored(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), model).collect()
+    assert {r.id: r.score >= 0.5 for r in got} == dict.fromkeys(range(len(rows)), True)
+
+
+def test_viterbi_equals_all_paths(taught):
+    channel = taught[1]["channel"]
+
+    def price(word: str) -> float:
+        cost, x, y = 0.0, 0, 0
+        for c in word:
+            k = toxicity._index(c)
+            cost += float(channel.start[k] if y == 0 else channel.cost[x, y, k])
+            x, y = y, k
+        return cost + float(channel.cost[x, y, 0])
+
+    for stretch in ["st0ry", "1d10m", "m.o.r.e", "l 0 s t", "s__t", "cl00se", "a!1|b", "m..e"]:
+        best: dict[str, float] = {}
+        for path in itertools.product(*channel.lattice(stretch)):
+            text = " ".join("".join(x for x, _ in path).split())
+            if text:
+                best[text] = min(best.get(text, 1e9), sum(p for _, p in path) + sum(map(price, text.split())))
+        got = channel.readings(stretch)
+        assert len(got) == min(len(best), toxicity.READINGS) == len(set(got))
+        assert np.allclose([best[g] for g in got], sorted(best.values())[: len(got)], atol=1e-4), stretch
+
+
+def test_clashing_names_stay(spark, taught):
+    docs = taught[0].limit(20).withColumn("_toxicity", F.lit("mine")).withColumn("__TOXICITY", F.lit(2))
+    kept = toxicity.drop_toxic(docs, taught[1])
+    assert kept.columns == docs.columns and {(r._toxicity, r["__TOXICITY"]) for r in kept.collect()} == {("mine", 2)}
+
+
 def test_toxic_awkward(spark, taught, awkward, nothing):
     docs, model = taught
     kept = toxicity.drop_toxic(docs, model)
