@@ -5,6 +5,8 @@ Beliefs are long tables: incident_id, hypothesis_id, prior; votes add a voter.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ MIN_LEAD = 0.15
 EPSILON = 1e-3
 MAX_ITERATIONS = 500
 SILENT_AGREEMENT = 0.01
+#: Voter graphs of so many voters are solved as matrices.
+DENSE_VOTERS = 256
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
@@ -281,6 +285,80 @@ def pool_beliefs_on_graph(
     return pooled, per_voter, report
 
 
+def algebraic_connectivity(
+    voters: DataFrame, links: DataFrame, dense_voters: int = DENSE_VOTERS, rounds: int = 200, tolerance: float = 1e-9
+) -> DataFrame:
+    """incident_id, voters, fiedler: the second-smallest eigenvalue of each incident's voter graph.
+
+    `voters`: incident_id, voter; `links` as in `pool_beliefs_on_graph`; weights of repeated
+    links add up, links of or to unknown voters and to oneself count for nothing.  Zero says
+    that a graph falls apart, n that all n voters hear one another.  Null ids are left out; an incident
+    of one voter has 0.  Graphs of up to `dense_voters` are solved as matrices, each in the one
+    task that holds its links (a bounded number: pairs are summed first); larger ones by power
+    iteration on tables, which approaches the value from above and ends within `rounds`.
+    """
+    known = voters.select("incident_id", "voter").where("incident_id IS NOT NULL AND voter IS NOT NULL").distinct()
+    sizes = known.groupBy("incident_id").agg(F.count("*").alias("voters"))
+    ends = [known.withColumnRenamed("voter", f"voter_{x}") for x in "ab"]
+    pairs = (
+        links.where("voter_a <> voter_b")
+        .groupBy("incident_id", "voter_a", "voter_b")
+        .agg(F.sum("weight").cast("double").alias("weight"))
+        .join(ends[0], ["incident_id", "voter_a"], "left_semi")
+        .join(ends[1], ["incident_id", "voter_b"], "left_semi")
+        .join(sizes, "incident_id")
+    )
+    small = pairs.where(F.col("voters") <= dense_voters).groupBy("incident_id").applyInPandas(
+        _dense_fiedler, f"incident_id {known.schema['incident_id'].dataType.simpleString()}, fiedler double"
+    )
+    big = settle(pairs.where(F.col("voters") > dense_voters).drop("voters"))
+    if not big.isEmpty():
+        small = small.unionByName(_iterated_fiedler(known, big, rounds, tolerance))
+    # an incident without links falls apart
+    return sizes.join(small, "incident_id", "left").withColumn("fiedler", F.coalesce("fiedler", F.lit(0.0)))
+
+
+def _dense_fiedler(pairs: pd.DataFrame) -> pd.DataFrame:
+    names, at = np.unique(np.concatenate([pairs.voter_a, pairs.voter_b]), return_inverse=True)
+    n = int(pairs.voters.iloc[0])
+    weights = np.zeros((n, n))
+    np.add.at(weights, (at[: len(pairs)], at[len(pairs) :]), pairs.weight.to_numpy())
+    weights = (weights + weights.T) / 2
+    value = np.linalg.eigvalsh(np.diag(weights.sum(axis=1)) - weights)[1]
+    return pd.DataFrame({"incident_id": [pairs.incident_id.iloc[0]], "fiedler": [max(0.0, float(value))]})
+
+
+def _iterated_fiedler(voters: DataFrame, links: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    """Power iteration on cI - L with the constant direction taken out; a round is one join and two aggregates."""
+    place = ["incident_id", "voter"]
+    degree = links.groupBy("incident_id", F.col("voter_a").alias("voter")).agg(F.sum("weight").alias("_deg"))
+    mine = voters.join(links.select("incident_id").distinct(), "incident_id", "left_semi")
+    mine = mine.join(degree, place, "left").fillna(0.0, ["_deg"])
+    shift = mine.groupBy("incident_id").agg((2 * F.max("_deg") + 1).alias("_c"))
+    # any start that is not constant will do: a hash as a number around zero
+    state = settle(mine.join(shift, "incident_id").withColumn("_x", F.pmod(F.xxhash64("voter"), F.lit(2000003)) / 1000001.5 - 1))
+    before = None
+    for turn in range(rounds):
+        moments = state.groupBy("incident_id").agg(F.avg("_x").alias("_mean"), (F.stddev_pop("_x") * F.sqrt(F.count("*"))).alias("_size"))
+        state = state.join(moments, "incident_id").withColumn("_x", (F.col("_x") - F.col("_mean")) / F.col("_size")).drop("_mean", "_size")
+        heard = state.select("incident_id", F.col("voter").alias("voter_b"), F.col("_x").alias("_theirs"))
+        pull = (
+            links.join(heard, ["incident_id", "voter_b"])
+            .groupBy("incident_id", F.col("voter_a").alias("voter"))
+            .agg(F.sum(F.col("weight") * F.col("_theirs")).alias("_pull"))
+        )
+        state = state.join(pull, place, "left").withColumn("_lx", F.col("_deg") * F.col("_x") - F.coalesce("_pull", F.lit(0.0)))
+        state = settle(state.drop("_pull"))
+        value = settle(state.groupBy("incident_id").agg(F.greatest(F.sum(F.col("_x") * F.col("_lx")), F.lit(0.0)).alias("fiedler")))
+        if before is not None:
+            moved = value.join(before.withColumnRenamed("fiedler", "_was"), "incident_id")
+            if moved.where(F.abs(F.col("fiedler") - F.col("_was")) > tolerance * F.greatest(F.lit(1.0), "_was")).isEmpty():
+                break
+        before = value
+        state = state.withColumn("_x", F.col("_c") * F.col("_x") - F.col("_lx")).drop("_lx")
+    return value
+
+
 def disagreement(aligned: DataFrame) -> DataFrame:
     """The consensus report: pooled leader, uncertainty, decisiveness and how far apart the voters began.
 

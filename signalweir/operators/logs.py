@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from signalweir.functions import logs as L
 from signalweir.functions.text import strip_ws
-from signalweir.scale import OrderedSlices, fits, top_per_key
+from signalweir.operators.matching import names_in_texts
+from signalweir.scale import OrderedSlices, top_per_key
 from signalweir.session import settle
 
 MAX_RETAINED_BYTES = 4 * 1024 * 1024
@@ -260,15 +261,13 @@ def evidence_counts(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("incident_id").agg(F.count("*").alias("evidence_rows"))
 
 
-_QUESTIONS_PER_PASS = 4096
-
-
 def keyword_excerpt(placed: DataFrame, questions: DataFrame, max_chars: int = 2500) -> DataFrame:
     """question_id, excerpt: the lines of the incident that mention a term of the question.
 
     Falls back to the head of the timeline when none does.  `placed` comes from `positions`;
-    `questions`: question_id, incident_id, terms (array).  Each batch of lines keeps only what
-    could still fit a question's excerpt, so matches are never paired up in bulk.
+    `questions`: question_id, incident_id, terms (array).  Distinct terms of an incident meet the
+    lines in an equi join on runs of characters, and a term keeps only the lines that could fit
+    an excerpt before it meets its questions, so nothing is paired up in bulk.
     """
     asked = questions.select("question_id", "incident_id", F.filter("terms", lambda t: F.length(t) > 1).alias("terms"))
     asked = asked.withColumn("terms", F.array_distinct(F.transform("terms", F.lower)))
@@ -289,48 +288,16 @@ def keyword_excerpt(placed: DataFrame, questions: DataFrame, max_chars: int = 25
 
 
 def _matching_lines(placed: DataFrame, asked: DataFrame, max_chars: int) -> DataFrame:
+    """question_id, line_index, line: of the lines that hold a term at least those that can begin inside the excerpt."""
     lines = placed.select("incident_id", "line_index", "line")
-    qid = asked.schema["question_id"].dataType.simpleString()
-    passes = 1 if fits(asked, _QUESTIONS_PER_PASS) else -(-asked.count() // (_QUESTIONS_PER_PASS // 2))
-    found = None
-    for number in range(passes):
-        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(passes)) == number)
-        one = lines.mapInPandas(
-            _line_scan(part, max_chars), f"question_id {qid}, line_index long, line string"
-        )
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def _line_scan(asked: DataFrame, max_chars: int):
-    by_incident: dict = {}
-    for question, incident, terms in asked.toPandas().itertuples(index=False):
-        for term in terms:
-            by_incident.setdefault(incident, {}).setdefault(term, []).append(question)
-    shared = asked.sparkSession.sparkContext.broadcast(by_incident)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automata: dict = {}
-        for batch in batches:
-            used: dict = {}
-            rows = []
-            for incident, index, line in batch.sort_values("line_index").itertuples(index=False):
-                terms = shared.value.get(incident)
-                if not terms:
-                    continue
-                auto = automata.get(incident)
-                if auto is None:
-                    auto = automata[incident] = ahocorasick.Automaton()
-                    for term in terms:
-                        auto.add_word(term, term)
-                    auto.make_automaton()
-                askers = {q for _, t in auto.iter(line.lower()) for q in terms[t]}
-                for question in askers:
-                    if used.get(question, 0) - 1 <= max_chars:
-                        used[question] = used.get(question, 0) + len(line) + 1
-                        rows.append((question, index, line))
-            yield pd.DataFrame(rows, columns=["question_id", "line_index", "line"])
-
-    return scan
+    wanted = asked.select("question_id", "incident_id", F.explode("terms").alias("name"))
+    terms = wanted.select("incident_id", "name").distinct()
+    held = names_in_texts(
+        lines.withColumn("_low", F.lower("line")), terms, ["incident_id", "line_index"], text="_low", scope="incident_id"
+    )
+    # the lines of one term come no earlier in a question's excerpt than among themselves
+    some = top_per_key(held, ["incident_id", "name"], [F.col("line_index").asc()], max_chars + 2, "_n").drop("_n")
+    told = some.join(lines, ["incident_id", "line_index"])
+    w = Window.partitionBy("incident_id", "name").orderBy("line_index").rowsBetween(Window.unboundedPreceding, -1)
+    fitting = told.withColumn("_used", F.coalesce(F.sum(F.length("line") + 1).over(w) - 1, F.lit(0))).where(F.col("_used") <= max_chars)
+    return wanted.join(fitting, ["incident_id", "name"]).select("question_id", "line_index", "line").distinct()

@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalweir.session import settle
+
 GRAM = 4
+#: Bits of the filter that runs of the texts must pass, and bits a word of it.
+FILTER_BITS, WORD = 1 << 17, 32
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -15,6 +19,26 @@ def _grams(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
+def _bit(scope: Column, gram: Column) -> Column:
+    return F.pmod(F.xxhash64(scope, gram), F.lit(FILTER_BITS))
+
+
+def _filter_words(wanted: DataFrame) -> tuple[list[int], list[int]]:
+    """The sizes of the runs that names stand under, and a bit map of (scope, run) as numbers of WORD bits.
+
+    Made by partial aggregates; at most FILTER_BITS / WORD rows a size reach the driver, however many the names.
+    """
+    bit = _bit(F.col("_scope"), F.col("_gram"))
+    parts = wanted.groupBy(F.length("_gram").alias("size"), F.floor(bit / WORD).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_scope, _gram), {FILTER_BITS}) % {WORD} as int))")).alias("bits")
+    )
+    words, sizes = [0] * (FILTER_BITS // WORD), set()
+    for row in parts.collect():
+        sizes.add(row.size)
+        words[row.word] |= row.bits
+    return sorted(sizes), words
+
+
 def names_in_texts(
     texts: DataFrame,
     names: DataFrame,
@@ -28,16 +52,25 @@ def names_in_texts(
     A text that contains a name contains all its runs of four characters.  Each name stands
     under one of its runs, that of the least hash, so that names that begin alike are spread
     (shorter names under themselves); the runs of the texts meet the names in an equi join,
-    and what meets is checked against the text.  Texts travel once, next to their candidates.
+    and what meets is checked against the text.  Runs leave a text only if a bit map of the
+    names' runs, of a fixed size, lets them pass; where it fills up more of them travel and
+    results stay the same.  Texts travel once, next to their candidates.
     With `largest`, one of the ids: only its greatest value per name is kept.
     """
-    wanted = names.select(F.col(scope).alias("_scope"), "name").where("name <> ''").distinct()
+    wanted = names.select(F.col(scope).alias("_scope"), "name").where("name <> '' AND _scope IS NOT NULL").distinct()
     least = F.array_min(F.transform(_grams(F.col("name"), GRAM), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-    wanted = wanted.withColumn("_gram", F.when(F.length("name") > GRAM, least["g"]).otherwise(F.col("name")))
+    wanted = settle(wanted.withColumn("_gram", F.when(F.length("name") > GRAM, least["g"]).otherwise(F.col("name"))))
+    sizes, words = _filter_words(wanted)
     source = texts.select(*ids, F.col(scope).alias("_scope"), F.col(text).alias("_text")).where("_text <> ''")
     # equal rows share a number; should others share one too, the check below tells them apart
     source = source.distinct().withColumn("_number", F.xxhash64(*ids, "_scope", "_text"))
-    runs = F.array_distinct(F.concat(*[_grams(F.col("_text"), n) for n in range(1, GRAM + 1)]))
+    passing = F.expr(f"array({', '.join(f'{w}L' for w in words)})")
+
+    def passes(gram: Column) -> Column:
+        bit = _bit(F.col("_scope"), gram)
+        return F.getbit(F.get(passing, F.floor(bit / WORD).cast("int")), (bit % WORD).cast("int")) == 1
+
+    runs = F.array_distinct(F.concat(*[F.filter(_grams(F.col("_text"), n), passes) for n in sizes or [GRAM]]))
     met = source.select("_number", "_scope", F.explode(runs).alias("_gram")).join(wanted, ["_scope", "_gram"])
     met = met.select("_number", "_scope", "name").distinct()
     found = source.join(met, ["_number", "_scope"]).where(F.contains("_text", "name"))

@@ -219,6 +219,26 @@ def pool_on_path(spark, sf_dir):
     return rounded(out, "prior", "initial_disagreement")
 
 
+@query(
+    "b7_fiedler",
+    with_views(
+        ["v_ballots"],
+        """v AS (SELECT DISTINCT incident_id, voter FROM v_ballots), n AS (SELECT incident_id, count(*) AS voters FROM v GROUP BY 1)
+SELECT incident_id, voters, CAST(CASE voters WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS DOUBLE) AS star,
+  CASE WHEN voters = 1 THEN 0.0::DOUBLE ELSE round(2 - 2 * cos(pi() / voters), 6) END AS path FROM n""",
+    ),
+)
+def fiedler(spark, sf_dir):
+    """The second eigenvalue where all voters hear the first one by name, and where each hears its neighbours."""
+    voters = view(spark, sf_dir, "v_ballots").select("incident_id", "voter").distinct()
+    first = voters.groupBy("incident_id").agg(F.min("voter").alias("voter_b"))
+    out = voters.withColumnRenamed("voter", "voter_a").join(first, "incident_id").where("voter_a <> voter_b")
+    back = out.select("incident_id", F.col("voter_b").alias("voter_a"), F.col("voter_a").alias("voter_b"))
+    star = beliefs.algebraic_connectivity(voters, out.unionByName(back).withColumn("weight", F.lit(1.0)))
+    path = beliefs.algebraic_connectivity(voters, _path_links(voters)).select("incident_id", F.col("fiedler").alias("path"))
+    return rounded(star.withColumnRenamed("fiedler", "star").join(path, "incident_id"), "star", "path")
+
+
 @query(
     "g6_voter_connectivity",
     with_views(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalweir.functions import logs as L
-from signalweir.operators import logs
+from signalweir.operators import logs, matching
 from signalweir.registry import QUERIES
 from signalweir.sources import files
 
@@ -107,7 +107,7 @@ def test_registered_chunks_cover_whole_lines(spark):
     assert rows and all(len(r.content) <= 2000 for r in rows)
 
 
-def test_keyword_excerpt(spark, monkeypatch):
+def test_keyword_excerpt(spark):
     raws = [f"2024-01-01 00:{i:02d}:00 {'timeout' if i % 4 == 0 else 'fine'} n{i}" for i in range(50)]
     placed = logs.positions(logs.fuse_lines(logs.prepare_lines(_lines(spark, *raws))))
     lines = [r.line for r in placed.orderBy("line_index").collect()]
@@ -121,10 +121,17 @@ def test_keyword_excerpt(spark, monkeypatch):
         return "\n".join(found or lines)[:limit]
 
     want = {1: expect(["timeout"], 300), 2: expect(["absent"], 300), 3: expect([], 300), 4: expect(["N7", "x"], 300), 5: ""}
-    for per_pass in (4096, 2):
-        monkeypatch.setattr(logs, "_QUESTIONS_PER_PASS", per_pass)
-        got = {r.question_id: r.excerpt for r in logs.keyword_excerpt(placed, asked, 300).collect()}
-        assert got == want
+    got = {r.question_id: r.excerpt for r in logs.keyword_excerpt(placed, asked, 300).collect()}
+    assert got == want
+    assert not any(step in logs.keyword_excerpt(placed, asked, 300)._jdf.queryExecution().toString() for step in ("MapInPandas", "ArrowEvalPython"))
+
+
+def test_few_runs_leave_a_text(spark):
+    texts = spark.createDataFrame([(i, "t", f"line {i} of plain words, {'db-main down' if i % 100 == 0 else 'nothing else'}") for i in range(500)], "id long, tenant_id string, text string")
+    names = spark.createDataFrame([("t", "db-main"), ("t", "ab"), ("t", "of p"), ("u", "line"), (None, "line"), ("t", None), ("t", "")], "tenant_id string, name string")
+    found = matching.names_in_texts(texts, names, ["id"])
+    assert {(r.id, r["name"]) for r in found.collect()} == {(i, "db-main") for i in range(0, 500, 100)} | {(i, "of p") for i in range(500)}
+    assert matching.names_in_texts(texts, names.limit(0), ["id"]).count() == 0
 
 
 def test_files(spark, tmp_path):
