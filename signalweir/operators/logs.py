@@ -293,7 +293,7 @@ def _matching_lines(placed: DataFrame, asked: DataFrame, max_chars: int) -> Data
     wanted = asked.select("question_id", "incident_id", F.explode("terms").alias("name"))
     terms = wanted.select("incident_id", "name").distinct()
     held = names_in_texts(
-        lines.withColumn("_low", F.lower("line")), terms, ["incident_id", "line_index"], text="_low", scope="incident_id"
+        lines.withColumn("_low", F.lower("line")), terms, ["incident_id", "line_index"], text="_low", scope="incident_id", unique=True
     )
     # the lines of one term come no earlier in a question's excerpt than among themselves
     some = top_per_key(held, ["incident_id", "name"], [F.col("line_index").asc()], max_chars + 2, "_n").drop("_n")

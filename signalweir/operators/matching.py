@@ -46,6 +46,7 @@ def names_in_texts(
     text: str = "text",
     scope: str = "tenant_id",
     largest: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Distinct (ids, name) where the text contains the name, both of the same scope.
 
@@ -56,6 +57,7 @@ def names_in_texts(
     names' runs, of a fixed size, lets them pass; where it fills up more of them travel and
     results stay the same.  Texts travel once, next to their candidates.
     With `largest`, one of the ids: only its greatest value per name is kept.
+    `unique` says that no ids repeat, so that texts need not be told apart first.
     """
     wanted = names.select(F.col(scope).alias("_scope"), "name").where("name <> '' AND _scope IS NOT NULL").distinct()
     least = F.array_min(F.transform(_grams(F.col("name"), GRAM), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
@@ -63,7 +65,8 @@ def names_in_texts(
     sizes, words = _filter_words(wanted)
     source = texts.select(*ids, F.col(scope).alias("_scope"), F.col(text).alias("_text")).where("_text <> ''")
     # equal rows share a number; should others share one too, the check below tells them apart
-    source = source.distinct().withColumn("_number", F.xxhash64(*ids, "_scope", "_text"))
+    source = source if unique else source.distinct()
+    source = source.withColumn("_number", F.xxhash64(*ids, "_scope") if unique else F.xxhash64(*ids, "_scope", "_text"))
     passing = F.expr(f"array({', '.join(f'{w}L' for w in words)})")
 
     def passes(gram: Column) -> Column:
