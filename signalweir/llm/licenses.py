@@ -31,7 +31,8 @@ PHRASES = {
 TEMPLATES = {
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     "apache-2": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "bsd-3": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-2": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "gpl-3": "This work is licensed under the GNU General Public License, version 3",
     "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
@@ -123,7 +124,7 @@ class Automaton:
             yield v, n
 
     def scan(self, words: list[bytes], min_match: int, max_gap: int) -> dict:
-        """Phrase places and the best chain of each template."""
+        """Phrase places and the chains of the templates."""
         ids = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
         # only runs of known words can hold a match
         edge = np.flatnonzero(np.diff(np.concatenate(([0], ids != 0, [0]))))
@@ -140,7 +141,7 @@ class Automaton:
         return {"phrases": phrases, "spans": self._chains(matches, max_gap)}
 
     def _chains(self, matches: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int, int, str, float, bool]]:
-        """(first word, last word, label, share of the template covered, names its place) of the best chain of each template."""
+        """(first word, last word, label, share of the template covered, names its place) of each place's best chains."""
         best: list[tuple[int, int, int, int, int, int]] = []  # template, first, last, template end, covered, number
         done = []
         for first, last, v in matches:
@@ -157,24 +158,29 @@ class Automaton:
                             chain = max(chain, (number, c[1], last, end, c[4] + more), key=lambda x: x[4])
                 fresh.append(chain)
             best = alive + fresh
-        # where chains of several templates stand over one another, the one that covers most words names the place
-        ranked = sorted(done + best, key=lambda c: c[1])
+        # of chains that stand over one another the one that covers most words names the place; of equal ones that
+        # which has more of its template, so a license is not taken for a longer one that begins alike
+        ranked = sorted(done + best, key=lambda c: (c[1], c[2], c[0]))
+        worth = [(c[4], c[4] / self.sizes[c[0]]) for c in ranked]
         beaten = [False] * len(ranked)
         for i, one in enumerate(ranked):
             for j in range(i + 1, len(ranked)):
-                two = ranked[j]
-                if two[1] > one[2]:
+                if ranked[j][1] > one[2]:
                     break
-                beaten[i] |= two[4] > one[4]
-                beaten[j] |= one[4] > two[4]
+                beaten[i] |= worth[j] > worth[i]
+                beaten[j] |= worth[i] > worth[j]
         found: dict[int, list] = {}
         for lost, (number, first, last, _, covered) in zip(beaten, ranked):
             found.setdefault(number, []).append((not lost, covered, first, last))
-        return [
-            (first, last, self.labels[n], covered / self.sizes[n], wins)
-            for n, chains in sorted(found.items())
-            for wins, covered, first, last in [max(chains, key=lambda x: (x[0], x[1], -x[2]))]
-        ]
+        out = []
+        for n, chains in sorted(found.items()):
+            # every copy of the template counts; where it won no place, its best chain stands for the score
+            won, free = [c for c in chains if c[0]], -1
+            for wins, covered, first, last in won or [max(chains, key=lambda c: (c[1], -c[2]))]:
+                if first > free:
+                    out.append((first, last, self.labels[n], covered / self.sizes[n], wins))
+                    free = last
+        return out
 
 
 def scan_licenses(

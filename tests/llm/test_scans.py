@@ -43,6 +43,19 @@ def test_matching_statistics():
         assert n == want
 
 
+def test_every_copy_of_a_license_has_its_span(spark):
+    mit, isc, two, three = (TEMPLATES[x] for x in ("mit", "isc", "bsd-2", "bsd-3"))
+    rows = [(1, f"{mit} stop {mit}"), (2, f"{mit} and some words of another kind {isc} then {mit}"), (3, f"x {two} y"), (4, f"x {three} y"), (5, f"{two} between them {three}")]
+    got = {r.id: r for r in license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    counted = {k: sorted((s.first, s.label) for s in r.spans if s.counts) for k, r in got.items()}
+    words = {x: len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", TEMPLATES[x])) for x in ("mit", "isc", "bsd-2")}
+    assert counted[1] == [(0, "mit"), (words["mit"] + 1, "mit")]
+    assert counted[2] == [(0, "mit"), (words["mit"] + 6, "isc"), (words["mit"] + words["isc"] + 7, "mit")]
+    assert counted[3] == [(1, "bsd-2")] and counted[4] == [(1, "bsd-3")]
+    assert counted[5] == [(0, "bsd-2"), (words["bsd-2"] + 2, "bsd-3")]
+    assert all(r.score == 1.0 for r in got.values())
+
+
 def test_license_chains(spark, awkward, nothing):
     mit = TEMPLATES["mit"]
     edited = mit.replace("documentation", "docs").replace("publish, ", "")
