@@ -176,6 +176,40 @@ def test_extraction_states_and_closed_drawings():
     assert html_extract.main_text(f"<p>{LONG}</p><svg><text>drawn</text></svg><p>{LONG}</p>", weight).split("\n") == [LONG, LONG]
 
 
+LINKED = "<a href=/x>" + "a reference that the text itself names " * 4 + "</a>"
+WHOLE = [
+    f"<article><p>{LONG}</p><p>So says {LINKED}</p></article>",
+    f"<article><p>{LONG}</p><ul><li>{LINKED}<li>{LINKED}</ul></article>",
+    f"<article><p>By the way</p><p>{LINKED}</p><p>{LONG}</p></article>",
+    f'<article><p>{LONG}</p><p class="side-effects">{LONG}</p><p>{LONG}</p></article>',
+    f'<article><section class="legal-history"><p>{LONG}</p></section></article>',
+    f"<form id=aspnetForm><h1>A title</h1><p>{LONG}</p><p>{LONG}</p></form>",
+    f'<div class="right-sidebar"><h1>A title</h1><p>{LONG}</p><p>{LONG}</p></div>',
+    f"<main><article><p>{LONG}</p></article><p>Last words</p></main>",
+    f'<article><div class="post-header"><h1>A title</h1></div><p>{LONG}</p></article>',
+    f"<article><p>{LONG}</p><p>{LONG * 20}</p></article>",
+]
+
+
+@pytest.mark.parametrize("body", WHOLE)
+def test_extraction_keeps_the_article(spark, body):
+    page = f"<body><nav><a href=/>Home</a></nav>{body}<p>Other things to read on this site today</p><footer>all of us</footer></body>"
+    if "<article>" not in body:  # the wrapper holds the page
+        page = f"<body>{body.replace('<h1>', '<nav><a href=/>Home</a></nav><h1>', 1)}</body>"
+        body = body.replace("<nav><a href=/>Home</a></nav>", "")
+    want = [" ".join(re.sub("<[^>]*>", "", b).split()) for b in re.split("</?(?:p|li|ul|h1|div|section|form|main|article)[^>]*>", body)]
+    for weight in (html_extract.weights({}), html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))):
+        assert html_extract.main_text(page, weight).split("\n") == [b for b in want if b]
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "post-comments", "related-posts", "social-share", "cookie-notice", "site-footer", "main-nav", "ad-box", "newsletter-signup", "left-side"])
+def test_extraction_leaves_marked_parts_out(name):
+    page = f'<body><article><p>{LONG}</p><div class="{name}"><p>{LONG} {LONG} {LONG}</p></div><p>{LONG}</p></article><div id="{name}">{LONG}</div></body>'
+    assert html_extract.main_text(page, html_extract.weights({})).split("\n") == [LONG, LONG]
+    alone = f'<body><div class="{name}"><p>{LONG} {LONG}</p></div></body>'
+    assert html_extract.main_text(alone, html_extract.weights({})) == (f"{LONG} {LONG}" if name == "left-side" else "")
+
+
 def test_extraction_awkward(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "just words"), (4, "u", "<p>open"), (5, "u", "<" * 50), (6, "u", "<a b='" + "x" * 1000), (7, "u", "<div>" * 3000 + "deep" + "</div>" * 10), (7, "u", "</p>" * 3000)]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
