@@ -47,6 +47,12 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a file of the tokenizers library, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
 class Vocabulary:
     """Merge ranks, token bytes and added tokens of a byte-level BPE file of the tokenizers library."""
 

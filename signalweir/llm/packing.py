@@ -29,15 +29,18 @@ END_ID = 1
 MEMORY = 400_000
 
 
-def tokenizer(path: str) -> Callable[[str], bytes]:
+def tokenizer(path: str, added: dict[str, int] | None = None) -> Callable[[str], bytes]:
     """Text to ids, as little-endian unsigned 32-bit bytes, by the ranks file at `path`.
 
+    Texts are cut at the `added` tokens, which have ids of their own, wherever they stand.
+
     The split pattern always cuts before a single space that a non-space follows, so a text
     without double spaces is the ids of its space-separated chunks, and those repeat.
     """
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
+    known_tokens = tuple(added or ())
 
     def ids(text: str) -> bytes:
         return np.array(coder.encode_ordinary(text), "<u4").tobytes()
@@ -52,6 +55,8 @@ def tokenizer(path: str) -> Callable[[str], bytes]:
     known = Chunks()
 
     def encode(text: str) -> bytes:
+        if any(token in text for token in known_tokens):
+            return np.array(coder.encode(text, allowed_special="all"), "<u4").tobytes()
         head, *rest = text.split(" ")
         if "" in rest or not head:
             return ids(text)
@@ -105,7 +110,28 @@ class Packer:
         return piece
 
     def _sequence(self, size: int) -> Iterator[tuple]:
-        """Fill one sequence of at most `size` tokens."""
+        """Fill one sequence of at most `size` tokens; where segments or loss run out before, it ends at a power of two."""
+        placed = list(self._filled(size))
+        used = sum(len(p[2]) // 4 for p in placed)
+        over = 0 if used in (0, self.size) else used - (1 << (used.bit_length() - 1))
+        for (key, start, ids, sequence, offset), loss in zip(reversed(placed), reversed(self._losses)):
+            if not over:
+                break
+            placed.pop()
+            n = len(ids) // 4
+            keep = max(0, n - over)
+            over -= n - keep
+            if self.pool and self.pool[-1][0] is key and self.pool[-1][1] == start + n:  # what was cut off goes back with it
+                *_, more, flags = self._take(len(self.pool) - 1)
+                ids, loss = ids + more, None if loss is None else np.concatenate([loss, flags])
+            self._put(key, start + keep, ids[4 * keep :], None if loss is None else loss[keep:])
+            if keep:
+                placed.append((key, start, ids[: 4 * keep], sequence, offset))
+        yield from placed
+
+    def _filled(self, size: int) -> Iterator[tuple]:
+        """The pieces of one sequence; `_losses` has their flags."""
+        self._losses: list = []
         room, offset, sequence = np.minimum(self.limits, [size, np.inf, np.inf]), 0, self._next()
         while self.pool and room[0] >= 1 and room[1] >= 1:
             needs = self.needs[: len(self.pool)]
@@ -126,6 +152,7 @@ class Packer:
                     self._put(key, start, ids, loss)
                     return
             n = len(ids) // 4
+            self._losses.append(loss)
             yield key, start, ids, sequence, offset
             offset += n
             room -= n, 1, n if loss is None else loss.sum()
@@ -139,13 +166,14 @@ class Packer:
 
 def pack(
     examples: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None,
-    size: int = 2048, max_segments: int = 512, max_loss: int | None = None,
+    size: int = 2048, max_segments: int = 512, max_loss: int | None = None, added: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     An example is the ids of its text and END_ID; null texts are empty, so every example has
     an id at least, and repeated rows are packed again. With `loss_col` (boolean) the tokens
-    of examples where it is not true bear no loss; without it all do. An empty table gives
+    of examples where it is not true bear no loss; without it all do. `added` names the
+    vocabulary's added tokens with their ids. An empty table gives
     an empty result. Extra columns are not read.
     """
     most = size if max_loss is None else max_loss
@@ -153,7 +181,7 @@ def pack(
         raise ValueError("size, max_segments and max_loss must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(vocabulary)
+        encode = tokenizer(vocabulary, added)
         packer = Packer(size, max_segments, most, TaskContext.get().partitionId() << 40)
 
         def rows(pieces) -> pa.RecordBatch | None:

@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the ids of byte_bpe_50k.json
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+ADDED = bpe.added_tokens(BPE_FILE)
 #: Rules of the URL filter: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: Host labels whose pages are listed one by one.
@@ -28,7 +29,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(read(spark, sf_dir, "documents"), VOCABULARY)
+    pieces = packing.pack(read(spark, sf_dir, "documents"), VOCABULARY, added=ADDED)
     return pieces.select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -13,9 +13,7 @@ from signalweir.llm.packing import Packer, pack, tokenizer
 
 
 def reference():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(pieces, texts, size=2048, max_segments=512):
@@ -42,20 +40,20 @@ def check(pieces, texts, size=2048, max_segments=512):
 
 def test_round_trip_and_padding(spark, documents):
     texts = {r.doc_id: r.text for r in documents.collect()}
-    assert check(pack(documents.repartition(3, "doc_id"), queries.VOCABULARY).collect(), texts) == 0
+    assert check(pack(documents.repartition(3, "doc_id"), queries.VOCABULARY, added=queries.ADDED).collect(), texts) == 0
 
 
-@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "a \nb c", "a\n \nb", "x y z", "<|endoftext|> a", "don't 12 3!? \t x", "日本 語", "a\x1cb \x1c c"])
+@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "a \nb c", "a\n \nb", "x y z", "<|endoftext|> a", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "a  \n<|endoftext|>  b", "<|endoftext|", "don't 12 3!? \t x", "日本 語", "a\x1cb \x1c c"])
 def test_chunks_equal_the_whole(text):
-    got = np.frombuffer(tokenizer(queries.VOCABULARY)(text), "<u4").tolist()
+    got = np.frombuffer(tokenizer(queries.VOCABULARY, queries.ADDED)(text), "<u4").tolist()
     assert got == reference().encode(text, add_special_tokens=False).ids
 
 
 def test_awkward_rows(spark, awkward, nothing):
     rows = awkward.where("doc_id is not null").dropDuplicates(["doc_id"])
-    check(pack(rows, queries.VOCABULARY, size=64, max_segments=4).collect(), {r.doc_id: r.text for r in rows.collect()}, 64, 4)
-    assert pack(awkward, queries.VOCABULARY).where("start = 0").count() == awkward.count()
-    assert pack(nothing, queries.VOCABULARY).collect() == []
+    check(pack(rows, queries.VOCABULARY, added=queries.ADDED, size=64, max_segments=4).collect(), {r.doc_id: r.text for r in rows.collect()}, 64, 4)
+    assert pack(awkward, queries.VOCABULARY, added=queries.ADDED).where("start = 0").count() == awkward.count()
+    assert pack(nothing, queries.VOCABULARY, added=queries.ADDED).collect() == []
 
 
 def test_limits_hold_together():
@@ -84,6 +82,27 @@ def test_loss_column(spark):
     assert (got[got.id % 2 == 0].groupby("sequence_id").length.sum() <= 64).all()
 
 
+def test_segments_that_run_out_leave_no_padding(spark):
+    rows = spark.createDataFrame([(i, "ab cd") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    assert check(pack(rows, queries.VOCABULARY, added=queries.ADDED).collect(), dict.fromkeys(range(3000), "ab cd")) == 0
+    rows = spark.createDataFrame([(i, "ab cd <|endoftext|>" * (1 + i % 9)) for i in range(500)], "doc_id long, text string").coalesce(1)
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    assert check(pack(rows, queries.VOCABULARY, added=queries.ADDED, size=256, max_segments=7).collect(), texts, 256, 7) == 0
+
+
+def test_a_full_pool_stays_within_its_bound():
+    packer, rows = Packer(64, 5, 20, 0), []
+    packer.POOL = 16
+    for key in range(400):
+        rows += packer.add((key, 9), np.arange(9, dtype="<u4").tobytes(), np.arange(9) % 2 < key % 3)
+        assert len(packer.pool) <= 16
+    rows += packer.close()
+    sizes = defaultdict(int)
+    for _, _, ids, sequence, _ in rows:
+        sizes[sequence] += len(ids) // 4
+    assert sum(sizes.values()) == 3600 and all(n & (n - 1) == 0 for n in sizes.values())
+
+
 def test_limits_must_be_positive(spark, nothing):
     with pytest.raises(ValueError):
         pack(nothing, queries.VOCABULARY, max_loss=0)
