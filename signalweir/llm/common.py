@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -43,6 +45,14 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Return to the system what a worker's allocators keep of a task's rows: it stays beside the JVM, idle, while later stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """`df` as a table in the shared checkpoint folder, read back.
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalweir.llm.common import free_name, held_out, written
+from signalweir.llm.common import free_name, give_back, held_out, written
 
 #: Signs and the letters they are drawn for: fixed values.
 LOOKS = {
@@ -82,6 +82,8 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     total += np.bincount(grams, minlength=_SIDE**3)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
+        batch = text = codes = ids = grams = None
+        give_back()
 
     rows = docs.select(F.col(text_col)).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(_SIDE**3)
@@ -333,6 +335,8 @@ def toxicity(text: Column, model: dict) -> Column:
                 logit = first + 0.2 * second if first > 0 else bias
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
             yield pa.array(out, pa.float64())
+        batch = text = None
+        give_back()
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return arrow_udf(run, "double").asNondeterministic()(text)
