@@ -7,7 +7,8 @@ Chunks: chunk_id, document_id, tenant_id, collection, title, heading, content, e
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,39 +28,54 @@ ALPHA = 0.7
 LAMBDA = 0.7
 BROADCAST_QUERIES = 4096
 BROADCAST_FOUND = 200_000
-BLOCK_ITEMS = 50_000
+BLOCK_ITEMS = 20_000
+PLACE = ["tenant_id", "collection"]
+#: By how much sums of a matrix product may differ from those of a pair at a time.
+SLACK = 1e-12
 MEMORY_K = 3
 MEMORY_FLOOR = 0.70
 
 Scorer = Callable[[pd.DataFrame, pd.DataFrame, int], pd.DataFrame]
 
 
-def _best_per_query(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, floor: float) -> pd.DataFrame:
-    """The k best items of each query (score descending, id ascending) from a query by item matrix."""
+def _best(scores: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a query by item matrix that may be among the k best of their query."""
     if scores.shape[1] > k:
         kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        mask = scores >= kth[:, None]
-    else:
-        mask = np.ones(scores.shape, dtype=bool)
-    q, i = np.nonzero(mask & (scores > floor))
-    found = pd.DataFrame({"query_id": query_ids[q], "item_id": ids[i], "score": scores[q, i]})
+        return np.nonzero((scores >= kth[:, None] - SLACK) & (scores > floor))
+    return np.nonzero(scores > floor)
+
+
+def _ranked(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best items of each query, score descending, id ascending."""
+    found = pd.DataFrame({"query_id": query_ids, "item_id": ids, "score": scores})
     found = found.sort_values(["score", "item_id"], ascending=[False, True], kind="stable")
     return found[found.groupby("query_id").cumcount() < k]
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    """Vectors of length one, a row each; NaN for those without a length, with nulls, or of another length than most."""
+    rows = [np.asarray(v, dtype=np.float64) for v in vectors]
+    size = Counter(map(len, rows)).most_common(1)[0][0]
+    m = np.stack([r if len(r) == size else np.full(size, np.nan) for r in rows])
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
 
 
-def _cosine_scorer(exclude_same_id: bool) -> Scorer:
+def cosine_scorer(exclude_same_id: bool = False) -> Scorer:
     def score(queries: pd.DataFrame, items: pd.DataFrame, k: int) -> pd.DataFrame:
-        sims = np.nan_to_num(_unit(queries["payload"]) @ _unit(items["payload"]).T, nan=-np.inf)
+        asked, held = _unit(queries["payload"]), _unit(items["payload"])
+        if asked.shape[1] != held.shape[1]:
+            raise ValueError(f"vectors of {asked.shape[1]} and of {held.shape[1]} numbers")
+        sims = asked @ held.T
+        np.nan_to_num(sims, copy=False, nan=-np.inf)
         ids, query_ids = items["item_id"].to_numpy(), queries["query_id"].to_numpy()
         if exclude_same_id:
             sims[query_ids[:, None] == ids[None, :]] = -np.inf
-        return _best_per_query(sims, ids, query_ids, k, -np.inf)
+        q, i = _best(sims, k, -np.inf)
+        # summed a pair at a time, so that equal vectors have equal cosines wherever they lie in the matrix
+        exact = np.concatenate([(asked[q[s : s + 65536]] * held[i[s : s + 65536]]).sum(axis=1) for s in range(0, len(q), 65536)] or [np.zeros(0)])
+        return _ranked(query_ids[q], ids[i], exact, k)
 
     return score
 
@@ -91,18 +107,35 @@ def _keyword_score(queries: pd.DataFrame, items: pd.DataFrame, k: int) -> pd.Dat
         seen.update(term for term, like in wild.items() if like.search(low))
         for term in seen:
             hits[askers[term], j] += 1
-    return _best_per_query(hits, items["item_id"].to_numpy(), queries["query_id"].to_numpy(), k, 0.0)
+    q, i = _best(hits, k, 0.0)
+    return _ranked(queries["query_id"].to_numpy()[q], items["item_id"].to_numpy()[i], hits[q, i], k)
+
 
+def _dealt(rows: DataFrame, place: Sequence[str], item: str, sizes: DataFrame, own: str, other: str) -> DataFrame:
+    """`rows` with a block of their group by a hash of `item`, once for every block of the other side."""
+    cut = rows.join(sizes, [F.col(p) == F.col(f"_{p}") for p in place])
+    return cut.select(
+        *[F.col(p).alias(f"{own}_{p}") for p in place],
+        F.pmod(F.xxhash64(item), F.col(own)).alias(f"{own}_{own}"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(f"{own}_{other}"),
+        item, "payload",
+    )
 
-def _block_top_k(queries: DataFrame, items: DataFrame, scorer: Scorer, k: int) -> DataFrame:
-    """Exact k best items per query within (tenant_id, collection), without emitting pairs.
+
+def block_top_k(
+    queries: DataFrame, items: DataFrame, scorer: Scorer, k: int, place: Sequence[str] = PLACE, total: int | None = None
+) -> DataFrame:
+    """Exact k best items per query within `place`, without emitting pairs: query_id, item_id, score, rank.
 
     Each block of items keeps only its own k best per query; a window merges the blocks.
     Few queries (their number is checked) are broadcast and items are scanned where they lie.
-    Beyond that, both sides are cut into hashed blocks and every pair of blocks of a group
-    meets in one task, whose size does not depend on the size of the group.
+    Beyond that, both sides of a group are cut into hashed blocks, as many as its size asks
+    for, and every pair of blocks meets in one task, whose size does not depend on the size
+    of the group. Rows without a place meet nothing. Of a query's blocks together the `total`
+    best rows are kept, k without it.
     """
-    place = ["tenant_id", "collection"]
+    place = list(place)
+    queries, items = (side.dropna(subset=place) for side in (queries, items))
     qid = queries.schema["query_id"].dataType.simpleString()
     iid = items.schema["item_id"].dataType.simpleString()
     out = f"query_id {qid}, item_id {iid}, score double"
@@ -125,24 +158,23 @@ def _block_top_k(queries: DataFrame, items: DataFrame, scorer: Scorer, k: int) -
 
         scored = items.mapInPandas(scan, out)
     else:
-        sizes = queries.count(), items.count()
-        q_blocks, i_blocks = -(-sizes[0] // BROADCAST_QUERIES), max(1, -(-sizes[1] // BLOCK_ITEMS))
-        q = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
-            "_i", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1)).cast("array<bigint>"))
-        )
-        i = items.withColumn("_i", F.pmod(F.xxhash64("item_id"), F.lit(i_blocks))).withColumn(
-            "_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>"))
+        asked, held_by = (
+            side.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK_ITEMS).alias(name)) for side, name in ((queries, "q"), (items, "i"))
         )
+        sizes = settle(asked.join(held_by, place).select(*[F.col(p).alias(f"_{p}") for p in place], "q", "i"))
+        # both sides may be the same table: their columns get names of their own
+        q, i = _dealt(queries, place, "query_id", sizes, "q", "i"), _dealt(items, place, "item_id", sizes, "i", "q")
 
         def meet(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
             if asked.empty or part.empty:
                 return empty
-            step = max(1, 4_000_000 // len(asked))
-            return pd.concat([scorer(asked, part.iloc[at : at + step], k) for at in range(0, len(part), step)])
+            step = max(1, 4_000_000 // len(part))
+            return pd.concat([scorer(asked.iloc[at : at + step], part, k) for at in range(0, len(asked), step)])
 
-        keys = [*place, "_q", "_i"]
-        scored = q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(meet, out)
-    return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("item_id").asc()], k)
+        keys = [*place, "q", "i"]
+        one, two = q.groupBy(*[f"q_{c}" for c in keys]), i.groupBy(*[f"i_{c}" for c in keys])
+        scored = one.cogroup(two).applyInPandas(meet, out)
+    return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("item_id").asc()], total or k)
 
 
 def semantic_search(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -150,7 +182,7 @@ def semantic_search(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES
     place = ["tenant_id", "collection"]
     q = questions.where("embedding IS NOT NULL").select("query_id", *place, F.col("embedding").alias("payload"))
     c = chunks.where("embedding IS NOT NULL").select(F.col("chunk_id").alias("item_id"), *place, F.col("embedding").alias("payload"))
-    best = _block_top_k(q, c, _cosine_scorer(False), k)
+    best = block_top_k(q, c, cosine_scorer(False), k)
     return best.select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").alias("similarity"), "rank")
 
 
@@ -160,7 +192,7 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = CANDIDATES)
     terms = query_terms(F.col("query_text"))
     q = questions.select("query_id", *place, terms.alias("payload")).where(F.size("payload") > 0)
     c = chunks.select(F.col("chunk_id").alias("item_id"), *place, F.col("content").alias("payload"))
-    best = _block_top_k(q, c, _keyword_score, k)
+    best = block_top_k(q, c, _keyword_score, k)
     return best.select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").cast("bigint").alias("hits"), "rank")
 
 
@@ -340,7 +372,7 @@ def similar_incidents(
     m = memory.where("embedding IS NOT NULL").select(
         F.col("incident_id").alias("item_id"), "tenant_id", one, F.col("embedding").alias("payload")
     )
-    best = _block_top_k(q, m, _cosine_scorer(True), k).where(F.col("score") >= min_similarity)
+    best = block_top_k(q, m, cosine_scorer(True), k).where(F.col("score") >= min_similarity)
     return best.select(
         F.col("query_id").alias("incident_id"),
         F.col("item_id").alias("similar_incident_id"),

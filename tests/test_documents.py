@@ -224,3 +224,30 @@ def test_context_budget(spark):
     assert [r.context for r in retrieval.pack_context(blocks).collect()] == ["[[1]] T › H\n" + "x" * 50]
     wide = retrieval.pack_context(retrieval.cited_blocks(hits, chunks)).first()
     assert wide.sources == 3 and wide.context.endswith("[[3]] untitled\nz")
+
+
+def test_similar_incidents_of_many_rows(spark, monkeypatch):
+    """More incidents than are broadcast, asked of their own table; a row without a tenant meets nothing."""
+    rng = random.Random(9)
+    rows = [("t" if i % 3 else "u", i, [abs(rng.gauss(0, 1)) for _ in range(4)]) for i in range(120)]
+    rows += [(None, 500, [1.0] * 4), (None, 501, [1.0] * 4)]
+    memory = spark.createDataFrame(rows, "tenant_id string, incident_id long, embedding array<double>")
+    few = _rows(retrieval.similar_incidents(memory, memory))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "BLOCK_ITEMS", 13)
+    got = retrieval.similar_incidents(memory, memory)
+    assert _rows(got) == few and {r[0] for r in few} == set(range(120))
+
+
+def test_equal_vectors_have_equal_cosines():
+    """The smaller id comes first wherever the copies lie."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(40, 37))
+    items = pd.DataFrame({"item_id": np.arange(400)[::-1], "payload": [vectors[i % 40] for i in range(400)]})
+    asked = pd.DataFrame({"query_id": np.arange(40), "payload": list(rng.normal(size=(40, 37)))})
+    found = retrieval.cosine_scorer()(asked, items, 10)
+    assert all(sorted(part["item_id"]) == part["item_id"].tolist() for _, part in found.groupby("query_id"))
+    assert (found.groupby("query_id")["score"].nunique() == 1).all()
