@@ -2,9 +2,10 @@
 
 Centroids come from a bounded sample of the vectors; every vector is put into the cells of
 its `spill` nearest centroids, where it lies. A question probes the cells nearest to it:
-(question, cell) rows meet (cell, chunk) rows of the same tenant and collection in an equi
-join that Spark can split, so no question sees the whole corpus and nothing that grows is
-broadcast. The cosine of what meets is exact; only a chunk in no probed cell can be missed.
+the questions and the chunks of a cell, a tenant and a collection meet as matrices, in blocks
+of bounded size that keep only their best, so no question sees the whole corpus and no pair
+of vectors travels. The cosine of what meets is exact; only a chunk in no probed cell can be
+missed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from signalweir.functions.vectors import cosine
+from signalweir.operators.retrieval import block_top_k, cosine_scorer
 from signalweir.scale import top_per_key
 
 #: Vectors that the quantiser is fitted on at most, and rounds of fitting.
@@ -94,10 +95,10 @@ def probe(questions: DataFrame, index: DataFrame, quantiser: Quantiser, probes:
     """query_id, chunk_id, similarity, rank (1-based): the nearest chunks of the probed cells, by exact cosine."""
     asked = questions.where("embedding IS NOT NULL").select("query_id", *PLACE, F.col("embedding").alias("asked"))
     asked = asked.withColumn("cell", F.explode(quantiser.cells(F.col("asked"), probes)))
-    met = asked.join(index, [*PLACE, "cell"])
+    held = index.select(F.col("chunk_id").alias("item_id"), *PLACE, "cell", F.col("embedding").alias("payload"))
     # a chunk that spilled may be met more than once, with equal cosines
-    near = met.select("query_id", "chunk_id", cosine(F.col("asked"), F.col("embedding")).alias("similarity")).where("similarity IS NOT NULL")
-    twice = top_per_key(near, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], SPILL_MOST * k, "_place")
+    met = block_top_k(asked.withColumnRenamed("asked", "payload"), held, cosine_scorer(), k, [*PLACE, "cell"], SPILL_MOST * k)
+    twice = met.select("query_id", F.col("item_id").alias("chunk_id"), F.col("score").alias("similarity"))
     once = twice.groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("similarity"))
     return top_per_key(once, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
 

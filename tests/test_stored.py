@@ -117,6 +117,25 @@ def test_index_recall(spark):
     assert probed.count() < 0.8 * retrieval.semantic_search(asked, chunks, 10_000).count()
 
 
+def test_index_in_blocks(spark, monkeypatch):
+    """Questions beyond the broadcast meet the same chunks, and no pair of vectors travels."""
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 50 == 0 else "tu"[i % 2], "c", rng.normal(size=8).tolist()) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, tenant_id string, collection string, embedding array<double>")
+    asked = chunks.where("chunk_id % 10 = 1").withColumnRenamed("chunk_id", "query_id")
+    quantiser = vector_index.fit_quantiser(chunks, cells=8)
+
+    def found():
+        return vector_index.probe(asked, vector_index.index_chunks(chunks, quantiser), quantiser, probes=4, k=5)
+
+    few = sorted(map(tuple, found().select("query_id", "chunk_id", "rank").collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "BLOCK_ITEMS", 13)
+    many = found()
+    assert "zip_with" not in many._jdf.queryExecution().toString().lower()
+    assert sorted(map(tuple, many.select("query_id", "chunk_id", "rank").collect())) == few and len(few) == 150
+
+
 def test_index_of_clusters_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 16))
