@@ -19,7 +19,7 @@ _MAP_COLUMNS = ["incident_id", "placeholder", "type", "value", "token"]
 
 
 def detect_sensitive(texts: DataFrame) -> DataFrame:
-    """Add `interim` and `hits`: narrow work inside the JVM, a row at a time, no shuffle.
+    """Add `interim` and `hits`: narrow work, a row at a time, no shuffle.
 
     Settle the result when it feeds both the numbering and the swap: it is the costly part.
     """

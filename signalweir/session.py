@@ -12,6 +12,8 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # texts make rows of very different size
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 
