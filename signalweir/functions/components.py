@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from signalweir.functions.text import EDGE_L, EDGE_R, WS, strip_ws
+from signalweir.functions.text import EDGE_L, EDGE_R, collapse_ws, strip_ws
 
 # Bare infrastructure names.
 SEED_COMPONENTS = [
@@ -40,14 +42,20 @@ _SEEDS = f"{EDGE_L}({'|'.join(SEED_COMPONENTS)}){EDGE_R}"
 _CONVENTION = f"{EDGE_L}([a-z][a-z0-9]*(?:[-_][a-z0-9]+)*?[-_](?:{'|'.join(COMPONENT_SUFFIXES)})){EDGE_R}"
 
 
+def bound(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """`fn` of a value that is worked out once, however often `fn` names it."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def normalize_component(c: Column) -> Column:
-    name = F.regexp_replace(strip_ws(F.lower(F.coalesce(c, F.lit("")))), f"(?:_|{WS})+", "-")
-    return F.regexp_replace(F.regexp_replace(name, r"-(?:[0-9a-f]{4,10}|[0-9]+)\z", ""), r"-+\z", "")
+    # bound: the choice inside reads the name more than once
+    name = bound(strip_ws(F.lower(F.coalesce(c, F.lit("")))), lambda n: collapse_ws(n, "_", "-"))
+    return F.rtrim(F.regexp_replace(name, r"-(?:[0-9a-f]{4,10}|[0-9]+)\z", ""), F.lit("-"))
 
 
 def is_plausible(c: Column) -> Column:
     """A name rather than a description: tested on its first and last word only."""
-    return plausible_name(normalize_component(c))
+    return bound(normalize_component(c), plausible_name)
 
 
 def plausible_name(name: Column) -> Column:
@@ -59,14 +67,13 @@ def plausible_name(name: Column) -> Column:
 
 
 def evidence_key(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), f"(?:_|{WS})+", "-")
+    return bound(F.lower(text), lambda t: collapse_ws(t, "_", "-"))
 
 
 def is_grounded(c: Column, evidence: Column) -> Column:
     """The evidence mentions the component; without evidence everything passes."""
-    name = normalize_component(c)
     empty = evidence.isNull() | (evidence == "")
-    return empty | ((name != "") & F.contains(evidence_key(evidence), name))
+    return empty | bound(normalize_component(c), lambda name: (name != "") & F.contains(evidence_key(evidence), name))
 
 
 def named_in_text(text: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space the source systems trim, written for Java regexes.
-WS = r"[\s\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# The white space the source systems trim, written for Java regexes.  Ranges, as
+# a class inside the class (\s) is asked for every character by itself.
+WS = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+WS_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # ASCII word edges.  Java's \b also counts accented letters as word characters.
 EDGE_L = r"(?<![A-Za-z0-9_])"
 EDGE_R = r"(?![A-Za-z0-9_])"
@@ -20,7 +22,14 @@ STOP_WORDS = [
 
 
 def strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(WS_CHARS))
+
+
+def collapse_ws(c: Column, also: str, to: str) -> Column:
+    """Runs of white space and the characters of `also` as one `to`; a pattern replaces only where there are runs."""
+    chars = WS_CHARS + also
+    run = F.regexp_replace(c, f"[{also}{WS[1:]}+", to)
+    return F.when(c.rlike(f"[{also}{WS[1:]}{{2}}"), run).otherwise(F.translate(c, chars, to * len(chars)))
 
 
 def first_present(*cols: Column) -> Column:

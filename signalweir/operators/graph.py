@@ -36,11 +36,17 @@ def components_in_text(texts: DataFrame, learned: DataFrame | None = None) -> Da
 
 def primary_component(texts: DataFrame, learned: DataFrame | None = None) -> DataFrame:
     """The most mentioned component of each text; the first found wins a tie."""
-    found = components_in_text(texts, learned).join(texts.select("text_id", "text"), "text_id")
-    counted = found.withColumn("mentions", C.mentions(F.col("text"), F.col("component"))).where("mentions > 0")
+    if learned is None:  # names stand beside their text already
+        rows = texts.select("text_id", "text", F.posexplode_outer(C.named_in_text(F.col("text"))).alias("seen_at", "component"))
+        found = rows.where(F.col("component").isNotNull() & F.col("text_id").isNotNull())
+    else:
+        found = components_in_text(texts, learned).join(texts.select("text_id", "text"), "text_id")
+    # a filter on the count would run it twice: rows without a mention have no place instead
+    counted = found.withColumn("mentions", F.nullif(C.mentions(F.col("text"), F.col("component")), F.lit(0)))
     return (
         counted.groupBy("text_id")
-        .agg(F.max_by(F.struct("component", "mentions"), F.struct("mentions", -F.col("seen_at"))).alias("_m"))
+        .agg(F.max_by(F.struct("component", "mentions"), F.when(F.col("mentions").isNotNull(), F.struct("mentions", -F.col("seen_at")))).alias("_m"))
+        .where("_m IS NOT NULL")
         .select("text_id", "_m.component", F.col("_m.mentions").cast("bigint").alias("mentions"))
     )
 
@@ -92,30 +98,36 @@ def cascades(findings: DataFrame, learned: DataFrame | None = None) -> DataFrame
         named = F.concat(named, F.coalesce("_heard", F.array().cast("array<string>")))
     once = F.array_distinct(F.transform(named, C.normalize_component))
     pairs = F.transform(once, lambda n: F.struct(n.alias("name"), C.normalize_component(n).alias("again")))
-    rows = rows.withColumn("_named", pairs)
-    rows = rows.withColumn("_haystack", C.evidence_key(F.col("evidence_text")))
     silent = F.col("evidence_text").isNull() | (F.col("evidence_text") == "")
 
-    def counts(e: Column) -> Column:
-        grounded = silent | ((e["again"] != "") & F.contains(F.col("_haystack"), e["again"]))
-        return (e["name"] != "") & (e["name"] != F.col("primary")) & C.plausible_name(e["again"]) & grounded
+    def counts(e: Column, primary: Column, haystack: Column) -> Column:
+        grounded = silent | ((e["again"] != "") & F.contains(haystack, e["again"]))
+        return (e["name"] != "") & (e["name"] != primary) & C.plausible_name(e["again"]) & grounded
 
-    downstream = F.transform(F.filter("_named", counts), lambda e: e["name"])
+    # bound in one value: a column that only a lambda reads would be worked out again for every name
+    about = F.struct(F.col("primary").alias("primary"), C.evidence_key(F.col("evidence_text")).alias("haystack"), pairs.alias("named"))
+    downstream = C.bound(about, lambda x: F.transform(F.filter(x["named"], lambda e: counts(e, x["primary"], x["haystack"])), lambda e: e["name"]))
     return rows.select("report_id", "tenant_id", "primary", downstream.alias("downstream"), "created_at")
 
 
 def build_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the cascades: counts by map-side partial aggregates."""
-    mentioned = found.select(
-        "tenant_id", F.explode(F.concat(F.array("primary"), "downstream")).alias("component"), "created_at"
+    """(nodes, edges) of the cascades: counts by map-side partial aggregates.
+
+    Equal cascades are counted first, once, for both; the names in texts are not looked for again.
+    """
+    alike = settle(
+        found.groupBy("tenant_id", "primary", "downstream").agg(
+            F.count("*").alias("n"), F.min("created_at").alias("first"), F.max("created_at").alias("last")
+        )
     )
+    mentioned = alike.select("tenant_id", F.explode(F.concat(F.array("primary"), "downstream")).alias("component"), "n", "first")
     nodes = mentioned.groupBy("tenant_id", "component").agg(
-        F.count("*").alias("incident_count"), F.min("created_at").alias("first_seen_at")
+        F.sum("n").alias("incident_count"), F.min("first").alias("first_seen_at")
     )
     edges = (
-        found.select("tenant_id", F.col("primary").alias("from_node"), F.explode("downstream").alias("to_node"), "created_at")
+        alike.select("tenant_id", F.col("primary").alias("from_node"), F.explode("downstream").alias("to_node"), "n", "last")
         .groupBy("tenant_id", "from_node", "to_node")
-        .agg(F.count("*").alias("occurrence_count"), F.max("created_at").alias("last_seen_at"))
+        .agg(F.sum("n").alias("occurrence_count"), F.max("last").alias("last_seen_at"))
         .withColumn("failure_type", F.lit("cascade"))
     )
     return nodes, edges

@@ -135,3 +135,16 @@ def test_connectivity(spark):
     broken = [(2, f"v{n}", f"v{n + 1}", 1.0) for n in range(8) if n != 4] + [(3, "v0", "v1", 0.0)]
     links = spark.createDataFrame(path + broken, "incident_id long, voter_a string, voter_b string, weight double")
     assert {r.incident_id: r.connected for r in graph.connectivity(members, links).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_names_are_looked_for_once(spark):
+    """Neither filters nor lambdas run the patterns again; equal cascades are counted together."""
+    rows = [(i, "t", "Auth_Service", ["db pooler", "the upstream"], ["orders-api slow"], "db-pooler \t orders_api", T) for i, T in enumerate(("2024-01-02", "2024-01-01"))]
+    found = graph.cascades(spark.createDataFrame(rows, "report_id long, tenant_id string, primary_component string, hypothesis_components array<string>, reasoning array<string>, evidence_text string, created_at string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.count("regexp_extract_all") for line in plan.splitlines()) == 2
+    assert max(line.count("regexp_replace") for line in plan.splitlines()) < 20
+    nodes, edges = graph.build_graph(found)
+    assert "regexp" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in edges.collect()} == {("t", "auth-service", n, 2, "2024-01-02", "cascade") for n in ("db-pooler", "orders-api")}
+    assert {tuple(r) for r in nodes.collect()} == {("t", n, 2, "2024-01-01") for n in ("auth-service", "db-pooler", "orders-api")}
