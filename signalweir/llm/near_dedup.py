@@ -15,12 +15,14 @@ near copies cost a pass, not their square, and a shard returns a spanning forest
 pairs. Shards beyond `limit` points are cut into blocks that meet two by two, in tasks of
 at most twice that size: exact, with bounded memory.
 
-drop_near() goes by the similarity of the shingle sets themselves, which no fingerprint
-tells exactly. Sets as similar as `similarity` share a shingle among the first few of each
-in any one order of all shingles; those few are the keys that documents meet under.
-Shingles that a sample finds often come last in that order, so the keys are rare ones.
-Every link is verified on the whole sets. Under each key all meet two leaders first; only
-what is still apart then meets in pairs, so a group of near copies is not squared.
+drop_near() takes the links of the same trees first, over the SimHash of five-word shingles,
+and verifies each on the shingle sets: it goes by their similarity, which no fingerprint tells
+exactly. Most sets of similarity 0.8 differ in more than 4 bits; those are found by what they
+share. Sets as similar as `similarity` share a shingle among the first few of each in any one
+order of all shingles; those few are the keys that documents meet under. Shingles that a
+sample finds often come last in that order, so the keys are rare ones. Every link is verified
+on the whole sets. Under each key all meet two leaders first; only what is still apart then
+meets in pairs, so a group of near copies is not squared.
 """
 
 from __future__ import annotations
@@ -69,9 +71,13 @@ def _widen(h: np.ndarray, word: int) -> np.ndarray:
 
 def fingerprints_of(texts: list[bytes], width: int, size: int) -> list[bytes]:
     """Per text the bits set in over half its shingle hashes, as big-endian bytes; no words: zero."""
-    each = [shingle_hashes(t, size) for t in texts]
+    return majorities([shingle_hashes(t, size) for t in texts], width)
+
+
+def majorities(each: list[np.ndarray], width: int) -> list[bytes]:
+    """Per list of hashes the bits set in over half of them, as big-endian bytes; none: zero."""
     counts = np.array([len(x) for x in each], np.int64)
-    out = np.zeros((len(texts), width // 64), np.uint64)
+    out = np.zeros((len(each), width // 64), np.uint64)
     some = np.flatnonzero(counts)
     if not len(some):
         return [r.tobytes() for r in out.astype(">u8")]
@@ -286,8 +292,8 @@ def _often(docs: DataFrame, text_col: str, size: int, texts: int = 16_384, keys:
     return rows["key"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
-def _shingled(docs: DataFrame, size: int, similarity: float, often: np.ndarray) -> DataFrame:
-    """`docs` (column _text) with fp (digest of the shingle set), _n (its size), _keys (its first shingles) and _sketch.
+def _shingled(docs: DataFrame, size: int, similarity: float, often: np.ndarray, width: int = 64) -> DataFrame:
+    """`docs` (column _text) with _sim (SimHash), fp (digest of the shingle set), _n (its size), _keys (its first shingles) and _sketch.
 
     A bit of the sketch is the parity of the shingles that fall on it, so two sketches
     differ in at most as many bits as the sets do in shingles: what it rules out is no link.
@@ -295,14 +301,15 @@ def _shingled(docs: DataFrame, size: int, similarity: float, often: np.ndarray)
     """
     rank = np.argsort(often)
     sent = docs.sparkSession.sparkContext.broadcast((often[rank], rank))
-    kind = pa.struct([("fp", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("folded", pa.list_(pa.int64()))])
+    kind = pa.struct([("sim", pa.binary()), ("fp", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("folded", pa.list_(pa.int64()))])
 
     def first(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hot, place = sent.value
         for batch in texts:
             out = []
-            for text in as_bytes(batch):
-                held = np.unique(shingle_hashes(text, size))
+            every = [shingle_hashes(text, size) for text in as_bytes(batch)]
+            for hashes, sim in zip(every, majorities(every, width)):
+                held = np.unique(hashes)
                 n = len(held)
                 order = held
                 if n and len(hot):
@@ -314,13 +321,13 @@ def _shingled(docs: DataFrame, size: int, similarity: float, often: np.ndarray)
                 odd = np.bincount((held & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                 sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 folded = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
-                out.append({"fp": xxhash.xxh3_128_digest(held.tobytes()), "n": n, "keys": few.view(np.int64).tolist(), "sketch": sketch.tolist(), "folded": folded.tolist()})
+                out.append({"sim": sim, "fp": xxhash.xxh3_128_digest(held.tobytes()), "n": n, "keys": few.view(np.int64).tolist(), "sketch": sketch.tolist(), "folded": folded.tolist()})
             yield pa.array(out, kind)
 
     first.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    udf = arrow_udf(first, "struct<fp: binary, n: int, keys: array<bigint>, sketch: array<bigint>, folded: array<bigint>>").asNondeterministic()
+    udf = arrow_udf(first, "struct<sim: binary, fp: binary, n: int, keys: array<bigint>, sketch: array<bigint>, folded: array<bigint>>").asNondeterministic()
     found = docs.withColumn("_s", udf("_text")).drop("_text")
-    parts = (F.col("_s.fp").alias("fp"), F.col("_s.n").alias("_n"), F.col("_s.keys").alias("_keys"))
+    parts = (F.col("_s.sim").alias("_sim"), F.col("_s.fp").alias("fp"), F.col("_s.n").alias("_n"), F.col("_s.keys").alias("_keys"))
     parts += (F.struct(F.col("_s.sketch").alias("sketch"), F.col("_s.folded").alias("folded")).alias("_sketch"),)
     return found.select(*(c for c in found.columns if c != "_s"), *parts)
 
@@ -382,10 +389,23 @@ def sketch_distance(one, two):
     )
 
 
-def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
+def fingerprint_pairs(base: DataFrame, distinct: DataFrame, width: int, radius: int, masks: int, bits: int) -> DataFrame:
+    """(a, b) rows that the trees link: of unlike shingle sets with SimHashes (column _sim) within `radius`, a spanning forest."""
+    heads = distinct.select(F.col("head._row").alias("_row"))
+    held = written(base.join(heads, "_row", "left_semi").select("_sim", F.col("_row").alias("a")))
+    first = written(held.groupBy("_sim").agg(F.min("a").alias("b")))
+    equal = held.join(first, "_sim").where("a != b").select("a", "b")
+    met = near_links(first.select(F.col("_sim").alias("fp")), width, radius, masks, bits)
+    one, two = (first.select(F.col("_sim").alias(f"{x}_sim"), F.col("b").alias(x)) for x in ("a", "b"))
+    near = met.select(F.col("a").alias("a_sim"), F.col("b").alias("b_sim")).join(one, "a_sim").join(two, "b_sim")
+    return written(equal.unionByName(near.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: float, known: DataFrame) -> DataFrame:
     """(a, b) links among fingerprints that connect all sets of at least `similarity`, each verified on the sets.
 
     `base` has _row, fp, _n, _keys, _sketch and _doc_text; `distinct` has fp and a head with the _row that stands for it.
+    `known` are the (a, b) rows that fingerprints link; they are verified first, with the pairs of leaders.
     What meets under a key is two numbers a row: how many shingles its set has and how many
     come before the key. The first shingle that two sets share leaves them only what comes
     from there on, so sizes and places rule out most pairs; sketches then travel once for a
@@ -436,7 +456,8 @@ def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: f
     each = F.array_distinct(F.array(*(F.struct(F.col(f"l{i}.row").alias("leader"), F.col(f"l{i}.s").alias("t")) for i in range(2))))
     led = leaders.select(F.col("key").alias("l_key"), F.inline(each))
     star = meets.join(led, (F.col("key") == F.col("l_key")) & (F.col("row") != F.col("leader")) & fits("s", "t"))
-    links = verified(star.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b")))
+    star = star.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b"))
+    links = verified(known.unionByName(star))
     roots = written(components(links.select("a", "b")).select(F.col("node").alias("row"), "root"))
     apart = meets.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     # keys whose rows stand in one component have nothing left to say, nor those whose rows were all leaders
@@ -454,16 +475,23 @@ def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: f
     return links.unionByName(more).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8,
+    width: int = 64, radius: int = 4, masks: int = 5, bits: int = 13,
+) -> DataFrame:
     """`docs` with one row of each group of near copies, all columns as they were.
 
     Near copies are texts whose sets of `size`-word shingles have Jaccard similarity of at
-    least `similarity`, and what chains of such texts connect. All are found and no others:
-    candidates are complete and each is verified. Texts without words are one group.
+    least `similarity`, and what chains of such texts connect. All are found and no others.
+    The vantage-point trees find the texts whose SimHash of these shingles differs in at most
+    `radius` bits; similar texts that differ in more bits meet under the first shingles of their sets.
+    Every link is verified on the sets. Texts without words are one group, with fingerprint
+    zero; an empty table gives an empty result.
     """
     often = _often(docs, text_col, size)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), F.struct("*").alias("_doc"))
-    base = written(_shingled(source, size, similarity, often).withColumn("_row", F.monotonically_increasing_id()))
+    base = written(_shingled(source, size, similarity, often, width).withColumn("_row", F.monotonically_increasing_id()))
     distinct = _heads(base)
-    links = similar_links(base.withColumn("_doc_text", F.col("_doc")[text_col]), distinct, size, similarity)
+    alike = fingerprint_pairs(base, distinct, width, radius, masks, bits)
+    links = similar_links(base.withColumn("_doc_text", F.col("_doc")[text_col]), distinct, size, similarity, alike)
     return _classed(base, distinct, components(links)).where("first").select("_doc.*")

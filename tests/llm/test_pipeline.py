@@ -58,3 +58,23 @@ def test_empty_table(spark, nothing):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
     assert docs.count() == 0 and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_near_stage_takes_the_links_of_fingerprints(spark, monkeypatch):
+    """The trees see every distinct SimHash, find the near copies, and what they link is verified on the sets."""
+    from signalweir.llm import near_dedup
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "z"]), "same " * 400 + "a b c", "same " * 400 + "x y z", "far from all of them"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, pairs = [], near_dedup.fingerprint_pairs
+
+    def spied(base, distinct, *rest):
+        ids = {r._row: r.id for r in base.collect()}
+        found = pairs(base, distinct, *rest)
+        seen.append({(ids[r.a], ids[r.b]) for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(near_dedup, "fingerprint_pairs", spied)
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()}
+    assert [{tuple(sorted(p)) for p in s} for s in seen] == [{(0, 1), (2, 3)}] and kept == {0, 2, 3, 4}
