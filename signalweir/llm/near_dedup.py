@@ -21,8 +21,9 @@ exactly. Most sets of similarity 0.8 differ in more than 4 bits; those are found
 share. Sets as similar as `similarity` share a shingle among the first few of each in any one
 order of all shingles; those few are the keys that documents meet under. Shingles that a
 sample finds often come last in that order, so the keys are rare ones. Every link is verified
-on the whole sets. Under each key all meet two leaders first; only what is still apart then
-meets in pairs, so a group of near copies is not squared.
+on the whole sets. Under each key all meet two leaders first, then rounds of four new ones for as long as
+these link what the others did not; only what is still apart then meets in pairs, so a group
+of near copies is not squared, also where they are unlike the first leaders.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ from signalweir.llm.components import components
 
 _LANES = np.uint64(0x0101010101010101)
 _LEAF = 48
+#: Rounds of new leaders at most, and one in how many of the rows must find a link for another. What is left meets in pairs.
+ROUNDS, WORTH = 8, 16
 
 
 def shingle_hashes(data: bytes, size: int) -> np.ndarray:
@@ -431,14 +434,18 @@ def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: f
         # a table, so that its size is known: where it is small nothing else is shuffled
         return written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the (a, b) whose sets are similar; sets are made and moved for the rows of pairs only."""
+    def near_ones(pairs: DataFrame) -> DataFrame:
+        """Those of the (a, b) that their sketches leave."""
         pairs = written(pairs.distinct())
         held = sketches.join(ends_of(pairs), "row", "left_semi")
         one, two = (held.select(F.col("row").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
         most = (F.col("a_n") + F.col("b_n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
         left = pairs.join(one, "a").join(two, "b").where(sketch_distance(F.col("a_sketch"), F.col("b_sketch")) <= most)
-        left = written(left.select("a", "b"))
+        return left.select("a", "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the (a, b) whose sets are similar; sets are made and moved for the rows of pairs only."""
+        left = written(pairs)
         sets = written(texts.join(ends_of(left), "row", "left_semi").withColumn("set", arrow_udf(hashed, "binary").asNondeterministic()("_doc_text")).drop("_doc_text"))
         one, two = (sets.select(F.col("row").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("set").alias(f"{x}_set")) for x in "ab")
         both = left.join(one, "a").join(two, "b")
@@ -452,18 +459,40 @@ def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: f
 
     at = F.struct("n", "pos")
     meets = meets.select("key", "row", at.alias("s"))
-    leaders = meets.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "row"), "row", "s")).alias(f"l{i}") for i in range(2)))
-    each = F.array_distinct(F.array(*(F.struct(F.col(f"l{i}.row").alias("leader"), F.col(f"l{i}.s").alias("t")) for i in range(2))))
-    led = leaders.select(F.col("key").alias("l_key"), F.inline(each))
-    star = meets.join(led, (F.col("key") == F.col("l_key")) & (F.col("row") != F.col("leader")) & fits("s", "t"))
-    star = star.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b"))
-    links = verified(known.unionByName(star))
-    roots = written(components(links.select("a", "b")).select(F.col("node").alias("row"), "root"))
-    apart = meets.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    # keys whose rows stand in one component have nothing left to say, nor those whose rows were all leaders
-    mixed = apart.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).where("x != y AND k > 2")
+
+    def led(rows: DataFrame, *salts) -> DataFrame:
+        """Per key the rows of the least hashes, one for each of the salts."""
+        leaders = rows.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(*salt, "row"), *(c for c in rows.columns if c != "key"))).alias(f"l{i}") for i, salt in enumerate(salts)))
+        about = [("row", "leader"), ("s", "t"), ("root", "led_root")]
+        each = F.array_distinct(F.array(*(F.struct(*(F.col(f"l{i}.{c}").alias(x) for c, x in about if c in rows.columns)) for i in range(len(salts)))))
+        return leaders.select(F.col("key").alias("l_key"), F.inline(each))
+
+    def star(rows: DataFrame, leaders: DataFrame, apart) -> DataFrame:
+        met = rows.join(leaders, (F.col("key") == F.col("l_key")) & apart & fits("s", "t"))
+        return met.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b"))
+
+    def still_apart(links: DataFrame) -> DataFrame:
+        """What meets under keys whose rows stand in more than one component, with the component.
+
+        The others have nothing left to say, nor have keys whose rows were all leaders.
+        """
+        roots = written(components(links.select("a", "b")).select(F.col("node").alias("row"), "root"))
+        rows = meets.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+        mixed = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).where("x != y AND k > 2")
+        return written(rows.join(mixed.select("key"), "key", "left_semi"))
+
+    links = verified(near_ones(known.unionByName(star(meets, led(meets, *((F.lit(i),) for i in range(2))), F.col("row") != F.col("leader")))))
+    apart = still_apart(links)
+    # new leaders, others under each key: rows of one group that are unlike its first leaders join it through these
+    for turn in range(ROUNDS):
+        leaders = led(apart, *((F.lit(4 * turn + i), F.col("key")) for i in range(4)))
+        found = verified(near_ones(star(apart, leaders, F.col("root") != F.col("led_root"))))
+        links = links.unionByName(found)
+        if found.count() * WORTH <= apart.select("row").distinct().count():
+            break
+        apart = still_apart(links)
     # sketches go along with what is left, so that documents which share a passage and no more make no pairs
-    apart = apart.join(mixed.select("key"), "key", "left_semi").join(sketches.select("row", "sketch"), "row")
+    apart = apart.join(sketches.select("row", "sketch"), "row")
     one, two = (
         apart.select(F.col("key").alias(f"{x}_key"), F.col("row").alias(x), F.col("s").alias(f"{x}_s"), F.col("root").alias(f"{x}_root"), F.col("sketch").alias(f"{x}_sketch"))
         for x in "ab"
@@ -471,7 +500,7 @@ def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: f
     met = (F.col("a_key") == F.col("b_key")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root"))
     most = (F.col("a_s.n") + F.col("b_s.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
     near = sketch_distance(F.col("a_sketch"), F.col("b_sketch")) <= most
-    more = verified(one.join(two, met & fits("a_s", "b_s") & near).select("a", "b"))
+    more = verified(one.join(two, met & fits("a_s", "b_s") & near).select("a", "b").distinct())
     return links.unionByName(more).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
 
 

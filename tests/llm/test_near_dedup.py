@@ -180,3 +180,22 @@ def test_keys_that_meet_across_batches():
     for cut in (1, 2, 3, 9):
         batches = [pa.RecordBatch.from_pydict({"key": keys[i : i + cut], "row": list(range(i, min(9, i + cut)))}) for i in range(0, 9, cut)]
         assert [r for b in near_dedup._met(iter(batches)) for r in b.column(1).to_pylist()] == [1, 2, 3, 4, 6, 7]
+
+
+def test_near_copies_unlike_the_first_leaders_are_not_squared(spark, monkeypatch):
+    """Long tails are unlike each other and like the few short ones; new leaders find those before any pairs are made."""
+    bodies = [" ".join(f"g{g}w{i}" for i in range(60)) for g in range(2)]
+    tails = [(g, i, 5 if i % 8 == 3 else 9) for g in range(2) for i in range(600)]
+    texts = [f"{bodies[g]} " + " ".join(f"g{g}t{i}x{k}" for k in range(n)) for g, i, n in tails]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, real = [], near_dedup.written
+
+    def counted(df):
+        out = real(df)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    assert sorted(r.doc_id for r in near_dedup.drop_near(docs).collect()) == [0, 600]
+    assert max(made) < 20 * len(texts), made
