@@ -182,10 +182,14 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth
     first path is found by a partial aggregate.  Each level is settled, which keeps the plan
     flat and lets a lost executor re-read a level instead of recomputing the walk.
     """
-    # each level reads both: settled once, the aggregates behind them run once
-    known = settle(nodes.select("tenant_id", F.col("component").alias("node")))
+    # each level reads the edges: settled once, the aggregates behind them run once. An edge says
+    # whether its target is a node, so that no level, nor all of them at the end, asks the nodes
+    known = nodes.select("tenant_id", F.col("component").alias("node"))
+    targets = known.select("tenant_id", F.col("node").alias("next"), F.lit(True).alias("_known")).distinct()
     steps = settle(
         edges.select("tenant_id", F.col("from_node").alias("node"), F.col("to_node").alias("next"), "occurrence_count")
+        .join(targets, ["tenant_id", "next"], "left")
+        .withColumn("_known", F.coalesce("_known", F.lit(False)))
     )
     start = roots.select("tenant_id", "root", F.col("root").alias("node")).join(known, ["tenant_id", "node"], "left_semi")
     kind = nodes.schema["component"].dataType.simpleString()
@@ -203,12 +207,12 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth
             .select(
                 "tenant_id", "root", F.col("next").alias("node"),
                 F.concat("path", F.array("next")).alias("path"),
-                F.col("node").alias("parent"), "occurrence_count",
+                F.col("node").alias("parent"), "occurrence_count", "_known",
                 (F.col("strength") * F.least(F.col("occurrence_count") / 10, F.lit(1.0)) * F.lit(DECAY)).alias("strength"),
             )
             .join(visited, ["tenant_id", "root", "node"], "left_anti")
             .groupBy("tenant_id", "root", "node")
-            .agg(F.min(F.struct("path", "parent", "occurrence_count", "strength")).alias("_f"))
+            .agg(F.min(F.struct("path", "parent", "occurrence_count", "strength", "_known")).alias("_f"))
             .select("tenant_id", "root", "node", "_f.*", F.lit(wave).alias("wave"))
         )
         reached = settle(reached)
@@ -216,18 +220,15 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth
             break
         waves = reached if waves is None else waves.unionByName(reached)
         visited = visited.unionByName(reached.select("tenant_id", "root", "node"))
-        frontier = reached.join(known, ["tenant_id", "node"], "left_semi").select(
-            "tenant_id", "root", "node", "strength", "path"
-        )
+        frontier = reached.where("_known").select("tenant_id", "root", "node", "strength", "path")
     if waves is None:
         waves = settle(
             frontier.limit(0).select(
                 "tenant_id", "root", "node", "path", F.col("node").alias("parent"),
-                F.lit(0).cast("bigint").alias("occurrence_count"), "strength", F.lit(0).alias("wave"),
+                F.lit(0).cast("bigint").alias("occurrence_count"), "strength", F.lit(True).alias("_known"), F.lit(0).alias("wave"),
             )
         )
-    shown = waves.join(known, ["tenant_id", "node"], "left_semi")
-    shown = shown.orderBy("tenant_id", "root", "wave", F.col("strength").desc(), "node")
+    shown = waves.where("_known").orderBy("tenant_id", "root", "wave", F.col("strength").desc(), "node")
     return shown.select(
         "tenant_id", "root", F.col("node").alias("component"), "wave",
         F.when(F.col("parent") == F.col("root"), F.col("root")).alias("via_component"),

@@ -148,3 +148,16 @@ def test_names_are_looked_for_once(spark):
     assert "regexp" not in edges._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in edges.collect()} == {("t", "auth-service", n, 2, "2024-01-02", "cascade") for n in ("db-pooler", "orders-api")}
     assert {tuple(r) for r in nodes.collect()} == {("t", n, 2, "2024-01-01") for n in ("auth-service", "db-pooler", "orders-api")}
+
+
+def test_blast_radius_asks_the_nodes_before_the_walk(spark):
+    """Targets that are no nodes are not shown and not walked on; the levels are not joined with the nodes again."""
+    nodes = spark.createDataFrame([("t", "a"), ("t", "b"), ("t", "d"), ("u", "x"), (None, "a")], "tenant_id string, component string")
+    edges = spark.createDataFrame(
+        [("t", "a", "b", 10), ("t", "a", "x", 10), ("t", "x", "d", 10), ("t", "b", "d", 5), ("t", "b", None, 5), ("t", "d", "a", 9)],
+        "tenant_id string, from_node string, to_node string, occurrence_count long",
+    )
+    roots = spark.createDataFrame([("t", "a"), ("t", "a"), ("t", "x"), ("u", "x")], "tenant_id string, root string")
+    shown = graph.blast_radius(nodes, edges, roots)
+    assert [(r.root, r.component, r.wave, r.via_component, r.estimated_probability) for r in shown.collect()] == [("a", "b", 1, "a", 85), ("a", "d", 2, None, 36)]
+    assert "Join" not in shown._jdf.queryExecution().toString()
