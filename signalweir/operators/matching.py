@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from signalweir.session import settle
 GRAM = 4
 #: Bits of the filter that runs of the texts must pass, and bits a word of it.
 FILTER_BITS, WORD = 1 << 17, 32
+#: Texts, and names, of a scope that meet in one pass.
+BLOCK_TEXTS, BLOCK_NAMES = 20_000, 50_000
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -47,6 +50,9 @@ def names_in_texts(
     scope: str = "tenant_id",
     largest: str | None = None,
     unique: bool = False,
+    order: str | None = None,
+    shown: str | None = None,
+    reach: int | None = None,
 ) -> DataFrame:
     """Distinct (ids, name) where the text contains the name, both of the same scope.
 
@@ -58,7 +64,11 @@ def names_in_texts(
     results stay the same.  Texts travel once, next to their candidates.
     With `largest`, one of the ids: only its greatest value per name is kept.
     `unique` says that no ids repeat, so that texts need not be told apart first.
+    With `reach`, at least those of a name's texts are kept that begin within so many characters
+    when the texts `shown` for them stand one a line, by `order`; one of the ids is the scope.
     """
+    if reach is not None:
+        return _first_in_blocks(texts, names, list(ids), text, scope, order, shown, reach)
     wanted = names.select(F.col(scope).alias("_scope"), "name").where("name <> '' AND _scope IS NOT NULL").distinct()
     least = F.array_min(F.transform(_grams(F.col("name"), GRAM), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
     wanted = settle(wanted.withColumn("_gram", F.when(F.length("name") > GRAM, least["g"]).otherwise(F.col("name"))))
@@ -81,3 +91,58 @@ def names_in_texts(
         rest = [c for c in ids if c != largest]
         return found.groupBy(*rest, "name").agg(F.max(largest).alias(largest)).select(*ids, "name")
     return found.select(*ids, "name").distinct()
+
+
+def _first_in_blocks(
+    texts: DataFrame, names: DataFrame, ids: list[str], text: str, scope: str, order: str, shown: str, reach: int
+) -> DataFrame:
+    """names_in_texts with `reach`: of each block of a scope's texts a name keeps its first ones.
+
+    The texts and the names of a scope are cut into hashed blocks, as many as it has rows for,
+    and every pair of blocks meets in one cell, where one automaton finds all names of the
+    block in a pass over its texts. Small scopes share cells. A name's texts come in a block
+    no earlier than among all.
+    """
+    names = settle(names.select(F.col(scope).alias("_scope"), "name").where("name <> '' AND _scope IS NOT NULL").distinct())
+    held = texts.select(*ids, F.col(scope).alias("_scope"), F.col(text).alias("_text")).where("_text <> '' AND _scope IS NOT NULL")
+    held_by = held.groupBy("_scope").agg(F.count("*").alias("_texts"), F.ceil(F.count("*") / BLOCK_TEXTS).alias("_t"))
+    sizes = settle(held_by.join(names.groupBy("_scope").agg(F.ceil(F.count("*") / BLOCK_NAMES).alias("_n")), "_scope"))
+    cells = max(1, -(-(sizes.agg(F.sum(F.col("_texts") * F.col("_n"))).first()[0] or 0) // BLOCK_TEXTS))
+    unit = ["_scope", "_at", "_of"]  # block of texts, block of names
+
+    def dealt(rows: DataFrame, at: Column, of: Column) -> DataFrame:
+        cut = rows.join(sizes, "_scope").withColumns({"_at": at, "_of": of}).drop("_texts", "_t", "_n")
+        every = cut.withColumn("_at", F.explode("_at")).withColumn("_of", F.explode("_of"))
+        return every.groupBy(F.pmod(F.xxhash64(*unit), F.lit(cells)).alias("_cell"))
+
+    def one(hashed: str, blocks: str) -> Column:
+        return F.array(F.pmod(F.xxhash64(hashed), F.col(blocks)))
+
+    def all_of(blocks: str) -> Column:
+        return F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1)
+
+    def scan(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        import ahocorasick
+
+        found = []
+        wanted = {key: rows["name"].tolist() for key, rows in asked.groupby(unit)} if len(part) else {}
+        for key, rows in part.sort_values(order, kind="stable").groupby(unit) if wanted else ():
+            if key not in wanted:
+                continue
+            automaton = ahocorasick.Automaton()
+            for name in wanted[key]:
+                automaton.add_word(name, name)
+            automaton.make_automaton()
+            used: dict[str, int] = {}
+            for about, size, low in zip(rows[ids].itertuples(index=False, name=None), rows[shown].str.len(), rows["_text"]):
+                for name in {name for _, name in automaton.iter(low)}:
+                    before = used.get(name, 0)
+                    if before <= reach + 1:
+                        found.append((*about, name))
+                        used[name] = before + size + 1
+        return pd.DataFrame(found, columns=[*ids, "name"])
+
+    kinds = dict(texts.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in ids), "name string"])
+    asked, part = dealt(names, all_of("_t"), one("name", "_n")), dealt(held, one(order, "_t"), all_of("_n"))
+    return asked.cogroup(part).applyInPandas(scan, schema)

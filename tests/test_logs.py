@@ -176,3 +176,19 @@ def test_line_order_survives_file_splits(spark, tmp_path):
 def test_hard_split(spark):
     got = logs.hard_split(_lines(spark, "x" * 25, "short"), 10).orderBy("line_no", "piece").collect()
     assert [r.raw for r in got] == ["x" * 10, "x" * 10, "x" * 5, "short"]
+
+
+def test_keyword_excerpt_in_blocks(spark, monkeypatch):
+    """Blocks of lines and terms lose nothing, and lines meet the terms in a pass, not by their runs of characters."""
+    monkeypatch.setattr(matching, "BLOCK_TEXTS", 7, raising=False)
+    monkeypatch.setattr(matching, "BLOCK_NAMES", 2, raising=False)
+    rows = [(i, n, f"line {n} of {'ALPHA' if n % 3 else 'beta'} é{n % 5} {'İx' * (n % 4)}") for i in ("a", "b", None) for n in range(60)]
+    placed = spark.createDataFrame([(i, n, line, n * 10) for i, n, line in rows], "incident_id string, line_index long, line string, offset long")
+    terms = {1: ["alpha"], 2: ["beta", "é3"], 3: ["line 5", "of", "ine 1", "é0", "zz"], 4: ["nothing"], 5: ["alpha", "e 59"]}
+    asked = spark.createDataFrame([(q, "ab"[q % 2], t) for q, t in terms.items()] + [(9, None, ["line"])], "question_id long, incident_id string, terms array<string>")
+    excerpts = logs.keyword_excerpt(placed, asked, 150)
+    got = {r.question_id: r.excerpt for r in excerpts.collect()}
+    for q, t in terms.items():
+        mine = [line for i, n, line in rows if i == "ab"[q % 2]]
+        assert got[q] == "\n".join([x for x in mine if any(w in x.lower() for w in t)] or mine)[:150]
+    assert got[9] == "" and "regexp_extract_all" not in excerpts._jdf.queryExecution().toString()
