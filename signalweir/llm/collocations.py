@@ -42,6 +42,8 @@ BLOCK_WORDS, SLICE_BYTES = 3 << 18, 1 << 19
 SIEVE_BITS = 26
 #: Bytes of text for each bucket of fingerprints, and the most buckets.
 BUCKET_BYTES, MAX_BUCKET_BITS = 1 << 22, 20
+#: Bits of a print behind its bucket's: a bucket has fewer distinct prints than 2^20.
+PRINT_BITS = 24
 #: Odd bases of the two polynomials.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Kinds of bytes: part of a word, blank between words, end of a piece.
@@ -315,15 +317,23 @@ def _sieve(texts: DataFrame, n: int, sieves: list, min_count: int, buckets: int,
     return found
 
 
+def _kept(buckets: int) -> int:
+    """The bits of a print that are sent, behind its bucket's: with those, enough for the sieve and to tell a bucket's prints apart."""
+    return max(PRINT_BITS, SIEVE_BITS - buckets)
+
+
 def _short(prints: np.ndarray, buckets: int) -> bytes:
-    """The 40 bits of each print behind its bucket's. Prints that agree so far are counted as one, which only lets more pass."""
-    return ((prints << U64(buckets)) >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    """Sorted prints of a bucket as steps from one to the next, their low bytes first: most high bytes are zero and compress.
+
+    Prints that agree in the kept bits are counted as one, which only lets more pass.
+    """
+    steps = np.diff((prints << U64(buckets)) >> U64(64 - _kept(buckets)), prepend=U64(0))
+    return steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _long(data: bytes, bucket: int, buckets: int) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    prints = out.view("<u8").ravel() << U64(24 - buckets)
+    steps = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    prints = np.cumsum(steps, dtype=U64) << U64(64 - _kept(buckets) - buckets)
     return prints | U64(bucket << (64 - buckets) if buckets else 0)
 
 
@@ -361,24 +371,30 @@ def frequent_phrases(
         sieves.append(_sieve(texts, n, sieves, min_count, buckets, longest, weak))
     sent = texts.sparkSession.sparkContext.broadcast(sieves)
 
-    def phrases(grams: Grams, own: int, n: int) -> Iterator[tuple]:
+    # a row is one key and its count: no phrase has a line end, whatever is in a language's name
+    def phrases(grams: Grams, own: int, n: int) -> Iterator[tuple[str, int]]:
         places, prints = grams.sieved(n, sent.value, min_count)
         keep = places < own
         if keep.any():
             for at, m in grams.exact(places[keep], prints[keep], n):
-                yield grams.langs[grams.code[at]], n, grams.phrase(at, n), m
+                yield f"{grams.langs[grams.code[at]]}\n{grams.phrase(at, n)}", m
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+        kinds = (pa.string(), pa.int64())
         for grams, own in _blocks(batches, longest, weak):
             grams.name_words()
             words = np.bincount(grams.code[:own], minlength=len(grams.langs))
-            totals = [(lang, 0, "", n) for lang, n in zip(grams.langs, words.tolist()) if n]
+            totals = [(f"{lang}\n", n) for lang, n in zip(grams.langs, words.tolist()) if n]
             for rows in batched(chain(totals, *(phrases(grams, own, n) for n in range(1, longest + 1))), 1 << 13):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "words", "phrase", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "f"])
 
-    found = texts.mapInArrow(count, "lang string, words int, phrase string, f long")
-    summed = written(found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= F.when(F.col("words") == 0, 1).otherwise(min_count)))
+    found = texts.mapInArrow(count, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", "\n", -1)
+    named = found.where((F.col("f") >= min_count) | (phrase == "")).select(
+        F.expr("left(key, length(key) - length(substring_index(key, '\\n', -1)) - 1)").alias("lang"),
+        F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("words"), phrase.alias("phrase"), "f",
+    )
+    summed = written(named)
     return summed.where("words > 0"), summed.where("words = 0").select("lang", F.col("f").alias("n"))
 
 
@@ -399,21 +415,22 @@ def collocations(
     parts = F.split("phrase", " ")
     many = phrases.where("words > 1").withColumn("w", parts)
     cut = many.select(
-        "lang", "phrase", "words", F.col("f").alias("a"), F.explode(F.expr("""transform(sequence(1, words - 1), k -> struct(
+        "lang", F.col("f").alias("a"), F.explode(F.expr("""transform(sequence(1, words - 1), k -> struct(
             k, array_join(slice(w, 1, k), ' ') AS first, array_join(slice(w, k + 1, words - k), ' ') AS rest))""")).alias("c"),
-    ).select("lang", "phrase", "words", "a", "c.*")
+    ).select("lang", "a", "c.*")
     left = phrases.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
     right = phrases.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
     wide = {x: F.col(x).cast("decimal(19,0)") for x in "alr"}
     scored = cut.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).withColumns({f"d{x}": wide[x] for x in "alr"})
     score = F.expr("CAST(CAST(1000000 AS DECIMAL(38,0)) * (da * da) AS DECIMAL(38,0)) div (dl * dr)")
-    best = scored.groupBy("lang", "phrase", "words").agg(F.min(F.struct(score.alias("score"), "k", "l", "r", "a")).alias("b"))
+    whole = F.concat_ws(" ", "first", "rest").alias("phrase")
+    best = scored.groupBy("lang", whole).agg(F.min(F.struct(score.alias("score"), "k", "l", "r", "a")).alias("b"))
     inner = many.where("words > 2").select(
         "lang", F.col("f").alias("longer"), F.explode(F.expr("""flatten(transform(sequence(2, words - 1), n ->
             transform(sequence(1, words - n + 1), i -> array_join(slice(w, i, n), ' '))))""")).alias("phrase"),
     )
     inside = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     held = best.join(inside, ["lang", "phrase"], "left").where(F.expr(f"longer IS NULL OR 100 * longer < {int(share)} * b.a"))
-    flat = held.select("lang", "phrase", "b.a", "b.l", "b.r", "b.score", "words").join(totals, "lang")
+    flat = held.select("lang", "phrase", "b.a", "b.l", "b.r", "b.score", F.size(F.split("phrase", " ")).alias("words")).join(totals, "lang")
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
     return top_per_key(flat, ["lang"], order, k).select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "words")

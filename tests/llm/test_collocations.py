@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from signalweir.llm import collocations as co
@@ -96,6 +97,28 @@ def test_words_that_share_a_hash_are_told_apart():
     assert found == Counter(words) + Counter(map(" ".join, zip(words, words[1:])))
 
 
+@pytest.mark.parametrize("buckets", [0, 1, 8, 20])
+def test_prints_are_sent_in_few_bytes(buckets):
+    rng = np.random.default_rng(buckets)
+    bucket = (1 << buckets) - 1
+    prints = np.sort(rng.integers(0, 1 << 63, 2000, np.uint64) << np.uint64(1) >> np.uint64(buckets)) | np.uint64(bucket << (64 - buckets) if buckets else 0)
+    data = co._short(prints, buckets)
+    back = co._long(data, bucket, buckets)
+    lost = np.uint64(64 - max(co.SIEVE_BITS, buckets + 24))
+    assert (back == prints >> lost << lost).all()
+    assert len(pa.compress(data, codec="lz4", asbytes=True)) < (3.5 if buckets < 2 else 2.5) * len(prints)
+
+
+def test_languages_of_any_name(spark):
+    rows = [(lang, "a b c. a b") for lang in ("x\ny", "x", "", "x\n", "und", None)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert got(co.collocations(docs, min_count=2)) == ranked(rows, 3, 2)
+    phrases, totals = co.frequent_phrases(docs, min_count=1)
+    f, n = counted(rows)
+    assert {(r.lang, r.words, r.phrase): r.f for r in phrases.collect()} == {(lang, len(w), " ".join(w)): m for (lang, w), m in f.items()}
+    assert {r.lang: r.n for r in totals.collect()} == dict(n)
+
+
 def test_scores_beyond_64_bits(spark, monkeypatch):
     big = 3 * 10**12
     table = [("en", 1, "a", big), ("en", 1, "b", big), ("en", 2, "a b", big - 1)]
