@@ -12,6 +12,8 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot never compiles a method beyond this; Spark then runs a stage's operators one by one, in small methods
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # texts make rows of very different size
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }

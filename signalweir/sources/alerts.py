@@ -21,23 +21,29 @@ def split_payloads(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataF
     reason = F.when(F.octet_length(body) > MAX_BODY_BYTES, F.lit("too-large")).when(
         _json(F.col(body)).isNull(), F.lit("invalid-json")
     )
-    marked = raw.withColumn("reject_reason", reason)
+    # a filter on a plain column would move below the body and make it again for every look at it
+    marked = raw.select("*", F.explode(F.array(reason)).alias("reject_reason"))
     accepted = marked.where(F.col("reject_reason").isNull()).drop("reject_reason")
     return accepted, marked.where(F.col("reject_reason").isNotNull())
 
 
 def parse_tags(tags: Column) -> Column:
     """Tags as a map, from ["k:v"] or from an object; a repeated key keeps its last value."""
+
+    def by_name(pairs: Column) -> Column:
+        names = F.transform(pairs, lambda t: F.substring_index(t, ":", 1))
+        is_last = lambda t, i: (
+            F.array_position(F.reverse(names), F.substring_index(t, ":", 1)) == F.size(names) - i
+        )
+        kept = F.filter(pairs, is_last)
+        return F.map_from_arrays(
+            F.transform(kept, lambda t: F.substring_index(t, ":", 1)),
+            F.transform(kept, lambda t: t.substr(F.locate(":", t) + 1, F.length(t))),
+        )
+
+    # the text is parsed once: in a lambda its pairs are a variable
     pairs = F.filter(F.from_json(tags, "array<string>"), lambda t: F.contains(t, F.lit(":")))
-    names = F.transform(pairs, lambda t: F.substring_index(t, ":", 1))
-    is_last = lambda t, i: (
-        F.array_position(F.reverse(names), F.substring_index(t, ":", 1)) == F.size(names) - i
-    )
-    kept = F.filter(pairs, is_last)
-    listed = F.map_from_arrays(
-        F.transform(kept, lambda t: F.substring_index(t, ":", 1)),
-        F.transform(kept, lambda t: t.substr(F.locate(":", t) + 1, F.length(t))),
-    )
+    listed = F.get(F.transform(F.array(pairs), by_name), 0)
     return F.when(tags.startswith("["), listed).otherwise(F.from_json(tags, "map<string,string>"))
 
 

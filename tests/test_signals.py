@@ -78,6 +78,16 @@ def _signal(**kw):
     return Row(**{**base, **kw})
 
 
+def test_a_made_body_is_made_once(spark):
+    rows = spark.range(100).select(F.col("id").alias("signal_id"), F.to_json(F.struct(F.col("id").cast("string").alias("service"))).alias("body"))
+    accepted, rejected = split_payloads(rows)
+    for out in (normalize_signals(accepted), rejected):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("invoke(StructsToJson") == 1
+        assert plan.count("from_json") <= 3  # the body, its tags as a list and as an object
+    assert normalize_signals(accepted).count() == 100 and rejected.count() == 0
+
+
 def test_scores(spark):
     cases = [
         (_signal(), -2.4, True),
