@@ -100,13 +100,16 @@ def _keyword_score(queries: pd.DataFrame, items: pd.DataFrame, k: int) -> pd.Dat
         plain.add_word(term, term)
     if len(plain):
         plain.make_automaton()
-    hits = np.zeros((len(queries), len(items)), dtype=np.float64)
-    for j, text in enumerate(items["payload"]):
+    asking = {term: np.array(at) for term, at in askers.items()}
+    # a row for each item: its counts lie beside each other while they are added up
+    hits = np.zeros((len(items), len(queries)), dtype=np.float64)
+    for row, text in zip(hits, items["payload"]):
         low = text.lower()
         seen = {term for _, term in plain.iter(low)} if len(plain) else set()
         seen.update(term for term, like in wild.items() if like.search(low))
         for term in seen:
-            hits[askers[term], j] += 1
+            row[asking[term]] += 1
+    hits = hits.T
     q, i = _best(hits, k, 0.0)
     return _ranked(queries["query_id"].to_numpy()[q], items["item_id"].to_numpy()[i], hits[q, i], k)
 

@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,17 @@ def test_equal_vectors_have_equal_cosines():
     found = retrieval.cosine_scorer()(asked, items, 10)
     assert all(sorted(part["item_id"]) == part["item_id"].tolist() for _, part in found.groupby("query_id"))
     assert (found.groupby("query_id")["score"].nunique() == 1).all()
+
+
+def test_keyword_counts_of_an_item_lie_together(monkeypatch):
+    """Every term of every text adds to all its askers: they must be neighbours, or each is a cache miss."""
+    seen = []
+    best = retrieval._best
+    monkeypatch.setattr(retrieval, "_best", lambda scores, k, floor: seen.append(scores) or best(scores, k, floor))
+    asked = [["pool", "a_b", "50%"], [], ["pool", "disk"], ["zzz"]] * 3
+    texts = ["Pool axb 501", "disk pool pool", "nothing", ""]
+    queries = pd.DataFrame({"query_id": range(12), "payload": asked})
+    out = retrieval._keyword_score(queries, pd.DataFrame({"item_id": [7, 5, 3, 1], "payload": texts}), 2)
+    assert seen[0].shape == (12, 4) and seen[0].T.flags.c_contiguous
+    want = {(n, 7): 3.0 for n in (0, 4, 8)} | {(n, 5): 1.0 for n in (0, 4, 8)} | {(n, 5): 2.0 for n in (2, 6, 10)} | {(n, 7): 1.0 for n in (2, 6, 10)}
+    assert {(q, i): s for q, i, s in out.itertuples(index=False)} == want
