@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalweir.functions import components as C
 from signalweir.operators.matching import names_in_texts
-from signalweir.scale import top_per_key
+from signalweir.scale import OrderedSlices, top_per_key
 from signalweir.schemas import REPORT_PAYLOAD
-from signalweir.session import settle
+from signalweir.session import settle, stored
 
 MAX_DEPTH = 4
 DECAY = 0.85
@@ -175,63 +177,53 @@ def best_graph_context(texts: DataFrame, context: DataFrame) -> DataFrame:
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Cascade of every root at once: component, wave, parent, occurrences, probability.
+    """Cascade of every root at once: component, wave, occurrences, probability.
 
     `roots`: tenant_id, root.  Level by level; a node keeps the first path that reached it.
     Paths are compared by the edges they took, so no per-root ordering window is needed; the
-    first path is found by a partial aggregate.  Each level is settled, which keeps the plan
-    flat and lets a lost executor re-read a level instead of recomputing the walk.
+    first path is found by an aggregate.  A path is the places its edges have among those of
+    their node, four bytes each: paths of a root part at one node, so places compare as the
+    nodes they lead to.  Each level is a table, which keeps the plan flat, lets a lost executor
+    re-read a level instead of recomputing the walk, and leaves only tables on disk behind it.
     """
-    # each level reads the edges: settled once, the aggregates behind them run once. An edge says
-    # whether its target is a node, so that no level, nor all of them at the end, asks the nodes
     known = nodes.select("tenant_id", F.col("component").alias("node"))
-    targets = known.select("tenant_id", F.col("node").alias("next"), F.lit(True).alias("_known")).distinct()
-    steps = settle(
+    targets = known.select("tenant_id", F.col("node").alias("next")).distinct()
+    # targets that are no nodes are neither shown nor walked on: their edges go before the walk.
+    # Of several edges between two nodes the least count is the one that paths compare first
+    steps = (
         edges.select("tenant_id", F.col("from_node").alias("node"), F.col("to_node").alias("next"), "occurrence_count")
-        .join(targets, ["tenant_id", "next"], "left")
-        .withColumn("_known", F.coalesce("_known", F.lit(False)))
-    )
-    start = roots.select("tenant_id", "root", F.col("root").alias("node")).join(known, ["tenant_id", "node"], "left_semi")
-    kind = nodes.schema["component"].dataType.simpleString()
-    frontier = settle(
-        start.select(
-            "tenant_id", "root", "node", F.lit(1.0).alias("strength"),
-            F.array().cast(f"array<{kind}>").alias("path"),
-        )
+        .join(targets, ["tenant_id", "next"], "left_semi")
+        .groupBy("tenant_id", "next", "node").agg(F.min(F.struct("occurrence_count")).alias("_e"))
+        .select("tenant_id", "node", "next", "_e.occurrence_count")
     )
-    visited = frontier.select("tenant_id", "root", "node")
-    waves = None
+    placed = OrderedSlices(steps, ["tenant_id", "node"], [F.col("next")]).rank("place").frame()
+    steps = stored(placed.withColumn("place", F.unhex(F.lpad(F.hex("place"), 8, "0"))))
+    start = roots.select("tenant_id", "root", F.col("root").alias("node")).join(known, ["tenant_id", "node"], "left_semi")
+    frontier = stored(start.distinct()).withColumns({"strength": F.lit(1.0), "path": F.lit(b"")})
+    keys = ["tenant_id", "root", "node"]
+    none = frontier.limit(0).select(*keys, F.lit(0).cast("bigint").alias("occurrence_count"), "strength", F.lit(0).alias("wave"))
+    levels: list[DataFrame] = []
     for wave in range(1, max_depth + 1):
-        reached = (
-            frontier.join(steps, ["tenant_id", "node"])
-            .select(
-                "tenant_id", "root", F.col("next").alias("node"),
-                F.concat("path", F.array("next")).alias("path"),
-                F.col("node").alias("parent"), "occurrence_count", "_known",
-                (F.col("strength") * F.least(F.col("occurrence_count") / 10, F.lit(1.0)) * F.lit(DECAY)).alias("strength"),
-            )
-            .join(visited, ["tenant_id", "root", "node"], "left_anti")
-            .groupBy("tenant_id", "root", "node")
-            .agg(F.min(F.struct("path", "parent", "occurrence_count", "strength", "_known")).alias("_f"))
-            .select("tenant_id", "root", "node", "_f.*", F.lit(wave).alias("wave"))
+        reached = frontier.join(steps, ["tenant_id", "node"]).where("next <> root").select(
+            "tenant_id", "root", F.col("next").alias("node"), F.concat("path", "place").alias("path"), "occurrence_count",
+            (F.col("strength") * F.least(F.col("occurrence_count") / 10, F.lit(1.0)) * F.lit(DECAY)).alias("strength"),
         )
-        reached = settle(reached)
+        if levels:  # the first level has each target once
+            visited = reduce(DataFrame.unionByName, [level.select(*keys) for level in levels])
+            first = F.min(F.struct("path", "occurrence_count", "strength")).alias("_f")
+            reached = reached.join(visited, keys, "left_anti").groupBy(*keys).agg(first).select(*keys, "_f.*")
+        reached = stored(reached if wave < max_depth else reached.drop("path"))
         if reached.isEmpty():
             break
-        waves = reached if waves is None else waves.unionByName(reached)
-        visited = visited.unionByName(reached.select("tenant_id", "root", "node"))
-        frontier = reached.where("_known").select("tenant_id", "root", "node", "strength", "path")
-    if waves is None:
-        waves = settle(
-            frontier.limit(0).select(
-                "tenant_id", "root", "node", "path", F.col("node").alias("parent"),
-                F.lit(0).cast("bigint").alias("occurrence_count"), "strength", F.lit(True).alias("_known"), F.lit(0).alias("wave"),
-            )
-        )
-    shown = waves.where("_known").orderBy("tenant_id", "root", "wave", F.col("strength").desc(), "node")
-    return shown.select(
+        levels.append(reached)
+        frontier = reached.drop("occurrence_count")
+    shown = reduce(
+        DataFrame.unionByName,
+        [level.select(*keys, "occurrence_count", "strength", F.lit(wave).alias("wave")) for wave, level in enumerate(levels, 1)] or [none],
+    )
+    return shown.orderBy("tenant_id", "root", "wave", F.col("strength").desc(), "node").select(
         "tenant_id", "root", F.col("node").alias("component"), "wave",
-        F.when(F.col("parent") == F.col("root"), F.col("root")).alias("via_component"),
+        F.when(F.col("wave") == 1, F.col("root")).alias("via_component"),
         "occurrence_count",
         F.floor(F.col("strength") * 100 + 0.5).cast("bigint").alias("estimated_probability"),
     )

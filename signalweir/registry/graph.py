@@ -8,6 +8,7 @@ from signalweir.functions import components as C
 from signalweir.operators import graph
 from signalweir.registry.base import duck_stamp, query, stamp
 from signalweir.registry.views import view, with_views
+from signalweir.session import stored
 
 _HEADS = ", ".join(f"'{w}'" for w in C.DESCRIPTIVE_HEADS)
 _TAILS = ", ".join(f"'{w}'" for w in C.RESOURCE_TAILS)
@@ -73,9 +74,9 @@ def report_edges(spark, sf_dir):
     return edges.select("tenant_id", "from_node", "to_node", "occurrence_count")
 
 
-def _parts(spark, sf_dir):
-    """Nodes and edges of the part graph."""
-    edges = view(spark, sf_dir, "v_edges")
+def _parts(spark, sf_dir, kept=lambda df: df):
+    """Nodes and edges of the part graph; what reads them more than once has the edges kept."""
+    edges = kept(view(spark, sf_dir, "v_edges"))
     ends = edges.select("tenant_id", F.col("from_node").alias("component")).unionByName(
         edges.select("tenant_id", F.col("to_node").alias("component"))
     )
@@ -237,7 +238,7 @@ w{n} AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY t
 
 @query("g3_blast_radius", with_views(["v_edges"], _walk()))
 def blast(spark, sf_dir):
-    nodes, edges = _parts(spark, sf_dir)
+    nodes, edges = _parts(spark, sf_dir, stored)
     return graph.blast_radius(nodes, edges, edges.select("tenant_id", F.col("from_node").alias("root")).distinct())
 
 

@@ -1,10 +1,14 @@
 import datetime as dt
+import math
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from signalweir.functions import components as C
 from signalweir.operators import graph, matching
+from signalweir.session import settle, shared_folder
 
 
 @pytest.mark.parametrize(
@@ -161,3 +165,57 @@ def test_blast_radius_asks_the_nodes_before_the_walk(spark):
     shown = graph.blast_radius(nodes, edges, roots)
     assert [(r.root, r.component, r.wave, r.via_component, r.estimated_probability) for r in shown.collect()] == [("a", "b", 1, "a", 85), ("a", "d", 2, None, 36)]
     assert "Join" not in shown._jdf.queryExecution().toString()
+
+
+def test_blast_radius_equals_a_walk_in_python(spark):
+    """Shared targets, ways back, several edges between two nodes, targets that are no nodes, one hub; roots come twice."""
+    rng = np.random.default_rng(8)
+    names = [f"n{i}" for i in range(40)]
+    pairs = [(names[a], names[b]) for a, b in rng.integers(0, 40, (70, 2))] + [("n0", n) for n in names[1:30]] + [("n3", "gone"), ("n3", None), (None, "n3")]
+    edges = [(t, *p, int(c)) for t in "tu" for p, c in zip(pairs, rng.integers(1, 14, len(pairs)))] + [("t", *p, 3) for p in pairs[:20]] + [("t", *p, None) for p in pairs[:5]] + [(None, "n1", "n2", 4)]
+    least = {}
+    for t, a, b, c in edges:
+        if t and b in names:
+            least[t, a, b] = min(least.get((t, a, b), c), c, key=lambda x: (x is not None, x or 0))
+    want = set()
+    for t in "tu":
+        for root in names:
+            seen, frontier = {root}, {root: ((), 1.0)}
+            for wave in range(1, 5):
+                reached = {}
+                for a, (path, strength) in frontier.items():
+                    for (tenant, x, b), c in least.items():
+                        if tenant == t and x == a and b not in seen:
+                            found = ((*path, b), strength * (1.0 if c is None else min(c / 10, 1.0)) * 0.85, c)
+                            reached[b] = min(reached.get(b, found), found, key=lambda f: f[0])
+                want |= {(t, root, b, wave, root if wave == 1 else None, c, math.floor(s * 100 + 0.5)) for b, (_, s, c) in reached.items()}
+                seen |= set(reached)
+                frontier = {b: f[:2] for b, f in reached.items()}
+    got = [
+        tuple(r)
+        for r in graph.blast_radius(
+            spark.createDataFrame([(t, n) for t in "tu" for n in names] * 2, "tenant_id string, component string"),
+            spark.createDataFrame(edges, "tenant_id string, from_node string, to_node string, occurrence_count long"),
+            spark.createDataFrame([(t, n) for t in ("t", "u", None) for n in [*names, "gone", None]] * 2, "tenant_id string, root string"),
+        ).collect()
+    ]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [r[:2] + r[3:4] for r in got] == sorted(r[:2] + r[3:4] for r in got)
+
+
+def test_blast_radius_leaves_little_on_disk(spark):
+    """Levels are compressed tables, and what they shuffled goes with each: the walk's disk does not add up."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+
+    def held():
+        files = [Path(f) for f in blocks.getAllFiles().mkString("\n").split("\n")]
+        shuffled = sum(f.stat().st_size for f in files if f.name.startswith("shuffle") and f.exists())
+        return shuffled + sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    edges = settle(spark.range(12_000).selectExpr("'t' AS tenant_id", "id DIV 2 AS from_node", "(id DIV 2 * 7 + id % 2) % 6000 AS to_node", "1 + id % 9 AS occurrence_count"))
+    nodes = edges.selectExpr("tenant_id", "from_node AS component").distinct()
+    before = held()
+    rows = graph.blast_radius(nodes, edges, nodes.withColumnRenamed("component", "root"))
+    left = held() - before
+    assert left < 16 * rows.count(), left / rows.count()
