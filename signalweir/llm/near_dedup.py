@@ -16,9 +16,10 @@ pairs. Shards beyond `limit` points are cut into blocks that meet two by two, in
 at most twice that size: exact, with bounded memory.
 
 drop_near() takes the links of the same trees first, over the SimHash of five-word shingles,
-and verifies each on the shingle sets: it goes by their similarity, which no fingerprint tells
-exactly. Most sets of similarity 0.8 differ in more than 4 bits; those are found by what they
-share. Sets as similar as `similarity` share a shingle among the first few of each in any one
+and verifies them on the shingle sets: it goes by their similarity, which no fingerprint tells
+exactly. A forest's pairs need not be the similar ones of those it connects, so all that the
+trees connect meets under its group, as under a key. Most sets of similarity 0.8 differ in more
+than 4 bits; those are found by what they share. Sets as similar as `similarity` share a shingle among the first few of each in any one
 order of all shingles; those few are the keys that documents meet under. Shingles that a
 sample finds often come last in that order, so the keys are rare ones. Every link is verified
 on the whole sets. Under each key all meet two leaders first, then rounds of four new ones for as long as
@@ -408,8 +409,9 @@ def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: f
     """(a, b) links among fingerprints that connect all sets of at least `similarity`, each verified on the sets.
 
     `base` has _row, fp, _n, _keys, _sketch and _doc_text; `distinct` has fp and a head with the _row that stands for it.
-    `known` are the (a, b) rows that fingerprints link; they are verified first, with the pairs of leaders.
-    What meets under a key is two numbers a row: how many shingles its set has and how many
+    `known` are the (a, b) rows that fingerprints link, a spanning forest; they are verified first, with the pairs of
+    leaders. Where a pair of the forest fails, others of its tree may be similar: what the forest connects is a group
+    that meets like the rows of a key, whole, since nothing comes before it. What meets under a key is two numbers a row: how many shingles its set has and how many
     come before the key. The first shingle that two sets share leaves them only what comes
     from there on, so sizes and places rule out most pairs; sketches then travel once for a
     pair, and sets for the pairs that sketches leave.
@@ -420,7 +422,11 @@ def similar_links(base: DataFrame, distinct: DataFrame, size: int, similarity: f
         F.posexplode("_keys").alias("pos", "key"), F.col("_row").alias("row"), F.col("_n").alias("n")
     ).select("key", "row", "n", "pos")
     dealt = keyed.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    meets = written(dealt.mapInArrow(_met, "key long, row long, n int, pos int"))
+    connected = components(known).select(F.xxhash64(F.lit("tree"), "root").alias("key"), F.col("node").alias("row"))
+    grouped = connected.join(base.select(F.col("_row").alias("row"), F.col("_n").alias("n")), "row")
+    meets = written(
+        dealt.mapInArrow(_met, "key long, row long, n int, pos int").unionByName(grouped.select("key", "row", "n", F.lit(0).alias("pos")))
+    )
 
     def hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
@@ -514,6 +520,7 @@ def drop_near(
     least `similarity`, and what chains of such texts connect. All are found and no others.
     The vantage-point trees find the texts whose SimHash of these shingles differs in at most
     `radius` bits; similar texts that differ in more bits meet under the first shingles of their sets.
+    All that the trees connect is compared until it is linked or met pair by pair, not their forest's pairs only.
     Every link is verified on the sets. Texts without words are one group, with fingerprint
     zero; an empty table gives an empty result.
     """

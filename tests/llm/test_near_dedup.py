@@ -199,3 +199,16 @@ def test_near_copies_unlike_the_first_leaders_are_not_squared(spark, monkeypatch
     monkeypatch.setattr(near_dedup, "written", counted)
     assert sorted(r.doc_id for r in near_dedup.drop_near(docs).collect()) == [0, 600]
     assert max(made) < 20 * len(texts), made
+
+
+def test_similar_texts_of_a_tree_are_linked_where_its_forest_is_not(spark, monkeypatch):
+    """Equal and near fingerprints, the forest's root unlike the rest: the trees find the similar ones without shared keys."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    unlike = [list(rng.choice(vocabulary, 60)) for _ in range(30)]
+    texts = ["same " * 400 + " ".join(words) for words in unlike]  # one shingle rules the fingerprint
+    texts += ["same " * 400 + " ".join([*words[:-1], "z"]) for words in unlike[10:25]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.drop_near(docs).collect()) == list(range(30))
+    monkeypatch.setattr(near_dedup, "_met", lambda batches: iter(()))
+    assert sorted(r.doc_id for r in near_dedup.drop_near(docs).collect()) == list(range(30))
